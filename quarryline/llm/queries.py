@@ -37,9 +37,73 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(common.table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    sizes = mixing.sized(common.table(spark, sf_dir, "documents"))
+    goals = common.cut(mixing.targets(sizes))
+    plan = mixing.draws(sizes, goals)
+    taken = plan.groupBy("row_key", "nth").agg(F.sum("words").alias("taken"))
+    rows = sizes.join(taken, ["row_key", "nth"], "left")
+    rows = rows.join(goals, rows["source"].eqNullSafe(goals["source"]))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def op6_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; those labelled 0 for quality are deleted; the counts of those labelled 1 that hold a digit are revised as if digits were no tokens of pieces-1.  Each batch is sent twice."""
+    from . import rollups
+
+    store = rollups.Rollups(spark, common.fresh_path(spark, "rollups"))
+    docs = common.table(spark, sf_dir, "documents")
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    inserted = rollups.counted(docs).withColumns({"op": F.lit(rollups.INSERT), "old_tokens": F.lit(None).cast("long")})
+    text = F.coalesce("text", F.lit(""))
+    facts = docs.select("doc_id", "source", "lang", rollups.word_tokens(text).alias("words"), rollups.piece_tokens(text).alias("pieces"), F.regexp_count(text, F.lit("[0-9]")).alias("digits")).join(labels, "doc_id")
+    gone = F.struct(F.lit(rollups.DELETE).alias("op"), F.lit("words-1").alias("tokenizer"), F.lit(None).cast("long").alias("tokens"), F.col("words").cast("long").alias("old_tokens"))
+    gone_too = F.struct(F.lit(rollups.DELETE).alias("op"), F.lit("pieces-1").alias("tokenizer"), F.lit(None).cast("long").alias("tokens"), F.col("pieces").cast("long").alias("old_tokens"))
+    revised = F.struct(F.lit(rollups.REVISE).alias("op"), F.lit("pieces-1").alias("tokenizer"), (F.col("pieces") - F.col("digits")).cast("long").alias("tokens"), F.col("pieces").cast("long").alias("old_tokens"))
+    each = F.when(F.col("quality") == 0, F.array(gone, gone_too)).when((F.col("quality") == 1) & (F.col("digits") > 0), F.array(revised))
+    changed = facts.select("source", "lang", F.explode(each).alias("c")).select("source", "lang", "c.*")
+    for batch, changes in (("0001", inserted), ("0002", changed), ("0001", inserted), ("0002", changed)):
+        store.commit(batch, changes)
+    return store.totals()
+
+
+_OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+c AS (SELECT d.source, d.lang, q.quality,
+        len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
+        len(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z\x20\x09-\x0D]')) AS pieces,
+        len(regexp_extract_all(t, '[0-9]')) AS digits
+      FROM d LEFT JOIN labels q ON d.doc_id = q.doc_id),
+k AS (SELECT * FROM c WHERE quality IS DISTINCT FROM 0)
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS docs, sum(words)::BIGINT AS tokens FROM k GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*)::BIGINT, sum(CASE WHEN quality = 1 THEN pieces - digits ELSE pieces END)::BIGINT FROM k GROUP BY source, lang
+"""
+
+
+def op7_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamming
+
+    codes = common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.top_k(codes, codes.filter("id % 50 = 0"), k=10)
+    return found.select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "distance")
+
+
+_OP7_SQL = """
+WITH bits AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64),
+c AS (SELECT vec_id, string_agg(CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END, '' ORDER BY i)::BIT AS code FROM bits GROUP BY vec_id),
+r AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::BIGINT AS distance,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id)::INTEGER AS rank
+      FROM c q JOIN c ON q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_rollups": _OP6_SQL, "op7_hamming": _OP7_SQL}
