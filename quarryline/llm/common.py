@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words, as every operator here counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int = 5):
+    """At most ``rows`` labelled documents as a pandas frame (text, label), the first in a hash order of their ids.  The bound holds for the ids sent to the join and for the rows that come back."""
+    picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
+    picked = picked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "label").limit(rows)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(picked), "doc_id")
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.xxhash64("text"), F.col("label")]
+    return found.orderBy(*order).limit(rows).select("text", "label").toPandas()

@@ -159,6 +159,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, index_block: int =
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).cast("long").alias("distance")).filter("false")
     blocks = _blocks(rows, index_block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     pairs = blocks.join(parts, "part").select("ids", "codes", "q_ids", "q_codes")
+    pairs = pairs.repartition(max(8, 2 * index.sparkSession.sparkContext.defaultParallelism))  # a few packed rows each
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = _masks()

@@ -101,6 +101,34 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+def _held_out(column: str = "doc_id", by: int = 3, rest: int = 1):
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by == rest, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~_held_out()))
+    return quality.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~_held_out()))
+    return toxicity.score(docs, model).select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~_held_out(by=5, rest=0)))
+    return language.score(docs, model).select("doc_id", _held_out(by=5, rest=0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -177,3 +177,29 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+#: Bytes of letters: ASCII letters and all bytes of longer characters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of the maximal runs of letter bytes."""
+    starts, ends = edges(LETTER[data], offsets)
+    return starts, ends, owner(starts, offsets)
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a / np.maximum(b, 1)
+
+
+def span_sums(running: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return running[ends] - running[starts]
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """Cumulative sum with a leading zero."""
+    out = np.zeros(len(flags) + 1, np.int64 if flags.dtype == bool else flags.dtype)
+    np.cumsum(flags, out=out[1:])
+    return out
