@@ -101,6 +101,12 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def _held_out(column: str = "doc_id", by: int = 3, rest: int = 1):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by == rest, F.lit(False))
 
