@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, s
     found = texts.join(F.broadcast(picked), "doc_id")
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.xxhash64("text"), F.col("label")]
     return found.orderBy(*order).limit(rows).select("text", "label").toPandas()
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool, run: Callable, schema: str) -> DataFrame:
+    """``run`` over (id, text), and over the whole input row as a struct if it is to come back."""
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    if not carry:
+        return docs.select(*cols).mapInArrow(run, schema)
+    rows = docs.select(*cols, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(run, f"{schema}, row {docs.schema.simpleString()}")
+
+
+def with_rows(batch: pa.RecordBatch, lo: int, hi: int, cols: list, names: list[str]) -> pa.RecordBatch:
+    """Results of the rows lo to hi of a batch, with the rows themselves where the batch has them."""
+    if batch.num_columns > 2:
+        cols, names = [*cols, batch.column(2).slice(lo, hi - lo)], [*names, "row"]
+    return pa.RecordBatch.from_arrays(cols, names)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import textscan as ts
 
 
@@ -94,15 +95,15 @@ def _scan(lengths: tuple[int, ...]):
                 grams = m.pop("gram_shares")
                 cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(m["line_share"])]
                 cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, grams.size + 1, max(1, grams.shape[1]), dtype=np.int32)), pa.array(grams.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_share", "gram_shares"])
+                yield common.with_rows(batch, lo, hi, cols, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_share", "gram_shares"])
 
     return scan
 
 
-def repetition(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the figures above, ``base_failed`` and ``kept``."""
+def repetition(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per input row: the figures above, ``base_failed`` and ``kept``; with ``carry`` also the input row, as the struct ``row``, so that a filter needs no join."""
     lengths = tuple(sorted(n for n, _ in limits.ngrams))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan(lengths), SCHEMA)
+    found = common.carried(docs, id_col, text_col, carry, _scan(lengths), SCHEMA)
     base = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     fine = F.col("line_share") <= limits.line_chars
     for i, (_, most) in enumerate(sorted(limits.ngrams)):

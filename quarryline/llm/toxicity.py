@@ -176,8 +176,8 @@ def _features(s: np.ndarray, doc: np.ndarray, n: int, model: Model) -> tuple[np.
     return x, passages
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, best (strength of the best segment) and the passages (code-point offsets) of every row."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, score, best (strength of the best segment) and the passages (code-point offsets) of every row; with ``carry`` also the input row, as the struct ``row``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in ts.slabs(batch.column(1)):
@@ -187,9 +187,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 points = ts.code_points(data)
                 spans = [[{"start": points[starts[a]] - points[offsets[d]], "end": points[ends[b - 1]] - points[offsets[d]], "score": v, "p_value": p} for a, b, v, p in row] for d, row in enumerate(passages)]
                 p = crf.sigmoid(x @ model.weights[:2] + model.weights[2])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array(x[:, 0]), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "score", "best", "passages"])
+                yield common.with_rows(batch, lo, hi, [batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array(x[:, 0]), pa.array(spans, pa.list_(_SPAN))], ["doc_id", "score", "best", "passages"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return common.carried(docs, id_col, text_col, carry, run, SCHEMA)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "toxic") -> Model:
