@@ -12,8 +12,10 @@ Two sets link when 100 * intersection >= 75 * union.
   its first n - o + l shingles.  Linked sets with l and m share at least
   min(l, m) of them.  Each set takes the l with the least estimated cost: list
   lengths of its prefix for looking candidates up, and those over l for
-  verifying them.  Sets of rare shingles stay at l = 1; sets among many copies
-  or common passages lengthen their prefix and ask for more shared shingles.
+  verifying them.  Sets of rare shingles stay at the least level; sets among many
+  copies or common passages lengthen their prefix and ask for more shared
+  shingles.  A class with fewer shared shingles than any partner of fitting size
+  could ask for is left out before any set is read.
 * Prefix postings are dealt by hash of the shingle as packed binaries; shingles
   met in one class only end there.
 * Components are contracted while joining: in each star round every class is
@@ -51,9 +53,12 @@ class Settings:
     percent: int = 75
     #: Rows of the table of frequent shingles, and shingles counted together for it.
     frequent: int = 200_000
-    counted: int = 2_000_000
-    longest: int = 8
-    verify_cost: float = 8.0
+    counted: int = 1_000_000
+    #: Prefix levels l that a set chooses from, in percent of its shingles (at least 1).  The least bounds what any partner asks for.
+    levels: tuple[int, ...] = (10, 15, 20, 30)
+    #: Lists that an unlisted shingle is taken to share, and the cost of verifying a candidate for each shingle of the set.
+    background: float = 0.2
+    verify_cost: float = 0.5
     #: Postings in a bucket, about.
     bucket: int = 1_000_000
     star_rounds: int = 3
@@ -142,25 +147,27 @@ def prefixes(h: np.ndarray, d: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
     cost = ts.running(np.where(weight > 0, np.exp2(weight / 8.0), 0.0))
     need = -(-sizes * settings.percent // 100)
     best, level = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
-    for n in range(1, settings.longest + 1):
-        stop = begin + np.minimum(sizes - need + n, sizes)
-        price = (cost[stop] - cost[begin]) * (1 + settings.verify_cost / n)
+    for share in settings.levels:
+        n = np.maximum(1, sizes * share // 100)
+        length = np.minimum(sizes - need + n, sizes)
+        lists = cost[begin + length] - cost[begin]
+        price = length + lists + settings.verify_cost * sizes * (lists + settings.background * length) / n
         better = (price < best) & (n <= np.maximum(need, 1))
         best, level = np.where(better, price, best), np.where(better, n, level)
     keep = np.arange(len(h)) - begin[d] < (sizes - need + level)[d]
     return h[keep], d[keep], level
 
 
-def _postings(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int, chunk: int = 8 << 20):
+def _postings(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int):
     """Packed postings: bucket, shingles (next 32 bits), index into the classes, and the classes with size and l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, offsets in ts.slabs(batch.column(0), chunk):
+            for lo, hi, data, offsets in ts.slabs(batch.column(0)):
                 h, d = shingle_sets(data, offsets, settings.words)
                 sizes, cls = classes(h, d, hi - lo)
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 fresh = np.array([c != 0 and c not in seen and not seen.add(c) for c in cls.tolist()], bool)
                 renumber = np.cumsum(fresh) - 1
@@ -261,9 +268,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Lists with components, without those whose classes are in one component already."""
-    if labels is None:
-        return lists.withColumn("comp", F.col("cls"))
-    rows = lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = lists.withColumn("comp", F.col("cls"))
+    if labels is not None:
+        rows = lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     return rows.join(mixed, "key", "left_semi")
 
@@ -312,10 +319,15 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     packed = texts.select("text").mapInArrow(_postings(settings, keys, weights, bits), _POSTINGS)
     lists = common.cut(packed.groupBy("bucket").applyInArrow(_shared, _LISTS))
     _tidy(spark)
-    involved = lists.select("cls").distinct()
+    # A partner has at least 75 % of the shingles, and so at least 75 % of the least level.
+    floor = F.greatest(F.lit(1), F.expr(f"n * {min(settings.levels) * settings.percent} DIV 10000"))
+    involved = common.cut(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls"))
+    lists = common.cut(_labelled(lists.join(involved, "cls", "left_semi"), None).drop("comp"))
     reps = common.cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     some = _maybe(texts.filter("doc_id IS NOT NULL"), reps).join(reps, "doc_id").select("cls", "text")
-    sets = common.cut(some.mapInArrow(_sets(settings), "cls long, shingles binary").dropDuplicates(["cls"]))
+    sets = common.cut(some.mapInArrow(_sets(settings), "cls long, shingles binary"))
+    if sets.count() > reps.count():  # an id that stands in several equal rows
+        sets = common.cut(sets.dropDuplicates(["cls"]))
     _tidy(spark)
 
     links, labels = None, None

@@ -12,6 +12,7 @@ by an avalanche, so any number of spans is hashed from one cumulative sum.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,16 @@ def slabs(column: pa.Array | pa.ChunkedArray, limit: int = SLAB_BYTES) -> Iterat
         hi = min(hi, len(column))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept for later stages, beside which others run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def edges(inside: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

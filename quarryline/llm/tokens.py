@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 
 #: Pieces that a worker remembers; beyond it the table starts afresh.
-MEMORY = 1_500_000
+MEMORY = 700_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
