@@ -41,7 +41,7 @@ PREFIXES = (4, 5, 6)
 @dataclass(frozen=True)
 class Settings:
     #: Most labelled rows to learn from.
-    sample_rows: int = 8000
+    sample_rows: int = 4000
     prior: float = 200.0
     #: A token counts from this standardised log-odds ratio on, and from this many nats beyond chance.
     min_z: float = 2.0
