@@ -147,7 +147,7 @@ def learn(texts, labels: np.ndarray, settings: Settings) -> Model:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (1 - share * len(positive)) * np.exp(-mid * settings.penalty) + share * np.exp(mid * positive).sum() < 1 else (lo, mid)
     model.decay = max(lo, 0.05)
-    x = np.concatenate([_features(word_scores(k, model.keys, model.scores, settings.penalty), d, n, model)[0] for _, k, d, n in held])
+    x = np.concatenate([np.zeros((0, 2))] + [_features(word_scores(k, model.keys, model.scores, settings.penalty), d, n, model)[0] for _, k, d, n in held])
     share = float(labels.mean()) if len(labels) else 0.5
     if 0 < share < 1:
         model.weights = crf.logistic(x, labels.astype(float), 1e-4)
