@@ -20,10 +20,18 @@ Two sets link when 100 * intersection >= 75 * union.
   met in one class only end there.
 * Components are contracted while joining: in each star round every class is
   verified against one class, the one that shares most lists with it as their
-  hub, in lists that hold more than one component.  What is left is joined
-  list by list, pairs of different components with enough shared prefix shingles
-  only, and every such pair is verified.  So no pair that could join two
-  components is left out, while a group of n near copies costs about n pairs.
+  hub, in lists that hold more than one component.  The hub of a list is the
+  class with the greatest share of its shingles in lists, as originals have.
+* A class A that fails its hub H is *masked* by it: with i = |A and H|, a partner
+  B shares at least 3/7 (|A| + |B|) - i shingles outside H with it.  That is
+  positive for all B from a least size on, which is at most |H|.  For these, A
+  looks up its shingles outside H (but for the last few, as any B must have one
+  of the others) against the whole sets of what is left, and B must have enough
+  of them.  What a group of copies has in common lies in H and is never looked up.
+* Pairs that no mask covers are joined list by list, pairs of different
+  components with enough shared prefix shingles only.  All these pairs are
+  verified, so no pair that could join two components is left out, while a
+  group of n copies, near or below the threshold, costs about n pairs.
 * Verification is exact on the whole sets, read again for the classes in
   question only.
 
@@ -231,23 +239,88 @@ def _sets(settings: Settings):
 def _overlap(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            linked, least, bound = [], [], []
             for one, two in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
-                same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                out.append(100 * same >= percent * (len(a) + len(b) - same))
-            keep = pa.array(out, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+                few, many = (a, b) if len(a) <= len(b) else (b, a)
+                same = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                linked.append(100 * same >= percent * (len(a) + len(b) - same))
+                least.append(same * (100 + percent) // percent - len(b) + 1)
+                bound.append(max(same, -(-len(b) * percent // 100) - 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(least, pa.int64()), pa.array(bound, pa.int64())], ["a", "b", "linked", "least", "bound"])
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) and whether they link; as a mask of b, the least size of the partners it is for, and the most that these can share with b in shingles that b does not look up."""
     two = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = two.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return common.cut(both.select("a", "b", "x", "y").mapInArrow(_overlap(settings.percent), "a long, b long"))
+    return common.cut(both.select("a", "b", "x", "y").mapInArrow(_overlap(settings.percent), "a long, b long, linked boolean, least long, bound long"))
+
+
+def _outside(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int):
+    """Packed shingles of whole sets by bucket, with a flag for those that a masked class looks up: its first ones outside its hub."""
+
+    def flags(x: np.ndarray, hub: np.ndarray) -> np.ndarray:
+        free = hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] != x
+        weight = np.zeros(len(x), np.uint8)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            weight = np.where(keys[at] == x, weights[at], 0)
+        order = np.argsort(weight, kind="stable")
+        order = order[free[order]]
+        out = np.zeros(len(x), bool)
+        need = -(-len(x) * settings.percent // 100)
+        out[order[: len(x) - max(len(x) - len(order), need - 1)]] = True
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            size = 0
+            for i, (cls, one, hub) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
+                x = np.frombuffer(one.as_buffer(), np.uint64)
+                held.append((cls, x, flags(x, np.frombuffer(hub.as_buffer(), np.uint64)) if hub.is_valid else np.zeros(len(x), bool)))
+                size += len(x)
+                if size < settings.counted and i + 1 < batch.num_rows:
+                    continue
+                own = np.array([r[0] for r in held], np.int64)
+                h, flag = np.concatenate([r[1] for r in held]), np.concatenate([r[2] for r in held])
+                idx = np.repeat(np.arange(len(held), dtype=np.int64), [len(r[1]) for r in held])
+                held, size = [], 0
+                order = np.argsort(h)
+                h, idx, flag = h[order], idx[order], flag[order]
+                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+                low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                rows = []
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+                    mine, back = np.unique(idx[a:b], return_inverse=True)
+                    rows.append((int(bucket[a]), low[a:b].tobytes(), back.astype(np.uint32).tobytes(), own[mine].tobytes(), flag[a:b].astype(np.uint8).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "low", "idx", "cls", "flag"])
+
+    return run
+
+
+def _looked_up(table: pa.Table) -> pa.Table:
+    """Shingles of a bucket that some class looks up and another has, with the classes."""
+    col = {c: [x.as_py() for x in table.column(c)] for c in ("low", "idx", "cls", "flag")}
+    low = np.concatenate([np.frombuffer(x, np.uint32) for x in col["low"]])
+    flag = np.concatenate([np.frombuffer(x, np.uint8) for x in col["flag"]]) > 0
+    base = np.cumsum([0] + [len(x) // 8 for x in col["cls"]])
+    idx = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(col["idx"], base, strict=False)])
+    cls = np.concatenate([np.frombuffer(x, np.int64) for x in col["cls"]])
+    wanted = np.unique(low[flag])
+    if len(wanted):
+        keep = wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low
+        low, idx, flag = low[keep], idx[keep], flag[keep]
+    else:
+        low, idx, flag = low[:0], idx[:0], flag[:0]
+    many = ts.repeated(low.astype(np.uint64))
+    low, idx, flag = low[many], idx[many], flag[many]
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"key": pa.array(bucket << 32 | low.astype(np.int64)), "cls": pa.array(cls[idx]), "probe": pa.array(flag)})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,13 +348,20 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "key", "left_semi")
 
 
+def _masked(rows: DataFrame, masks: DataFrame | None) -> DataFrame:
+    """Rows with the least size of the partners that their class's mask is for, null without a mask."""
+    if masks is None:
+        return rows.withColumn("least", F.lit(None).cast("long"))
+    return rows.join(masks.select("cls", "least"), "cls", "left")
+
+
 def _star(rows: DataFrame, number: int) -> DataFrame:
-    """One pair (a, b) for each class b: the hub a of most of its lists, of another component and fitting size."""
-    h = F.xxhash64("cls", F.lit(number)) if number else F.col("cls")
-    hubs = rows.groupBy("key").agg(F.min_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), h).alias("hub")).select("key", "hub.*")
-    pairs = rows.join(hubs, "key").filter("a != cls AND ac != comp AND 4 * least(n, an) >= 3 * greatest(n, an)")
-    counted = pairs.groupBy("cls", "a").agg(F.count("*").alias("c"))
-    return counted.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    """One pair (a, b) for each unmasked class b: the hub a of most of its lists, of another component and fitting size.  A list has a hub in each band of sizes; the bands shift by half with the round."""
+    banded = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(16 / 9)) + F.lit((number % 2) / 2)))
+    hubs = banded.groupBy("key", "band").agg(F.max_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), F.struct(F.col("c") / F.col("n"), "cls")).alias("hub")).select("key", "band", "hub.*")
+    pairs = banded.filter("least IS NULL").join(hubs, ["key", "band"]).filter("a != cls AND ac != comp AND 4 * least(n, an) >= 3 * greatest(n, an)")
+    counted = pairs.groupBy("cls", "a").agg(F.count("*").alias("shared"))
+    return counted.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -321,8 +401,8 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     _tidy(spark)
     # A partner has at least 75 % of the shingles, and so at least 75 % of the least level.
     floor = F.greatest(F.lit(1), F.expr(f"n * {min(settings.levels) * settings.percent} DIV 10000"))
-    involved = common.cut(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls"))
-    lists = common.cut(_labelled(lists.join(involved, "cls", "left_semi"), None).drop("comp"))
+    involved = common.cut(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls", "c"))
+    lists = common.cut(_labelled(lists.join(involved, "cls"), None).drop("comp"))
     reps = common.cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     some = _maybe(texts.filter("doc_id IS NOT NULL"), reps).join(reps, "doc_id").select("cls", "text")
     sets = common.cut(some.mapInArrow(_sets(settings), "cls long, shingles binary"))
@@ -330,17 +410,36 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
         sets = common.cut(sets.dropDuplicates(["cls"]))
     _tidy(spark)
 
-    links, labels = None, None
+    links, labels, masks = None, None, None
     for number in range(settings.star_rounds):
-        found = verified(_star(_labelled(lists, labels), number), sets, settings)
-        links = found if links is None else links.union(found)
+        found = verified(_star(_masked(_labelled(lists, labels), masks), number), sets, settings)
+        linked, failed = found.filter("linked").select("a", "b"), found.filter("NOT linked").select(F.col("b").alias("cls"), F.col("a").alias("hub"), "least", "bound")
+        links = linked if links is None else links.union(linked)
+        masks = failed if masks is None else masks.union(failed)
         labels = components(links)
         _tidy(spark)
-    rows_left = common.cut(_labelled(lists, labels))
-    one, two = (rows_left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "level", "comp"))) for s in "ab")
-    pairs = one.join(two, "key").filter("cls_a < cls_b AND comp_a != comp_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    counted = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("c"), F.first("level_a").alias("la"), F.first("level_b").alias("lb"))
-    found = verified(counted.filter("c >= least(la, lb)").select("a", "b"), sets, settings)
+    left = common.cut(_masked(_labelled(lists, labels), masks))
+    fits = "comp_a != comp_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+    smallest = left.groupBy("key").agg(F.min("n").alias("smallest"))
+    uncovered = left.join(smallest, "key").filter("least IS NULL OR smallest < least").drop("smallest")
+    mixed = uncovered.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    uncovered = uncovered.join(mixed, "key", "left_semi")
+    one, two = (uncovered.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "level", "comp", "least"))) for s in "ab")
+    counted = one.join(two, "key").filter(f"cls_a < cls_b AND {fits} AND (least_a IS NULL OR n_b < least_a) AND (least_b IS NULL OR n_a < least_b)")
+    counted = counted.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("c"), F.first("level_a").alias("la"), F.first("level_b").alias("lb"))
+
+    some = left.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
+    hubs = masks.join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("y")), "hub").select("cls", "y")
+    whole = sets.join(some, "cls", "left_semi").join(hubs, "cls", "left").select("cls", "shingles", "y")
+    packed = whole.mapInArrow(_outside(settings, keys, weights, min(30, bits + 2)), "bucket long, low binary, idx binary, cls binary, flag binary")
+    met = common.cut(packed.groupBy("bucket").applyInArrow(_looked_up, "key long, cls long, probe boolean"))
+    met = met.join(some, "cls").join(masks.select("cls", "least", "bound"), "cls", "left")
+    asking = met.filter("probe").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "least", "bound")
+    asked = asking.join(met.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "key").filter(f"a != b AND n_b >= least AND {fits}")
+    asked = asked.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("bound").alias("bound"), F.first(F.expr("n_a + n_b")).alias("both"))
+    asked = asked.filter((F.col("c") + F.col("bound")) * (100 + settings.percent) >= F.col("both") * settings.percent)
+    asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = verified(counted.filter("c >= least(la, lb)").select("a", "b").union(asked).distinct(), sets, settings).filter("linked").select("a", "b")
     labels = components(links.union(found))
     _tidy(spark)
     return rows, labels
