@@ -151,6 +151,36 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """Groups of copies of mixed similarity and length: most pairs share much and do not link."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for group in range(2):
+        base = [f"g{group}w{i}" for i in range(150)]
+        for copy in range(60):
+            words = list(base)
+            for at in rng.integers(0, 150, rng.integers(0, 14)).tolist():
+                words[at] = f"n{rng.integers(0, 400)}"
+            texts.append(" ".join(words[: 150 - int(rng.integers(0, 40))] + (["extra"] * (copy % 3))))
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: (len(a), root(i)) for i, a in enumerate(sets)}
+    assert 2 < len({c for _, c in got.values()}) < len(texts)
+
+
 def test_models(spark, docs, empty):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (9, 0, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     for module in (quality, toxicity):
