@@ -36,7 +36,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Most rows of each language, and most chains of words, to learn from.
+    #: Most languages (the commonest are learned), rows of each, and chains of words to learn from.
+    languages: int = 200
     rows: int = 600
     chains: int = 5000
     chain: int = 64
@@ -190,7 +191,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def train(docs: DataFrame, settings: Settings = Settings(), seed: int = 11) -> Model:
     """From text and lang of ``docs`` (rows that may be learned from)."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    ids = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
-    sample = ids.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= settings.rows).select("text", "lang").orderBy("lang", "text").toPandas()
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    # The least hashes of a language lie below a bound set by its count, so few rows of it meet in one task.
+    some = 8 * settings.rows
+    most = F.when(F.col("count") <= some, F.lit(2**63 - 1)).otherwise((some / F.col("count") * 2.0**64 - 2.0**63).cast("long"))
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang", most.alias("most"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    sample = known.join(F.broadcast(langs), "lang").filter("h <= most").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= settings.rows)
+    sample = sample.select("text", "lang").orderBy("lang", "text").toPandas()
     return learn(sample["text"].tolist(), sample["lang"].tolist(), settings)
