@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     """The pairs (a, b) and whether they link; as a mask of b, the least size of the partners it is for, and the most that these can share with b in shingles that b does not look up."""
     two = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = two.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return common.cut(both.select("a", "b", "x", "y").mapInArrow(_overlap(settings.percent), "a long, b long, linked boolean, least long, bound long"))
+    return common.stored(both.select("a", "b", "x", "y").mapInArrow(_overlap(settings.percent), "a long, b long, linked boolean, least long, bound long"))
 
 
 def _outside(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int):
@@ -325,14 +325,14 @@ def _looked_up(table: pa.Table) -> pa.Table:
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, comp): the least node reachable by the links (a, b), for the nodes that have one."""
-    edges = common.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = common.stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("comp")).select("cls", F.least("cls", "comp").alias("comp"))
-    labels = common.cut(labels)
+    labels = common.stored(labels)
     while True:
         near = edges.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
-        step = common.cut(step.join(jump, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
+        step = common.stored(step.join(jump, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
         moved = step.filter("comp < old").limit(1).count()
         labels = step.select("cls", "comp")
         if not moved:
@@ -386,7 +386,7 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     """(doc_id, cls, n_shingles) of every row, and (cls, comp) of the classes that link with others."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    summary = common.cut(texts.mapInArrow(_summary(settings), "doc_id long, cls long, n long, frequent boolean"))
+    summary = common.stored(texts.mapInArrow(_summary(settings), "doc_id long, cls long, n long, frequent boolean"))
     rows = summary.filter("NOT frequent").select("doc_id", "cls", F.col("n").alias("n_shingles"))
     top = summary.filter("frequent").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(settings.frequent).toPandas()
     order = np.argsort(top["cls"].to_numpy(np.int64).view(np.uint64))
@@ -397,17 +397,17 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
 
     # A table of at most ``frequent`` rows goes to every task with the function.
     packed = texts.select("text").mapInArrow(_postings(settings, keys, weights, bits), _POSTINGS)
-    lists = common.cut(packed.groupBy("bucket").applyInArrow(_shared, _LISTS))
+    lists = common.stored(packed.groupBy("bucket").applyInArrow(_shared, _LISTS))
     _tidy(spark)
     # A partner has at least 75 % of the shingles, and so at least 75 % of the least level.
     floor = F.greatest(F.lit(1), F.expr(f"n * {min(settings.levels) * settings.percent} DIV 10000"))
-    involved = common.cut(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls", "c"))
-    lists = common.cut(_labelled(lists.join(involved, "cls"), None).drop("comp"))
-    reps = common.cut(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    involved = common.stored(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls", "c"))
+    lists = common.stored(_labelled(lists.join(involved, "cls"), None).drop("comp"))
+    reps = common.stored(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
     some = _maybe(texts.filter("doc_id IS NOT NULL"), reps).join(reps, "doc_id").select("cls", "text")
-    sets = common.cut(some.mapInArrow(_sets(settings), "cls long, shingles binary"))
+    sets = common.stored(some.mapInArrow(_sets(settings), "cls long, shingles binary"))
     if sets.count() > reps.count():  # an id that stands in several equal rows
-        sets = common.cut(sets.dropDuplicates(["cls"]))
+        sets = common.stored(sets.dropDuplicates(["cls"]))
     _tidy(spark)
 
     links, labels, masks = None, None, None
@@ -418,7 +418,7 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
         masks = failed if masks is None else masks.union(failed)
         labels = components(links)
         _tidy(spark)
-    left = common.cut(_masked(_labelled(lists, labels), masks))
+    left = common.stored(_masked(_labelled(lists, labels), masks))
     fits = "comp_a != comp_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
     smallest = left.groupBy("key").agg(F.min("n").alias("smallest"))
     uncovered = left.join(smallest, "key").filter("least IS NULL OR smallest < least").drop("smallest")
@@ -432,7 +432,7 @@ def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "do
     hubs = masks.join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("y")), "hub").select("cls", "y")
     whole = sets.join(some, "cls", "left_semi").join(hubs, "cls", "left").select("cls", "shingles", "y")
     packed = whole.mapInArrow(_outside(settings, keys, weights, min(30, bits + 2)), "bucket long, low binary, idx binary, cls binary, flag binary")
-    met = common.cut(packed.groupBy("bucket").applyInArrow(_looked_up, "key long, cls long, probe boolean"))
+    met = common.stored(packed.groupBy("bucket").applyInArrow(_looked_up, "key long, cls long, probe boolean"))
     met = met.join(some, "cls").join(masks.select("cls", "least", "bound"), "cls", "left")
     asking = met.filter("probe").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "least", "bound")
     asked = asking.join(met.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "key").filter(f"a != b AND n_b >= least AND {fits}")
