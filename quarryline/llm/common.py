@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (tests, one machine) a fresh temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset, a fresh temporary folder in local mode (tests, one machine), and an error on a cluster."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder and set_dir.isDefined():
         folder = set_dir.get()
     if not folder:
+        master = sc.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
     if not set_dir.isDefined():
         sc.setCheckpointDir(folder)
@@ -40,23 +46,81 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Written as a table in the shared folder and read again: cuts the lineage as ``cut`` does, and small parts of many stages are read together."""
-    path = fresh_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).store(df)
+
+
+class Scratch:
+    """Tables of intermediate results in the shared folder, deleted as soon as they are superseded."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.held: list[DataFrame] = []  # keeps the numbers in ``paths`` valid
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "stored")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self.held.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            remove(self.spark, self.paths.pop(id(df)))
+
+    def drop_all(self, *but: DataFrame) -> None:
+        for df in [x for x in self.held if id(x) in self.paths and all(x is not y for y in but)]:
+            self.drop(df)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of a query when it ends: for operators that write table after table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int = 5):
-    """At most ``rows`` labelled documents as a pandas frame (text, label), the first in a hash order of their ids.  The bound holds for the ids sent to the join and for the rows that come back."""
-    picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int = 5) -> DataFrame:
+    """At most ``rows`` labelled documents (text, label long), the first in a hash order of their ids; null labels and ids are left out.  The bound holds for the ids sent to the join and for the rows that come back."""
+    picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("long").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "label").limit(rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), "doc_id")
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.xxhash64("text"), F.col("label")]
-    return found.orderBy(*order).limit(rows).select("text", "label").toPandas()
+    return found.orderBy(*order).limit(rows).select("text", "label")
+
+
+def fitted(sample: DataFrame, learn: Callable[[list, list], object]):
+    """``learn(first column, second column)`` run in one task over a sample of bounded size; the driver gets the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches]
+        model = learn([x for a, _ in held for x in a], [x for _, b in held for x in b])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # repartition, not coalesce: the scan before it keeps its tasks.
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else learn([], [])
+
+
+def int_labels(values: list) -> np.ndarray:
+    return np.array(values, np.int64)
 
 
 def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool, run: Callable, schema: str) -> DataFrame:

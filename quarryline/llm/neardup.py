@@ -3,8 +3,9 @@
 Texts are sets of distinct 5-word shingles (64-bit hashes of lower-cased words).
 Two sets link when 100 * intersection >= 75 * union.
 
-* Equal sets are one class (by a 64-bit hash of the set; at 10^9 sets a false
-  merge has probability 3 %), so exact copies are never expanded.
+* Equal sets are one class, so exact copies are never expanded.  A class has a
+  64-bit number; a second hash of the set finds the rare sets that would share
+  one, which get numbers of their own.
 * All sets are sorted in one global order: estimated frequency, then hash.  The
   estimate is a bounded table of the shingles that recur most; any order gives
   right results, this one keeps common passages out of the prefixes.
@@ -16,29 +17,35 @@ Two sets link when 100 * intersection >= 75 * union.
   copies or common passages lengthen their prefix and ask for more shared
   shingles.  A class with fewer shared shingles than any partner of fitting size
   could ask for is left out before any set is read.
-* Prefix postings are dealt by hash of the shingle as packed binaries; shingles
-  met in one class only end there.
-* Components are contracted while joining: in each star round every class is
-  verified against one class, the one that shares most lists with it as their
-  hub, in lists that hold more than one component.  The hub of a list is the
-  class with the greatest share of its shingles in lists, as originals have.
-* A class A that fails its hub H is *masked* by it: with i = |A and H|, a partner
+* Prefix postings are dealt by hash of the shingle as packed binaries.  A list
+  key is the bucket and 32 further bits; shingles of one set that meet in a key
+  lower what the set asks for by their number, so no shared shingle is missed.
+* Lists of at most ``short`` classes give all their pairs, counted in the bucket.
+  A pair is verified if its count and the long lists that both are in could make
+  up min(l, m).
+* Longer lists give each class one pair: with the list's hub, the class of about
+  its size with the greatest share of frequent shingles, as originals have.  A
+  class is verified against the ``hubs`` hubs that it shares most lists with.
+* A class A that fails a hub H is *masked* by it: with i = |A and H|, a partner
   B shares at least 3/7 (|A| + |B|) - i shingles outside H with it.  That is
   positive for all B from a least size on, which is at most |H|.  For these, A
   looks up its shingles outside H (but for the last few, as any B must have one
   of the others) against the whole sets of what is left, and B must have enough
   of them.  What a group of copies has in common lies in H and is never looked up.
-* Pairs that no mask covers are joined list by list, pairs of different
-  components with enough shared prefix shingles only.  All these pairs are
-  verified, so no pair that could join two components is left out, while a
-  group of n copies, near or below the threshold, costs about n pairs.
+* Links so far are contracted to components.  Pairs of classes in long lists that
+  lie in different components and that no mask covers are counted list by list.
+  All these pairs are verified, so no pair that could join two components is left
+  out, while a group of n copies, near or below the threshold, costs about n pairs.
 * Verification is exact on the whole sets, read again for the classes in
   question only.
 
+Each step is a table in the shared folder, deleted when the next ones are made;
+only the tables that the result reads stay.
+
 Defined cases: null, empty and blank texts have no shingle, link with nothing
 and are a component each; texts of one to four words are one shingle; equal ids
 are rows each, and the component of a row without id is null unless a linked
-row has one; extra columns are not read.
+row has one; no rows give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +55,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,7 +76,40 @@ class Settings:
     verify_cost: float = 0.5
     #: Postings in a bucket, about.
     bucket: int = 1_000_000
-    star_rounds: int = 3
+    #: Classes of a list that is paired in full, and hubs that a class of longer lists is verified against.
+    short: int = 8
+    hubs: int = 3
+    #: Bits of a class number before clashes are mended (fewer in tests).
+    class_bits: int = 64
+
+
+class Sets:
+    """Sets and classes of texts; ``clashes`` are (class, second hash) to the number that such a set has instead."""
+
+    def __init__(self, settings: Settings, clashes: dict[tuple[int, int], int] | None = None):
+        self.settings, self.clashes = settings, clashes or {}
+
+    def classes(self, h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size of each text's set, its class (0: empty) and the second hash."""
+        sizes = ts.per_text(d, n)
+        out, second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            own = d[first]
+            for into, salt in ((out, 0x5851F42D4C957F2D), (second, 0x14057B7EF767814F)):
+                total = np.add.reduceat(ts.mix(h ^ np.uint64(salt)), first)
+                into[own] = ts.mix(total + sizes[own].astype(np.uint64)) | np.uint64(1)
+            out[own] = (out[own] >> np.uint64(64 - self.settings.class_bits)) | np.uint64(1)
+            if self.clashes:
+                met = {c for c, _ in self.clashes}
+                for i in own[np.isin(out[own], np.array(sorted(met), np.uint64))].tolist():
+                    out[i] = self.clashes.get((int(out[i]), int(second[i])), int(out[i]))
+        return sizes, out, second
+
+    def read(self, data: np.ndarray, offsets: np.ndarray):
+        """Shingles, their text index, and size, class and second hash of each text."""
+        h, d = shingle_sets(data, offsets, self.settings.words)
+        return h, d, *self.classes(h, d, len(offsets) - 1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,25 +138,15 @@ def _narrow(d: np.ndarray) -> np.ndarray:
     return d.astype(np.uint16) if not len(d) or d.max() < 65536 else d
 
 
-def classes(h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each text's set and the hash of the set (0: empty)."""
-    sizes = ts.per_text(d, n)
-    out = np.zeros(n, np.uint64)
-    if len(h):
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        total = np.add.reduceat(ts.mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
-        out[d[first]] = ts.mix(total + sizes[d[first]].astype(np.uint64)) | np.uint64(1)
-    return sizes, out
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _summary(settings: Settings):
-    """Rows (doc_id, cls, n) of the texts, and (null, shingle, count) of shingles that several classes of a run of texts share."""
+def _summary(sets: Sets):
+    """Rows (doc_id, cls, second, n) of the texts, and (null, shingle, null, count) of shingles that several classes of a run of texts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "cls", "second", "n", "frequent"]
         held: list[np.ndarray] = []
         seen: set[int] = set()
 
@@ -125,16 +155,15 @@ def _summary(settings: Settings):
             held.clear()
             seen.clear()
             keys, counts = keys[counts > 1], counts[counts > 1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64)), pa.array(np.ones(len(keys), bool))], ["doc_id", "cls", "n", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(np.ones(len(keys), bool))], names)
 
         for batch in batches:
             for lo, hi, data, offsets in ts.slabs(batch.column(1)):
-                h, d = shingle_sets(data, offsets, settings.words)
-                sizes, cls = classes(h, d, hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cls.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(np.zeros(hi - lo, bool))], ["doc_id", "cls", "n", "frequent"])
+                h, d, sizes, cls, second = sets.read(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cls.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(np.zeros(hi - lo, bool))], names)
                 fresh = np.array([c not in seen and not seen.add(c) for c in cls.tolist()], bool)
                 held.append(h[fresh[d]])
-                if sum(map(len, held)) >= settings.counted:
+                if sum(map(len, held)) >= sets.settings.counted:
                     yield from flush()
         if held:
             yield from flush()
@@ -142,92 +171,191 @@ def _summary(settings: Settings):
     return run
 
 
-def prefixes(h: np.ndarray, d: np.ndarray, sizes: np.ndarray, keys: np.ndarray, weights: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and text index of the prefix shingles, and the l of each text."""
-    weight = np.zeros(len(h), np.uint8)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        weight = np.where(keys[at] == h, weights[at], 0).astype(np.uint8)
-    order = np.argsort(weight, kind="stable")
-    order = order[np.argsort(_narrow(d)[order], kind="stable")]
-    h, d, weight = h[order], d[order], weight[order]
-    begin = np.cumsum(sizes) - sizes
-    cost = ts.running(np.where(weight > 0, np.exp2(weight / 8.0), 0.0))
-    need = -(-sizes * settings.percent // 100)
-    best, level = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
-    for share in settings.levels:
-        n = np.maximum(1, sizes * share // 100)
-        length = np.minimum(sizes - need + n, sizes)
-        lists = cost[begin + length] - cost[begin]
-        price = length + lists + settings.verify_cost * sizes * (lists + settings.background * length) / n
-        better = (price < best) & (n <= np.maximum(need, 1))
-        best, level = np.where(better, price, best), np.where(better, n, level)
-    keep = np.arange(len(h)) - begin[d] < (sizes - need + level)[d]
-    return h[keep], d[keep], level
-
-
-def _postings(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int):
-    """Packed postings: bucket, shingles (next 32 bits), index into the classes, and the classes with size and l."""
+@dataclass
+class Prefix:
+    """Prefix shingles with their text index; of each text: what it asks for and the share of frequent shingles in its set (0 to 255)."""
+
+    h: np.ndarray
+    d: np.ndarray
+    level: np.ndarray
+    usual: np.ndarray
+
+
+class Order:
+    """The global order of shingles."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        self.keys, self.weights = keys, weights
+
+    def weigh(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(h), np.uint8)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.weights[at], 0).astype(np.uint8)
+
+    def prefixes(self, h: np.ndarray, d: np.ndarray, sizes: np.ndarray, settings: Settings) -> Prefix:
+        weight = self.weigh(h)
+        order = np.argsort(weight, kind="stable")
+        order = order[np.argsort(_narrow(d)[order], kind="stable")]
+        h, d, weight = h[order], d[order], weight[order]
+        begin = np.cumsum(sizes) - sizes
+        cost = ts.running(np.where(weight > 0, np.exp2(weight / 8.0), 0.0))
+        need = -(-sizes * settings.percent // 100)
+        best, level = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
+        for share in settings.levels:
+            n = np.maximum(1, sizes * share // 100)
+            length = np.minimum(sizes - need + n, sizes)
+            lists = cost[begin + length] - cost[begin]
+            price = length + lists + settings.verify_cost * sizes * (lists + settings.background * length) / n
+            better = (price < best) & (n <= np.maximum(need, 1))
+            best, level = np.where(better, price, best), np.where(better, n, level)
+        keep = np.arange(len(h)) - begin[d] < (sizes - need + level)[d]
+        usual = np.round(255 * ts.per_text(d, len(sizes), weight > 0) / np.maximum(sizes, 1)).astype(np.uint8)
+        return Prefix(h[keep], d[keep], level, usual)
+
+
+def _keyed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and the next 32 bits of a shingle."""
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return bucket, ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(bucket: np.ndarray, columns: list[np.ndarray], idx: np.ndarray, owned: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket: arrays of its postings, and of the classes that they belong to."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, idx, columns = bucket[order], idx[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    rows: list[tuple] = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
+        own, back = np.unique(idx[a:b], return_inverse=True)
+        rows.append((int(bucket[a]), *(c[a:b].tobytes() for c in columns), back.astype(np.uint32).tobytes(), *(x[own].tobytes() for x in owned)))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
+
+
+class Packed:
+    """The rows of one bucket together."""
+
+    def __init__(self, table: pa.Table):
+        self.table, self.bucket = table, table.column("bucket")[0].as_py()
+
+    def column(self, name: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in self.table.column(name)])
+
+    def owners(self, of: str) -> np.ndarray:
+        """Index into the class arrays (the column ``of`` is one of them, of 8 bytes) of every posting."""
+        base = np.cumsum([0] + [len(x.as_buffer()) // 8 for x in self.table.column(of)])
+        return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) + b for x, b in zip(self.table.column("idx"), base, strict=False)])
+
+
+_POSTING_NAMES = ["bucket", "low", "idx", "cls", "n", "level", "lost", "usual"]
+_POSTINGS = "bucket long, low binary, idx binary, cls binary, n binary, level binary, lost binary, usual binary"
+
+
+def _postings(sets: Sets, order: Order, bits: int):
+    """Packed prefix postings of each new class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, offsets in ts.slabs(batch.column(0)):
-                h, d = shingle_sets(data, offsets, settings.words)
-                sizes, cls = classes(h, d, hi - lo)
+            for _, _, data, offsets in ts.slabs(batch.column(0)):
+                h, d, sizes, cls, _ = sets.read(data, offsets)
                 if len(seen) > 200_000:
                     seen.clear()
                 fresh = np.array([c != 0 and c not in seen and not seen.add(c) for c in cls.tolist()], bool)
-                renumber = np.cumsum(fresh) - 1
                 keep = fresh[d]
-                h, d, sizes, cls = h[keep], renumber[d[keep]], sizes[fresh], cls[fresh]
+                h, d, sizes, cls = h[keep], (np.cumsum(fresh) - 1)[d[keep]], sizes[fresh], cls[fresh]
                 if not len(h):
                     continue
-                h, d, level = prefixes(h, d, sizes, keys, weights, settings)
-                bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                bucket, low, d = bucket[order], low[order], d[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                rows: list[tuple] = []
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                    own, back = np.unique(d[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), low[a:b].tobytes(), back.astype(np.uint32).tobytes(), cls[own].tobytes(), sizes[own].astype(np.uint32).tobytes(), level[own].astype(np.uint8).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "low", "idx", "cls", "n", "level"])
+                p = order.prefixes(h, d, sizes, sets.settings)
+                bucket, low = _keyed(p.h, bits)
+                # Shingles of one set in one key count once there: the set asks for so many less.
+                key = ts.in_text(bucket.astype(np.uint64) << np.uint64(32) | low, p.d)
+                lost = ts.per_text(p.d, len(sizes), ts.later(key)).astype(np.int32)
+                yield _packed(bucket, [low], p.d, [cls, sizes.astype(np.uint32), (p.level - lost).astype(np.int32), lost, p.usual], _POSTING_NAMES)
 
     return run
 
 
-_POSTINGS = "bucket long, low binary, idx binary, cls binary, n binary, level binary"
-_LISTS = "key long, cls long, n int, level int"
-
+PAIR, STAR, LIST, CLASS = 0, 1, 2, 3
+_MET = "kind int, key long, a long, b long, c long, n int, level int"
+
+
+def _counted(kind: int, one: np.ndarray, two: np.ndarray, of: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray) -> pa.Table:
+    """Pairs of class numbers, each once with its count; ``n`` is the sum of sizes and ``level`` what both ask for."""
+    size = max(1, len(of))
+    code, count = np.unique(one * size + two, return_counts=True)
+    one, two = of[code // size], of[code % size]
+    return _met(kind, np.zeros(len(code), np.int64), cls[one], cls[two], count, n[one] + n[two], np.minimum(level[one], level[two]))
+
+
+def _met(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, level: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(np.full(len(a), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(a), pa.array(b), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(level.astype(np.int32))], names=["kind", "key", "a", "b", "c", "n", "level"])
+
+
+def _fits(one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(one, two) >= percent * np.maximum(one, two)
+
+
+def _lists(settings: Settings):
+    """Of a bucket: the counted pairs of short lists, pairs with hubs, the rows of long lists, and of each class its rows in short (c) and long (n) ones, its size (level) and the shingles that it lost to equal keys (key)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = Packed(table)
+        low, idx = p.column("low", np.uint32), p.owners("cls")
+        cls, n, level, usual = p.column("cls", np.int64), p.column("n", np.uint32).astype(np.int64), p.column("level", np.int32).astype(np.int64), p.column("usual", np.uint8)
+        lost = p.column("lost", np.int32)
+        # One number for each class, whichever row it came in.
+        _, of, number = np.unique(cls, return_index=True, return_inverse=True)
+        me = number[idx]
+        order = np.lexsort((me, low))
+        low, me = low[order], me[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (me[1:] != me[:-1])
+        low, me = low[new], me[new]
+        first, length = np.unique(low, return_index=True, return_counts=True)[1:]
+        size = np.repeat(length, length)
+        low, me, size = low[size > 1], me[size > 1], size[size > 1]
+        out = []
+        is_long = size > settings.short
+        own = [np.bincount(me[x], minlength=len(of)) for x in (~is_long, is_long)]
+        some = np.flatnonzero(own[0] + own[1])
+        out.append(_met(CLASS, lost[of[some]], cls[of[some]], cls[of[some]], own[0][some], own[1][some], n[of[some]]))
+
+        q, m = low[~is_long], me[~is_long]
+        ones, twos = [], []
+        for gap in range(1, settings.short):
+            at = np.flatnonzero(q[gap:] == q[:-gap]) if len(q) > gap else np.zeros(0, np.int64)
+            at = at[_fits(n[of[m[at]]], n[of[m[at + gap]]], settings.percent)]
+            ones.append(m[at])
+            twos.append(m[at + gap])
+        out.append(_counted(PAIR, np.concatenate(ones), np.concatenate(twos), of, cls, n, level))
+
+        q, m = low[is_long], me[is_long]
+        out.append(_met(LIST, p.bucket << 32 | q.astype(np.int64), cls[of[m]], cls[of[m]], np.ones(len(m)), n[of[m]], level[of[m]]))
+        if len(m):
+            ones, twos = [], []
+            rank = np.empty(len(of), np.int64)
+            rank[np.lexsort((cls[of], n[of], usual[of]))] = np.arange(len(of))
+            for shift in (0.0, 0.5):  # bands of sizes, and the same half a band on
+                band = np.floor(np.log(n[of[m]]) / np.log(16 / 9) + shift).astype(np.int64)
+                by = np.lexsort((rank[m], band, q))
+                last = np.ones(len(by), bool)
+                last[:-1] = (q[by][1:] != q[by][:-1]) | (band[by][1:] != band[by][:-1])
+                hub = m[by][last][np.cumsum(last) - last]
+                good = (hub != m[by]) & _fits(n[of[hub]], n[of[m[by]]], settings.percent)
+                ones.append(hub[good])
+                twos.append(m[by][good])
+            out.append(_counted(STAR, np.concatenate(ones), np.concatenate(twos), of, cls, n, level))
+        return pa.concat_tables(out)
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Postings of the shingles of a bucket that more than one class has."""
-    col = {c: [x.as_py() for x in table.column(c)] for c in ("low", "idx", "cls", "n", "level")}
-    low = np.concatenate([np.frombuffer(x, np.uint32) for x in col["low"]])
-    base = np.cumsum([0] + [len(x) // 8 for x in col["cls"]])
-    idx = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(col["idx"], base, strict=False)])
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in col["cls"]])[idx]
-    order = np.lexsort((cls, low))
-    low, cls, idx = low[order], cls[order], idx[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (cls[1:] != cls[:-1])
-    low, cls, idx = low[new], cls[new], idx[new]
-    many = ts.repeated(low.astype(np.uint64))
-    low, cls, idx = low[many], cls[many], idx[many]
-    n = np.concatenate([np.frombuffer(x, np.uint32) for x in col["n"]])[idx]
-    level = np.concatenate([np.frombuffer(x, np.uint8) for x in col["level"]])[idx]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"key": pa.array((bucket << 32 | low.astype(np.int64))), "cls": pa.array(cls), "n": pa.array(n.astype(np.int32)), "level": pa.array(level.astype(np.int32))})
+    return run
 
 
-def _sets(settings: Settings):
+def _sets(sets: Sets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in ts.slabs(batch.column(1)):
-                h, d = shingle_sets(data, offsets, settings.words)
-                sizes, cls = classes(h, d, hi - lo)
+                h, _, sizes, cls, _ = sets.read(data, offsets)
                 mine = cls.view(np.int64) == batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)  # an id may stand for several texts
                 raw, stops = h.tobytes(), np.cumsum(sizes) * 8
                 rows = [(int(c), raw[b - 8 * s : b]) for c, s, b, ok in zip(cls.view(np.int64).tolist(), sizes.tolist(), stops.tolist(), mine.tolist(), strict=True) if ok]
@@ -247,208 +375,307 @@ def _overlap(percent: int):
                 linked.append(100 * same >= percent * (len(a) + len(b) - same))
                 least.append(same * (100 + percent) // percent - len(b) + 1)
                 bound.append(max(same, -(-len(b) * percent // 100) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(least, pa.int64()), pa.array(bound, pa.int64())], ["a", "b", "linked", "least", "bound"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(linked, pa.bool_()), pa.array(least, pa.int64()), pa.array(bound, pa.int64())], ["a", "b", "star", "linked", "least", "bound"])
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b) and whether they link; as a mask of b, the least size of the partners it is for, and the most that these can share with b in shingles that b does not look up."""
-    two = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    two = pairs.select("a", "b", "star").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = two.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return common.stored(both.select("a", "b", "x", "y").mapInArrow(_overlap(settings.percent), "a long, b long, linked boolean, least long, bound long"))
+    return both.select("a", "b", "x", "y", "star").mapInArrow(_overlap(settings.percent), "a long, b long, star boolean, linked boolean, least long, bound long")
+
 
+def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(cls, comp): the least node reachable by the links (a, b), for the nodes that have one."""
+    edges = scratch.store(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.store(edges.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("comp")).select("cls", F.least("cls", "comp").alias("comp")))
+    while True:
+        near = edges.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
+        step = scratch.store(step.join(jump, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
+        scratch.drop(labels)
+        labels = step
+        if step.filter("comp < old").isEmpty():
+            scratch.drop(edges)
+            return labels
 
-def _outside(settings: Settings, keys: np.ndarray, weights: np.ndarray, bits: int):
+
+_OPEN = "kind int, a long, b long, c long, level int"
+
+
+def _across(comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of items with different components."""
+    order = np.argsort(comp, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
+    stops = np.append(first[1:], len(comp))
+    later = len(comp) - np.repeat(stops, stops - first)  # of each item, the items of later components
+    one = np.repeat(np.arange(len(comp)), later)
+    stop = np.cumsum(later)
+    two = np.repeat(len(comp) - stop, later) + np.arange(stop[-1] if len(stop) else 0)
+    return order[one], order[two]
+
+
+def _uncovered(settings: Settings):
+    """Of the long lists of a bucket: counted pairs of classes in different components that no mask covers (kind 0), and the classes of lists with several components (kind 1)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_numpy() for c in ("key", "cls", "n", "level", "comp")}
+        least = table.column("least").fill_null(-1).to_numpy()
+        order = np.argsort(col["key"], kind="stable")
+        key, cls, n, level, comp = (col[c][order] for c in ("key", "cls", "n", "level", "comp"))
+        least = least[order]
+        masked = least >= 0
+        _, of, number = np.unique(cls, return_index=True, return_inverse=True)
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        met, ones, twos, codes = np.zeros(len(of), bool), [], [], []
+        held = 0
+
+        def settle() -> None:
+            code, count = np.unique(np.concatenate(ones) * len(of) + np.concatenate(twos), return_counts=True)
+            codes.append((code, count))
+            ones.clear()
+            twos.clear()
+
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            c = comp[a:b]
+            if (c == c[0]).all():
+                continue
+            met[number[a:b]] = True
+            # A masked class has a pair here only with partners below the mask's least size.
+            able = a + np.flatnonzero(~masked[a:b] | (100 * least[a:b] > settings.percent * n[a:b]))
+            i, j = _across(comp[able])
+            i, j = able[i], able[j]
+            good = _fits(n[i], n[j], settings.percent) & (~masked[i] | (n[j] < least[i])) & (~masked[j] | (n[i] < least[j]))
+            one, two = np.minimum(number[i[good]], number[j[good]]), np.maximum(number[i[good]], number[j[good]])
+            ones.append(one)
+            twos.append(two)
+            held += len(one)
+            if held > 4_000_000:
+                settle()
+                held = 0
+        if ones:
+            settle()
+        out = [pa.table([pa.array(np.ones(int(met.sum()), np.int32)), pa.array(cls[of[met]]), pa.array(cls[of[met]]), pa.array(np.ones(int(met.sum()), np.int64)), pa.array(np.zeros(int(met.sum()), np.int32))], names=["kind", "a", "b", "c", "level"])]
+        for code, count in codes:
+            x, y = of[code // len(of)], of[code % len(of)]
+            out.append(pa.table([pa.array(np.zeros(len(x), np.int32)), pa.array(cls[x]), pa.array(cls[y]), pa.array(count.astype(np.int64)), pa.array(np.minimum(level[x], level[y]).astype(np.int32))], names=["kind", "a", "b", "c", "level"]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+_OUTSIDE_NAMES = ["bucket", "low", "flag", "idx", "cls", "n", "comp", "least", "bound"]
+_OUTSIDE = "bucket long, low binary, flag binary, idx binary, cls binary, n binary, comp binary, least binary, bound binary"
+
+
+def _outside(settings: Settings, order: Order, bits: int):
     """Packed shingles of whole sets by bucket, with a flag for those that a masked class looks up: its first ones outside its hub."""
 
     def flags(x: np.ndarray, hub: np.ndarray) -> np.ndarray:
         free = hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] != x
-        weight = np.zeros(len(x), np.uint8)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-            weight = np.where(keys[at] == x, weights[at], 0)
-        order = np.argsort(weight, kind="stable")
-        order = order[free[order]]
+        by = np.argsort(order.weigh(x), kind="stable")
+        by = by[free[by]]
         out = np.zeros(len(x), bool)
         need = -(-len(x) * settings.percent // 100)
-        out[order[: len(x) - max(len(x) - len(order), need - 1)]] = True
+        out[by[: len(x) - max(len(x) - len(by), need - 1)]] = True
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[tuple] = []
             size = 0
-            for i, (cls, one, hub) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)):
-                x = np.frombuffer(one.as_buffer(), np.uint64)
-                held.append((cls, x, flags(x, np.frombuffer(hub.as_buffer(), np.uint64)) if hub.is_valid else np.zeros(len(x), bool)))
+            plain = [batch.column(i).to_pylist() for i in (0, 1, 2, 3)]
+            for i in range(batch.num_rows):
+                x, hub = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64), batch.column(5)[i]
+                flag = flags(x, np.frombuffer(hub.as_buffer(), np.uint64)) if hub.is_valid else np.zeros(len(x), bool)
+                held.append((plain[0][i], len(x), plain[1][i], -1 if plain[2][i] is None else plain[2][i], plain[3][i] or 0, x, flag))
                 size += len(x)
                 if size < settings.counted and i + 1 < batch.num_rows:
                     continue
-                own = np.array([r[0] for r in held], np.int64)
-                h, flag = np.concatenate([r[1] for r in held]), np.concatenate([r[2] for r in held])
-                idx = np.repeat(np.arange(len(held), dtype=np.int64), [len(r[1]) for r in held])
+                owned = [np.array([r[k] for r in held], np.int64) for k in range(5)]
+                h, flag = np.concatenate([r[5] for r in held]), np.concatenate([r[6] for r in held])
+                idx = np.repeat(np.arange(len(held)), [len(r[5]) for r in held])
+                bucket, low = _keyed(h, bits)
+                yield _packed(bucket, [low, flag.astype(np.uint8)], idx, owned, _OUTSIDE_NAMES)
                 held, size = [], 0
-                order = np.argsort(h)
-                h, idx, flag = h[order], idx[order], flag[order]
-                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-                low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                rows = []
-                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
-                    mine, back = np.unique(idx[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), low[a:b].tobytes(), back.astype(np.uint32).tobytes(), own[mine].tobytes(), flag[a:b].astype(np.uint8).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "low", "idx", "cls", "flag"])
 
     return run
 
 
-def _looked_up(table: pa.Table) -> pa.Table:
-    """Shingles of a bucket that some class looks up and another has, with the classes."""
-    col = {c: [x.as_py() for x in table.column(c)] for c in ("low", "idx", "cls", "flag")}
-    low = np.concatenate([np.frombuffer(x, np.uint32) for x in col["low"]])
-    flag = np.concatenate([np.frombuffer(x, np.uint8) for x in col["flag"]]) > 0
-    base = np.cumsum([0] + [len(x) // 8 for x in col["cls"]])
-    idx = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(col["idx"], base, strict=False)])
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in col["cls"]])
-    wanted = np.unique(low[flag])
-    if len(wanted):
-        keep = wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low
-        low, idx, flag = low[keep], idx[keep], flag[keep]
-    else:
-        low, idx, flag = low[:0], idx[:0], flag[:0]
-    many = ts.repeated(low.astype(np.uint64))
-    low, idx, flag = low[many], idx[many], flag[many]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"key": pa.array(bucket << 32 | low.astype(np.int64)), "cls": pa.array(cls[idx]), "probe": pa.array(flag)})
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): the least node reachable by the links (a, b), for the nodes that have one."""
-    edges = common.stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = edges.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("comp")).select("cls", F.least("cls", "comp").alias("comp"))
-    labels = common.stored(labels)
-    while True:
-        near = edges.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
-        step = common.stored(step.join(jump, "comp", "left").select("cls", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")))
-        moved = step.filter("comp < old").limit(1).count()
-        labels = step.select("cls", "comp")
-        if not moved:
-            return labels
-
-
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists with components, without those whose classes are in one component already."""
-    rows = lists.withColumn("comp", F.col("cls"))
-    if labels is not None:
-        rows = lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(mixed, "key", "left_semi")
+def _asked(settings: Settings):
+    """Of a bucket: counted pairs of a masked class with the classes that have what it looks up; ``level`` is the count that the pair needs in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = Packed(table)
+        low, flag, idx = p.column("low", np.uint32), p.column("flag", np.uint8) > 0, p.owners("cls")
+        cls, n, comp, least, bound = (p.column(c, np.int64) for c in ("cls", "n", "comp", "least", "bound"))
+        wanted = np.unique(low[flag])
+        at = np.minimum(np.searchsorted(wanted, low), max(len(wanted) - 1, 0))
+        keep = wanted[at] == low if len(wanted) else np.zeros(len(low), bool)
+        low, flag, idx = low[keep], flag[keep], idx[keep]
+        order = np.argsort(low, kind="stable")
+        low, flag, idx = low[order], flag[order], idx[order]
+        first, length = np.unique(low, return_index=True, return_counts=True)[1:]
+        ask = np.flatnonzero(flag)
+        in_list = np.searchsorted(first, ask, "right") - 1
+        codes = []
+        step = max(1, 4_000_000 // max(1, int(length.max()) if len(length) else 1))
+        for at in range(0, len(ask), step):  # blocks, for memory
+            mine = ask[at : at + step]
+            size = length[in_list[at : at + step]]
+            stop = np.cumsum(size)
+            other = np.repeat(first[in_list[at : at + step]] - stop + size, size) + np.arange(stop[-1])
+            a, b = np.repeat(idx[mine], size), idx[other]
+            good = (comp[a] != comp[b]) & (n[b] >= least[a]) & _fits(n[a], n[b], settings.percent)
+            codes.append(np.unique(a[good] * len(cls) + b[good], return_counts=True))
+        code, count = (np.concatenate(x) for x in zip(*codes, strict=True)) if codes else (np.zeros(0, np.int64),) * 2
+        a, b = code // max(1, len(cls)), code % max(1, len(cls))
+        # The shared shingles in all must be percent / (100 + percent) of both sizes; ``bound`` of them may lie elsewhere.
+        need = -(-(n[a] + n[b]) * settings.percent // (100 + settings.percent)) - bound[a]
+        return pa.table([pa.array(cls[a]), pa.array(cls[b]), pa.array(count.astype(np.int64)), pa.array(need)], names=["a", "b", "c", "need"])
 
-
-def _masked(rows: DataFrame, masks: DataFrame | None) -> DataFrame:
-    """Rows with the least size of the partners that their class's mask is for, null without a mask."""
-    if masks is None:
-        return rows.withColumn("least", F.lit(None).cast("long"))
-    return rows.join(masks.select("cls", "least"), "cls", "left")
-
-
-def _star(rows: DataFrame, number: int) -> DataFrame:
-    """One pair (a, b) for each unmasked class b: the hub a of most of its lists, of another component and fitting size.  A list has a hub in each band of sizes; the bands shift by half with the round."""
-    banded = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(16 / 9)) + F.lit((number % 2) / 2)))
-    hubs = banded.groupBy("key", "band").agg(F.max_by(F.struct(F.col("cls").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")), F.struct(F.col("c") / F.col("n"), "cls")).alias("hub")).select("key", "band", "hub.*")
-    pairs = banded.filter("least IS NULL").join(hubs, ["key", "band"]).filter("a != cls AND ac != comp AND 4 * least(n, an) >= 3 * greatest(n, an)")
-    counted = pairs.groupBy("cls", "a").agg(F.count("*").alias("shared"))
-    return counted.groupBy(F.col("cls").alias("b")).agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-
-
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of what is no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return run
 
 
-def _maybe(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of docs whose id may be among the reps': a bitmap of at most 16 MB over a hash of the id (4096 rows of 4 KB), sent to all.  The join after it is exact."""
-    spark = docs.sparkSession
-    bits = 1 << min(27, max(20, (8 * reps.count()).bit_length()))
+def _bits(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, ...) with ``maybe``: false only if the id is not among ``ids``.  A bitmap of at most 16 MB over a hash of the id (4096 rows of 4 KB) goes to all; a join on the rows left is exact.  Beyond some 10^8 ids the bitmap fills, and that join moves more rows."""
+    bits = 1 << min(27, max(20, (8 * ids.count()).bit_length()))
     place = f"pmod(xxhash64(doc_id), {bits})"
-    made = reps.selectExpr(f"{place} DIV 32768 AS page", f"{place} % 32768 AS bit").groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
-    rows = docs.withColumns({"page": F.expr(f"{place} DIV 32768"), "bit": F.expr(f"{place} % 32768")}).join(F.broadcast(made), "page")
-    return rows.filter(F.expr("(shiftright(CAST(conv(hex(substring(bitmap, CAST(bit DIV 8 + 1 AS INT), 1)), 16, 10) AS INT), CAST(bit % 8 AS INT)) & 1) = 1")).select("doc_id", "text")
-
-
-def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n_shingles) of every row, and (cls, comp) of the classes that link with others."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
-    summary = common.stored(texts.mapInArrow(_summary(settings), "doc_id long, cls long, n long, frequent boolean"))
-    rows = summary.filter("NOT frequent").select("doc_id", "cls", F.col("n").alias("n_shingles"))
-    top = summary.filter("frequent").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(settings.frequent).toPandas()
-    order = np.argsort(top["cls"].to_numpy(np.int64).view(np.uint64))
-    keys = top["cls"].to_numpy(np.int64).view(np.uint64)[order]
-    weights = np.clip(np.round(8 * np.log2(1 + top["n"].to_numpy(np.float64)[order])), 1, 255).astype(np.uint8)
+    made = ids.selectExpr(f"{place} DIV 32768 AS page", f"{place} % 32768 AS bit").groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+    joined = rows.withColumns({"page": F.expr(f"{place} DIV 32768"), "bit": F.expr(f"{place} % 32768")}).join(F.broadcast(made), "page", "left")
+    byte = "CAST(conv(hex(substring(bitmap, CAST(bit DIV 8 + 1 AS INT), 1)), 16, 10) AS INT)"
+    return joined.select(*rows.columns, F.expr(f"coalesce((shiftright({byte}, CAST(bit % 8 AS INT)) & 1) = 1, false)").alias("maybe"))
+
+
+def _rows(texts: DataFrame, settings: Settings, scratch: common.Scratch) -> tuple[DataFrame, DataFrame, Sets, Order]:
+    """(doc_id, cls, n_shingles) of every row, (cls, doc) of every class with its least id, the classes, and the order."""
+    sets = Sets(settings)
+    summary = scratch.store(texts.mapInArrow(_summary(sets), "doc_id long, cls long, second long, n long, frequent boolean"))
+    rows = summary.filter("NOT frequent").select("doc_id", "cls", F.col("n").alias("n_shingles"), "second")
+    groups = scratch.store(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), (F.min("second") != F.max("second")).alias("clash")))
+    if not groups.filter("clash").isEmpty():
+        # Different sets with one number, some at 10^10 sets: all but the first get new numbers.
+        among = rows.join(groups.filter("clash").select("cls"), "cls", "left_semi").select("cls", "second").distinct()
+        clashes: dict[tuple[int, int], int] = {}
+        for c, second in sorted((r[0] % 2**64, r[1] % 2**64) for r in among.collect()):
+            if any(k[0] == c for k in clashes) or clashes.setdefault((c, second), c) != c:
+                clashes[c, second] = int(ts.mix(np.array([c ^ second], np.uint64))[0] | np.uint64(1))
+        sets = Sets(settings, clashes)
+        signed = [(c - (c >> 63 << 64), s - (s >> 63 << 64), x - (x >> 63 << 64)) for (c, s), x in clashes.items()]
+        other = texts.sparkSession.createDataFrame(signed, "cls long, second long, other long")
+        rows = scratch.store(rows.join(other, ["cls", "second"], "left").select("doc_id", F.coalesce("other", "cls").alias("cls"), "n_shingles"))
+        groups = scratch.store(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc")))
+    top = summary.filter("frequent").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(settings.frequent).toArrow()
+    keys, counts = top.column("cls").to_numpy().view(np.uint64), top.column("n").to_numpy().astype(np.float64)
+    by = np.argsort(keys)
+    return rows.select("doc_id", "cls", "n_shingles"), groups.select("cls", "doc"), sets, Order(keys[by], np.clip(np.round(8 * np.log2(1 + counts[by])), 1, 255).astype(np.uint8))
+
+
+def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Sets]:
+    """(doc_id, cls, n_shingles) of every row, (cls, component_id, comp) of every class, and what numbers the classes; ``comp`` is one class of the component."""
+    scratch = common.Scratch(docs.sparkSession)
+    with common.short_lived_shuffles(docs.sparkSession):
+        return _classify(_texts(docs, id_col, text_col), settings, scratch)
+
+
+def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) -> tuple[DataFrame, DataFrame, Sets]:
+    rows, groups, sets, order = _rows(texts, settings, scratch)
+    kept = list(scratch.held)
     total = (rows.agg(F.sum("n_shingles")).first()[0] or 0) * (100 - settings.percent) / 100
     bits = min(30, max(3, int(np.ceil(np.log2(max(1.0, total / settings.bucket))))))
-
     # A table of at most ``frequent`` rows goes to every task with the function.
-    packed = texts.select("text").mapInArrow(_postings(settings, keys, weights, bits), _POSTINGS)
-    lists = common.stored(packed.groupBy("bucket").applyInArrow(_shared, _LISTS))
-    _tidy(spark)
+    packed = texts.select("text").mapInArrow(_postings(sets, order, bits), _POSTINGS)
+    met = scratch.store(packed.groupBy("bucket").applyInArrow(_lists(settings), _MET))
+
     # A partner has at least 75 % of the shingles, and so at least 75 % of the least level.
-    floor = F.greatest(F.lit(1), F.expr(f"n * {min(settings.levels) * settings.percent} DIV 10000"))
-    involved = common.stored(lists.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= floor).select("cls", "c"))
-    lists = common.stored(_labelled(lists.join(involved, "cls"), None).drop("comp"))
-    reps = common.stored(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    some = _maybe(texts.filter("doc_id IS NOT NULL"), reps).join(reps, "doc_id").select("cls", "text")
-    sets = common.stored(some.mapInArrow(_sets(settings), "cls long, shingles binary"))
-    if sets.count() > reps.count():  # an id that stands in several equal rows
-        sets = common.stored(sets.dropDuplicates(["cls"]))
-    _tidy(spark)
-
-    links, labels, masks = None, None, None
-    for number in range(settings.star_rounds):
-        found = verified(_star(_masked(_labelled(lists, labels), masks), number), sets, settings)
-        linked, failed = found.filter("linked").select("a", "b"), found.filter("NOT linked").select(F.col("b").alias("cls"), F.col("a").alias("hub"), "least", "bound")
-        links = linked if links is None else links.union(linked)
-        masks = failed if masks is None else masks.union(failed)
-        labels = components(links)
-        _tidy(spark)
-    left = common.stored(_masked(_labelled(lists, labels), masks))
-    fits = "comp_a != comp_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-    smallest = left.groupBy("key").agg(F.min("n").alias("smallest"))
-    uncovered = left.join(smallest, "key").filter("least IS NULL OR smallest < least").drop("smallest")
-    mixed = uncovered.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    uncovered = uncovered.join(mixed, "key", "left_semi")
-    one, two = (uncovered.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "level", "comp", "least"))) for s in "ab")
-    counted = one.join(two, "key").filter(f"cls_a < cls_b AND {fits} AND (least_a IS NULL OR n_b < least_a) AND (least_b IS NULL OR n_a < least_b)")
-    counted = counted.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("c"), F.first("level_a").alias("la"), F.first("level_b").alias("lb"))
-
-    some = left.groupBy("cls").agg(F.first("n").alias("n"), F.first("comp").alias("comp"))
-    hubs = masks.join(sets.select(F.col("cls").alias("hub"), F.col("shingles").alias("y")), "hub").select("cls", "y")
-    whole = sets.join(some, "cls", "left_semi").join(hubs, "cls", "left").select("cls", "shingles", "y")
-    packed = whole.mapInArrow(_outside(settings, keys, weights, min(30, bits + 2)), "bucket long, low binary, idx binary, cls binary, flag binary")
-    met = common.stored(packed.groupBy("bucket").applyInArrow(_looked_up, "key long, cls long, probe boolean"))
-    met = met.join(some, "cls").join(masks.select("cls", "least", "bound"), "cls", "left")
-    asking = met.filter("probe").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "least", "bound")
-    asked = asking.join(met.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")), "key").filter(f"a != b AND n_b >= least AND {fits}")
-    asked = asked.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("bound").alias("bound"), F.first(F.expr("n_a + n_b")).alias("both"))
-    asked = asked.filter((F.col("c") + F.col("bound")) * (100 + settings.percent) >= F.col("both") * settings.percent)
-    asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = verified(counted.filter("c >= least(la, lb)").select("a", "b").union(asked).distinct(), sets, settings).filter("linked").select("a", "b")
-    labels = components(links.union(found))
-    _tidy(spark)
-    return rows, labels
+    floor = F.expr(f"greatest(1, n * {min(settings.levels) * settings.percent} DIV 10000 - lost)")
+    own = met.filter(F.col("kind") == CLASS).groupBy(F.col("a").alias("cls")).agg(F.sum("c").alias("few"), F.sum("n").alias("many"), F.first("level").alias("n"), F.first("key").alias("lost"))
+    involved = scratch.store(own.filter(F.col("few") + F.col("many") >= floor).select("cls", "n", "many", (F.col("many") >= floor).alias("long")))
+    one, two = (involved.select(F.col("cls").alias(x), F.col("many").alias(f"many_{x}")) for x in "ab")
+    pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("level").alias("level"))
+    pairs = pairs.join(one, "a").join(two, "b").filter(F.col("c") + F.least("many_a", "many_b") >= F.col("level"))
+    star = met.filter(F.col("kind") == STAR).groupBy("b", "a").agg(F.sum("c").alias("c")).join(one, "a").join(two, "b")
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).filter(F.col("r") <= settings.hubs)
+    chosen = scratch.store(pairs.select("a", "b", F.lit(False).alias("star")).union(star.select("a", "b", F.lit(True))))
+
+    reps = scratch.store(groups.filter("doc IS NOT NULL").join(involved, "cls", "left_semi").select("cls", F.col("doc").alias("doc_id")))
+    some = _bits(texts.filter("doc_id IS NOT NULL"), reps.select("doc_id")).filter("maybe").join(reps, "doc_id").select("cls", "text")
+    whole = scratch.store(some.mapInArrow(_sets(sets), "cls long, shingles binary"))
+    if whole.count() > reps.count():  # an id that stands in several equal rows
+        whole = scratch.store(whole.dropDuplicates(["cls"]))
+
+    found = scratch.store(verified(chosen, whole, settings))
+    links = found.filter("linked").select("a", "b")
+    labels = components(links, scratch)
+    # Of a class that failed several hubs, the mask that leaves least to look up.
+    failed = found.filter("star AND NOT linked")
+    masks = failed.groupBy(F.col("b").alias("cls")).agg(F.max_by(F.struct(F.col("a").alias("hub"), "least", "bound"), F.struct("bound", "a")).alias("m")).select("cls", "m.*")
+    state = scratch.store(involved.join(labels.select("cls", "comp"), "cls", "left").join(masks, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "long", "hub", "least", "bound"))
+    lists = met.filter(F.col("kind") == LIST).select("key", F.col("a").alias("cls"), "level").join(state.select("cls", "comp", "n", "least"), "cls")
+    left = scratch.store(lists.withColumn("bucket", F.shiftright("key", 32)).groupBy("bucket").applyInArrow(_uncovered(settings), _OPEN))
+    counted = left.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("level").alias("level")).filter("c >= level")
+
+    # A pair that shares long lists only is in as many of them as the least level asks.
+    asking = state.filter("long").join(left.filter("kind = 1").select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
+    hubs = asking.select("cls", "hub").join(whole.select(F.col("cls").alias("hub"), F.col("shingles").alias("y")), "hub").select("cls", "y")
+    outside = whole.join(asking, "cls").join(hubs, "cls", "left").select("cls", "comp", "least", "bound", "shingles", "y")
+    outside = outside.mapInArrow(_outside(settings, order, min(30, bits + 2)), _OUTSIDE)
+    asked = outside.groupBy("bucket").applyInArrow(_asked(settings), "a long, b long, c long, need long")
+    asked = asked.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).filter("c >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.store(verified(counted.select("a", "b").union(asked).distinct().withColumn("star", F.lit(False)), whole, settings).filter("linked").select("a", "b"))
+    final = labels.select("cls", "comp")
+    if not rest.isEmpty():
+        comp = state.select("cls", "comp")
+        across = rest.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("x")), "a").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("y")), "b")
+        joined = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+        every = comp.join(joined.select(F.col("cls").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+        final = every.select("cls", F.coalesce("root", "comp").alias("comp"))
+    member = scratch.store(final.join(groups, "cls"))
+    least = scratch.store(member.groupBy("comp").agg(F.min("doc").alias("least")))
+    out = groups.join(member.join(least, "comp").select("cls", "least", "comp"), "cls", "left")
+    out = scratch.store(out.select("cls", F.coalesce("least", "doc").alias("component_id"), F.coalesce("comp", "cls").alias("comp")))
+    scratch.drop_all(out, *kept)
+    return rows, out, sets
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component) of every row."""
-    rows, labels = classify(docs, settings, id_col, text_col)
-    full = rows.filter("n_shingles > 0").join(labels, "cls", "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
-    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+    rows, labels, _ = classify(docs, settings, id_col, text_col)
+    linked = rows.filter("n_shingles > 0").join(labels, "cls").select("doc_id", "n_shingles", "component_id")
     return linked.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def deduplicated(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each component: that with the least id.
+
+    Rows without shingles are a component each and stay.  Rows that share an id
+    (or have none) are told apart by their text: of each component one stays.
+    """
+    rows, labels, sets = classify(docs, settings, id_col, text_col)
+    scratch = common.Scratch(docs.sparkSession)
+    linked = rows.filter("n_shingles > 0").join(labels, "cls")
+    odd = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
+    with common.short_lived_shuffles(docs.sparkSession):
+        odd = scratch.store(odd)
+        gone = scratch.store(linked.filter("doc_id != component_id").select("doc_id").union(odd.filter("doc_id IS NOT NULL")).distinct())
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # Most rows are surely no copies and pass without a shuffle.
+    flagged = _bits(whole.filter("doc_id IS NOT NULL"), gone)
+    unsure = flagged.filter("maybe").drop("maybe").join(gone, "doc_id", "left_anti")
+    out = flagged.filter("NOT maybe").select("row.*").union(unsure.select("row.*"))
+    if odd.isEmpty():
+        return out
+    special = whole.join(odd, whole["doc_id"].eqNullSafe(odd["doc_id"]), "left_semi").select("doc_id", F.col(f"row.`{text_col}`").cast("string").alias("text"), "row")
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in ts.slabs(batch.column(1)):
+                cls = sets.read(data, offsets)[3]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cls.view(np.int64)), batch.column(2).slice(lo, hi - lo)], ["doc_id", "cls", "row"])
+
+    told = special.mapInArrow(numbered, f"doc_id long, cls long, row {docs.schema.simpleString()}")
+    one = told.join(labels, "cls").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["comp"])
+    return out.union(told.filter("cls = 0").select("row.*")).union(one.select("row.*"))

@@ -165,5 +165,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), label: str = "quality") -> Model:
-    sample = common.labelled_sample(docs, labels, label, settings.sample_rows)
-    return learn(sample["text"].tolist(), sample["label"].to_numpy(np.int64, na_value=0), settings)
+    """From at most ``settings.sample_rows`` labelled rows, in one task."""
+    return common.fitted(common.labelled_sample(docs, labels, label, settings.sample_rows), lambda texts, y: learn(texts, common.int_labels(y), settings))
