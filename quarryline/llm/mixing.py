@@ -15,17 +15,21 @@ DataFrame and SQL functions only.  The steps:
    at a node the left child's counts are a multivariate hypergeometric draw
    (source after source, conditioned on what is left), so the shards' counts
    add up to the quotas exactly whatever is drawn.
-5. Every shard takes the next blocks of a permutation of the source's blocks
-   (disjoint by construction) and is shuffled locally by a hash order.
+5. Every shard takes the next blocks of a keyed permutation of the source's
+   blocks (swap-or-not rounds: each block is placed by arithmetic on its own
+   number, whatever their count; disjoint as it is a permutation) and is shuffled
+   locally by a hash order.
 
 Prefix sums inside a source go over three levels of buckets, each of a few
-thousand rows, so a source with a third of all rows is no large task.  Texts
-are not moved: the plan is made of sizes and keys.
+thousand rows, so a source with a third of all rows is no large task.  The plan
+is made of sizes and keys; ``mix`` moves each text once, to its plan.
 
 Defined cases: null source is a source of its own (last); null or empty texts
 have size 0, are in no block and are never taken; equal rows are told apart by
 a number and drawn each; no rows give no targets and no draws; extra columns
-are not read.
+are not read by the plan and are passed on by ``mix``, but for columns named as
+those that it adds (mix_shard, mix_position, mix_copy, mix_words), which these
+replace.
 """
 
 from __future__ import annotations
@@ -55,19 +59,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(plain, " ", -1), "")).cast("long"), F.lit(0).cast("long"))
 
 
-def row_key(id_col: str, source_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+def row_keys(id_col: str, source_col: str, text_col: str) -> dict[str, Column]:
+    """Two hashes of a row: one to find it by, one to order rows that share the first."""
+    parts = [F.col(c) for c in (id_col, source_col, text_col)]
+    return {"row_key": F.xxhash64(*parts), "row_tie": F.xxhash64(F.lit(7), *parts)}
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """``nth`` tells rows of one key apart."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("size")))
+def _nth() -> Column:
+    """Tells rows of one key apart; what rows of both hashes equal are drawn is the same whichever comes first."""
+    return F.row_number().over(Window.partitionBy("row_key").orderBy("row_tie"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, source, size, row_key, nth; written once, as it is used many times."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), row_key(id_col, source_col, text_col).alias("row_key"))
-    return common.cut(_numbered(rows))
+    keys = row_keys(id_col, source_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *(c.alias(k) for k, c in keys.items()))
+    return common.cut(rows.withColumn("nth", _nth()).drop("row_tie"))
 
 
 def targets(sizes: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
@@ -129,6 +136,13 @@ def hypergeometric(good: str, total: str, draws: str, u: str) -> str:
     return f"CASE WHEN {lo} >= {hi} THEN {lo} ELSE {pick} END"
 
 
+def permuted(x: str, n: str, key: str, rounds: int = 96) -> str:
+    """SQL for the place of ``x`` in a permutation of 0 to n - 1 drawn by ``key`` (columns or literals): swap-or-not rounds, each of which mirrors x at a keyed point or leaves it, by a bit that is the same for both places."""
+    point = f"pmod(xxhash64({key}, i), {n})"
+    return f"""aggregate(sequence(1, {rounds}), {x}, (x, i) -> IF(
+        xxhash64({key}, -i, greatest(x, pmod({point} - x, {n}))) & 1L = 1L, pmod({point} - x, {n}), x))"""
+
+
 def tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(rank, blocks) of the root to (shard, rank, blocks) of 2^n >= ``shards`` leaves."""
     nodes = quotas.select(F.lit(0).cast("long").alias("node"), "rank", "blocks")
@@ -164,8 +178,7 @@ def draws(sizes: DataFrame, goals: DataFrame, recipe: Recipe = Recipe()) -> Data
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = leaves.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0).cast("long")))
     ordinals = spans.select("rank", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("ordinal"))
-    # A permutation of a source's blocks: multiplication by a prime that divides no such count, modulo the count.
-    placed = ordinals.join(quotas, "rank").select("rank", "shard", F.expr(f"pmod(ordinal * 1000000007L + {recipe.seed}L, blocks)").alias("block"))
+    placed = ordinals.join(quotas, "rank").select("rank", "shard", F.expr(permuted("ordinal", "blocks", f"{recipe.seed}L, rank")).alias("block"))
     mixed = copies.join(placed, ["rank", "block"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(recipe.seed), "copy", "order"), "row_key", "nth", "copy")
     return mixed.select("shard", F.row_number().over(local).alias("position"), "doc_id", "row_key", "nth", "source", "copy", "words", "block")
@@ -174,11 +187,18 @@ def draws(sizes: DataFrame, goals: DataFrame, recipe: Recipe = Recipe()) -> Data
 def mix(docs: DataFrame, recipe: Recipe = Recipe(), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mixed rows themselves: all columns of ``docs``, the text cut to the words that the mix takes, and mix_shard, mix_position, mix_copy, mix_words."""
     sizes = sized(docs, id_col, source_col, text_col)
-    plan = draws(sizes, targets(sizes, recipe), recipe).select("row_key", "nth", F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"), F.col("copy").alias("mix_copy"), F.col("words").alias("mix_words"))
-    keyed = docs.withColumns({"row_key": row_key(id_col, source_col, text_col), "size": word_count(F.col(text_col).cast("string"))})
-    rows = _numbered(keyed).join(plan, ["row_key", "nth"])
-    pieces = F.split(F.col(text_col), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)  # a word and the white space after it
-    leading = F.col(text_col).rlike(r"^[\x20\x09-\x0D]").cast("int")
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col("mix_words").cast("int") + leading), "")
-    text = F.when(F.col("mix_words") < F.col("size"), head).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).drop("row_key", "nth", "size")
+    plan = draws(sizes, targets(sizes, recipe), recipe)
+    entry = F.struct("nth", F.col("shard").alias("mix_shard"), F.col("position").alias("mix_position"), F.col("copy").alias("mix_copy"), F.col("words").alias("mix_words"))
+    # A document is drawn a few times at most (and rows of one key are few), so its entries are one short list.
+    plan = common.cut(plan.groupBy("row_key").agg(F.collect_list(entry).alias("entries")))
+    added = ("mix_shard", "mix_position", "mix_copy", "mix_words")
+    columns = [c for c in docs.columns if c not in added]
+    rows = docs.select(*(c.alias(k) for k, c in row_keys(id_col, source_col, text_col).items()), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).join(plan, "row_key")
+    # The join has dealt the rows by key, so numbering them moves nothing.
+    taken = rows.withColumn("n", _nth()).select("row", F.explode(F.filter("entries", lambda e: e["nth"] == F.col("n"))).alias("e"))
+    text, size = F.col(f"row.`{text_col}`"), word_count(F.col(f"row.`{text_col}`").cast("string"))
+    pieces = F.split(text.cast("string"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)  # a word and the white space after it
+    leading = text.cast("string").rlike(r"^[\x20\x09-\x0D]").cast("int")
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("e.mix_words").cast("int") + leading), "")
+    cut = F.when(F.col("e.mix_words") < size, head).otherwise(text.cast("string"))
+    return taken.select(*((cut if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in columns), *(F.col(f"e.{c}") for c in added))
