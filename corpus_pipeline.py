@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; further columns of the input end in the first stage.
+
+Defined cases: null, empty and very short texts fail the quality rules; of equal
+rows, whether their ids are equal, differ or are null, deduplication keeps one;
+null source is a source of its own in the mix; ties are broken by hashes of the
+rows, so reruns agree; no rows give no sequences; without usable labels all
+documents get the score of the label's share.
 """
 
 from __future__ import annotations
@@ -28,16 +34,9 @@ def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score(docs, model, carry=True).filter(F.col("score") < TOXIC).select("row.*").select(*COLUMNS)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id was not rejected; rows without an id cannot be told apart and stay."""
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near duplicates, the document with the least id."""
-    groups = neardup.near_duplicates(docs)
-    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return _without(docs, copies)
+    return neardup.deduplicated(docs).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
