@@ -55,6 +55,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self.names: dict[int, str] = {}
         self.held: list[DataFrame] = []  # keeps the numbers in ``paths`` valid
 
     def store(self, df: DataFrame) -> DataFrame:
@@ -65,9 +66,20 @@ class Scratch:
         self.held.append(out)
         return out
 
+    def store_by(self, df: DataFrame, key: str) -> DataFrame:
+        """A table bucketed by the key, so that joins on it need not deal it out again; ``df`` comes dealt by the key into ``buckets(spark)`` parts."""
+        path, name = fresh_path(self.spark, "stored"), f"stored_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets(self.spark), key).sortBy(key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)], self.names[id(out)] = path, name
+        self.held.append(out)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
+            if name := self.names.pop(id(df), None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(self.spark, self.paths.pop(id(df)))
 
     def drop_all(self, *but: DataFrame) -> None:
@@ -75,21 +87,27 @@ class Scratch:
             self.drop(df)
 
 
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 @contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes the shuffle files of a query when it ends: for operators that write table after table."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def table_after_table(spark: SparkSession, batch_rows: int = 1000) -> Iterator[None]:
+    """For operators that write many tables: inside, Spark deletes the shuffle files of a query when it ends, and Arrow batches (of whole sets or texts) are short."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

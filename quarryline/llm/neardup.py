@@ -70,7 +70,7 @@ class Settings:
     frequent: int = 200_000
     counted: int = 1_000_000
     #: Prefix levels l that a set chooses from, in percent of its shingles (at least 1).  The least bounds what any partner asks for.
-    levels: tuple[int, ...] = (10, 15, 20, 30)
+    levels: tuple[int, ...] = (10, 15, 20, 30)  # four at most
     #: Lists that an unlisted shingle is taken to share, and the cost of verifying a candidate for each shingle of the set.
     background: float = 0.2
     verify_cost: float = 0.5
@@ -173,14 +173,22 @@ def _summary(sets: Sets):
 
 @dataclass
 class Prefix:
-    """Prefix shingles with their text index; of each text: what it asks for and the share of frequent shingles in its set (0 to 255)."""
+    """Prefix shingles with their text index; of each text: which level it chose and the share of frequent shingles in its set (0 to 255)."""
 
     h: np.ndarray
     d: np.ndarray
-    level: np.ndarray
+    choice: np.ndarray
     usual: np.ndarray
 
 
+def level_of(sizes: np.ndarray, choice: np.ndarray, settings: Settings) -> np.ndarray:
+    return np.maximum(1, sizes * np.array(settings.levels, np.int64)[choice] // 100)
+
+
+#: Shingles lost to equal keys that a posting's byte can tell, beside its level.
+MOST_LOST = 63
+
+
 class Order:
     """The global order of shingles."""
 
@@ -201,17 +209,17 @@ class Order:
         begin = np.cumsum(sizes) - sizes
         cost = ts.running(np.where(weight > 0, np.exp2(weight / 8.0), 0.0))
         need = -(-sizes * settings.percent // 100)
-        best, level = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
-        for share in settings.levels:
-            n = np.maximum(1, sizes * share // 100)
+        best, choice = np.full(len(sizes), np.inf), np.zeros(len(sizes), np.int64)
+        for number in range(len(settings.levels)):
+            n = level_of(sizes, np.full(len(sizes), number), settings)
             length = np.minimum(sizes - need + n, sizes)
             lists = cost[begin + length] - cost[begin]
             price = length + lists + settings.verify_cost * sizes * (lists + settings.background * length) / n
             better = (price < best) & (n <= np.maximum(need, 1))
-            best, level = np.where(better, price, best), np.where(better, n, level)
-        keep = np.arange(len(h)) - begin[d] < (sizes - need + level)[d]
+            best, choice = np.where(better, price, best), np.where(better, number, choice)
+        keep = np.arange(len(h)) - begin[d] < (sizes - need + level_of(sizes, choice, settings))[d]
         usual = np.round(255 * ts.per_text(d, len(sizes), weight > 0) / np.maximum(sizes, 1)).astype(np.uint8)
-        return Prefix(h[keep], d[keep], level, usual)
+        return Prefix(h[keep], d[keep], choice, usual)
 
 
 def _keyed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +236,8 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray], idx: np.ndarray, owne
     rows: list[tuple] = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
         own, back = np.unique(idx[a:b], return_inverse=True)
-        rows.append((int(bucket[a]), *(c[a:b].tobytes() for c in columns), back.astype(np.uint32).tobytes(), *(x[own].tobytes() for x in owned)))
+        back = back.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        rows.append((int(bucket[a]), *(c[a:b].tobytes() for c in columns), back.tobytes(), *(x[own].tobytes() for x in owned)))
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
 
@@ -243,12 +252,13 @@ class Packed:
 
     def owners(self, of: str) -> np.ndarray:
         """Index into the class arrays (the column ``of`` is one of them, of 8 bytes) of every posting."""
-        base = np.cumsum([0] + [len(x.as_buffer()) // 8 for x in self.table.column(of)])
-        return np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) + b for x, b in zip(self.table.column("idx"), base, strict=False)])
+        sizes = [len(x.as_buffer()) // 8 for x in self.table.column(of)]
+        base = np.cumsum([0, *sizes])
+        return np.concatenate([np.frombuffer(x.as_buffer(), np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64) + b for x, n, b in zip(self.table.column("idx"), sizes, base, strict=False)])
 
 
-_POSTING_NAMES = ["bucket", "low", "idx", "cls", "n", "level", "lost", "usual"]
-_POSTINGS = "bucket long, low binary, idx binary, cls binary, n binary, level binary, lost binary, usual binary"
+_POSTING_NAMES = ["bucket", "low", "idx", "cls", "n", "choice", "usual"]
+_POSTINGS = "bucket long, low binary, idx binary, cls binary, n binary, choice binary, usual binary"
 
 
 def _postings(sets: Sets, order: Order, bits: int):
@@ -270,8 +280,8 @@ def _postings(sets: Sets, order: Order, bits: int):
                 bucket, low = _keyed(p.h, bits)
                 # Shingles of one set in one key count once there: the set asks for so many less.
                 key = ts.in_text(bucket.astype(np.uint64) << np.uint64(32) | low, p.d)
-                lost = ts.per_text(p.d, len(sizes), ts.later(key)).astype(np.int32)
-                yield _packed(bucket, [low], p.d, [cls, sizes.astype(np.uint32), (p.level - lost).astype(np.int32), lost, p.usual], _POSTING_NAMES)
+                lost = np.minimum(ts.per_text(p.d, len(sizes), ts.later(key)).astype(np.int64), MOST_LOST)
+                yield _packed(bucket, [low], p.d, [cls, sizes.astype(np.uint32), (p.choice << 6 | lost).astype(np.uint8), p.usual], _POSTING_NAMES)
 
     return run
 
@@ -302,8 +312,10 @@ def _lists(settings: Settings):
     def run(table: pa.Table) -> pa.Table:
         p = Packed(table)
         low, idx = p.column("low", np.uint32), p.owners("cls")
-        cls, n, level, usual = p.column("cls", np.int64), p.column("n", np.uint32).astype(np.int64), p.column("level", np.int32).astype(np.int64), p.column("usual", np.uint8)
-        lost = p.column("lost", np.int32)
+        cls, n, choice, usual = p.column("cls", np.int64), p.column("n", np.uint32).astype(np.int64), p.column("choice", np.uint8).astype(np.int64), p.column("usual", np.uint8)
+        lost = choice & MOST_LOST
+        lost = np.where(lost == MOST_LOST, n, lost)  # that many or more: the set asks for nothing
+        level = level_of(n, choice >> 6, settings) - lost
         # One number for each class, whichever row it came in.
         _, of, number = np.unique(cls, return_index=True, return_inverse=True)
         me = number[idx]
@@ -351,15 +363,37 @@ def _lists(settings: Settings):
     return run
 
 
-def _sets(sets: Sets):
+class Members:
+    """A bitmap of at most 16 MB that tells which classes may be among the given ones; the join after it is exact.  Beyond some 10^8 classes it fills, and that join sees more rows."""
+
+    def __init__(self, classes: DataFrame):
+        self.bits = 1 << min(27, max(20, (8 * classes.count()).bit_length()))
+        place = f"pmod(cls, {self.bits})"
+        pages = classes.selectExpr(f"{place} DIV 32768 AS page", f"{place} % 32768 AS bit").groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap")).toArrow()
+        self.bytes = np.zeros(self.bits // 8, np.uint8)
+        for page, bitmap in zip(pages.column("page").to_pylist(), pages.column("bitmap"), strict=True):
+            self.bytes[page * 4096 : (page + 1) * 4096] = np.frombuffer(bitmap.as_buffer(), np.uint8)
+
+    def maybe(self, cls: np.ndarray) -> np.ndarray:
+        at = cls.view(np.int64) % self.bits
+        return (self.bytes[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets(sets: Sets, members: Members):
+    """(cls, shingles) of the classes that may be among the members, once for each run of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, offsets in ts.slabs(batch.column(1)):
+            for _, _, data, offsets in ts.slabs(batch.column(0)):
                 h, _, sizes, cls, _ = sets.read(data, offsets)
-                mine = cls.view(np.int64) == batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)  # an id may stand for several texts
+                if len(seen) > 200_000:
+                    seen.clear()
                 raw, stops = h.tobytes(), np.cumsum(sizes) * 8
-                rows = [(int(c), raw[b - 8 * s : b]) for c, s, b, ok in zip(cls.view(np.int64).tolist(), sizes.tolist(), stops.tolist(), mine.tolist(), strict=True) if ok]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "shingles"])
+                mine = np.flatnonzero(members.maybe(cls) & (cls != 0))
+                mine = np.array([i for i in mine.tolist() if int(cls[i]) not in seen and not seen.add(int(cls[i]))], np.int64)
+                rows = [raw[stops[i] - 8 * sizes[i] : stops[i]] for i in mine.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[mine].view(np.int64), pa.int64()), pa.array(rows, pa.binary())], ["cls", "shingles"])
 
     return run
 
@@ -419,7 +453,7 @@ def _across(comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _uncovered(settings: Settings):
-    """Of the long lists of a bucket: counted pairs of classes in different components that no mask covers (kind 0), and the classes of lists with several components (kind 1)."""
+    """Of the long lists of a bucket: counted pairs of classes in different components that no mask covers (kind 0), and how many lists with several components each class is in (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_numpy() for c in ("key", "cls", "n", "level", "comp")}
@@ -430,7 +464,7 @@ def _uncovered(settings: Settings):
         masked = least >= 0
         _, of, number = np.unique(cls, return_index=True, return_inverse=True)
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        met, ones, twos, codes = np.zeros(len(of), bool), [], [], []
+        met, ones, twos, codes = np.zeros(len(of), np.int64), [], [], []
         held = 0
 
         def settle() -> None:
@@ -443,7 +477,7 @@ def _uncovered(settings: Settings):
             c = comp[a:b]
             if (c == c[0]).all():
                 continue
-            met[number[a:b]] = True
+            met[number[a:b]] += 1
             # A masked class has a pair here only with partners below the mask's least size.
             able = a + np.flatnonzero(~masked[a:b] | (100 * least[a:b] > settings.percent * n[a:b]))
             i, j = _across(comp[able])
@@ -458,7 +492,8 @@ def _uncovered(settings: Settings):
                 held = 0
         if ones:
             settle()
-        out = [pa.table([pa.array(np.ones(int(met.sum()), np.int32)), pa.array(cls[of[met]]), pa.array(cls[of[met]]), pa.array(np.ones(int(met.sum()), np.int64)), pa.array(np.zeros(int(met.sum()), np.int32))], names=["kind", "a", "b", "c", "level"])]
+        some = np.flatnonzero(met)
+        out = [pa.table([pa.array(np.ones(len(some), np.int32)), pa.array(cls[of[some]]), pa.array(cls[of[some]]), pa.array(met[some]), pa.array(np.zeros(len(some), np.int32))], names=["kind", "a", "b", "c", "level"])]
         for code, count in codes:
             x, y = of[code // len(of)], of[code % len(of)]
             out.append(pa.table([pa.array(np.zeros(len(x), np.int32)), pa.array(cls[x]), pa.array(cls[y]), pa.array(count.astype(np.int64)), pa.array(np.minimum(level[x], level[y]).astype(np.int32))], names=["kind", "a", "b", "c", "level"]))
@@ -577,7 +612,7 @@ def _rows(texts: DataFrame, settings: Settings, scratch: common.Scratch) -> tupl
 def classify(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Sets]:
     """(doc_id, cls, n_shingles) of every row, (cls, component_id, comp) of every class, and what numbers the classes; ``comp`` is one class of the component."""
     scratch = common.Scratch(docs.sparkSession)
-    with common.short_lived_shuffles(docs.sparkSession):
+    with common.table_after_table(docs.sparkSession):
         return _classify(_texts(docs, id_col, text_col), settings, scratch)
 
 
@@ -593,7 +628,7 @@ def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) ->
     # A partner has at least 75 % of the shingles, and so at least 75 % of the least level.
     floor = F.expr(f"greatest(1, n * {min(settings.levels) * settings.percent} DIV 10000 - lost)")
     own = met.filter(F.col("kind") == CLASS).groupBy(F.col("a").alias("cls")).agg(F.sum("c").alias("few"), F.sum("n").alias("many"), F.first("level").alias("n"), F.first("key").alias("lost"))
-    involved = scratch.store(own.filter(F.col("few") + F.col("many") >= floor).select("cls", "n", "many", (F.col("many") >= floor).alias("long")))
+    involved = scratch.store(own.filter(F.col("few") + F.col("many") >= floor).select("cls", "n", "many", floor.alias("floor")))
     one, two = (involved.select(F.col("cls").alias(x), F.col("many").alias(f"many_{x}")) for x in "ab")
     pairs = met.filter(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("level").alias("level"))
     pairs = pairs.join(one, "a").join(two, "b").filter(F.col("c") + F.least("many_a", "many_b") >= F.col("level"))
@@ -601,11 +636,8 @@ def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) ->
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).filter(F.col("r") <= settings.hubs)
     chosen = scratch.store(pairs.select("a", "b", F.lit(False).alias("star")).union(star.select("a", "b", F.lit(True))))
 
-    reps = scratch.store(groups.filter("doc IS NOT NULL").join(involved, "cls", "left_semi").select("cls", F.col("doc").alias("doc_id")))
-    some = _bits(texts.filter("doc_id IS NOT NULL"), reps.select("doc_id")).filter("maybe").join(reps, "doc_id").select("cls", "text")
-    whole = scratch.store(some.mapInArrow(_sets(sets), "cls long, shingles binary"))
-    if whole.count() > reps.count():  # an id that stands in several equal rows
-        whole = scratch.store(whole.dropDuplicates(["cls"]))
+    some = texts.select("text").mapInArrow(_sets(sets, Members(involved)), "cls long, shingles binary").repartition(common.buckets(scratch.spark), "cls")
+    whole = scratch.store_by(some.join(involved.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "cls")
 
     found = scratch.store(verified(chosen, whole, settings))
     links = found.filter("linked").select("a", "b")
@@ -613,13 +645,14 @@ def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) ->
     # Of a class that failed several hubs, the mask that leaves least to look up.
     failed = found.filter("star AND NOT linked")
     masks = failed.groupBy(F.col("b").alias("cls")).agg(F.max_by(F.struct(F.col("a").alias("hub"), "least", "bound"), F.struct("bound", "a")).alias("m")).select("cls", "m.*")
-    state = scratch.store(involved.join(labels.select("cls", "comp"), "cls", "left").join(masks, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "long", "hub", "least", "bound"))
+    state = scratch.store(involved.join(labels.select("cls", "comp"), "cls", "left").join(masks, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "n", "floor", "hub", "least", "bound"))
     lists = met.filter(F.col("kind") == LIST).select("key", F.col("a").alias("cls"), "level").join(state.select("cls", "comp", "n", "least"), "cls")
     left = scratch.store(lists.withColumn("bucket", F.shiftright("key", 32)).groupBy("bucket").applyInArrow(_uncovered(settings), _OPEN))
     counted = left.filter("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("level").alias("level")).filter("c >= level")
 
     # A pair that shares long lists only is in as many of them as the least level asks.
-    asking = state.filter("long").join(left.filter("kind = 1").select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
+    mixed = left.filter("kind = 1").groupBy(F.col("a").alias("cls")).agg(F.sum("c").alias("lists"))
+    asking = state.join(mixed, "cls").filter("lists >= floor")
     hubs = asking.select("cls", "hub").join(whole.select(F.col("cls").alias("hub"), F.col("shingles").alias("y")), "hub").select("cls", "y")
     outside = whole.join(asking, "cls").join(hubs, "cls", "left").select("cls", "comp", "least", "bound", "shingles", "y")
     outside = outside.mapInArrow(_outside(settings, order, min(30, bits + 2)), _OUTSIDE)
@@ -658,7 +691,7 @@ def deduplicated(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     scratch = common.Scratch(docs.sparkSession)
     linked = rows.filter("n_shingles > 0").join(labels, "cls")
     odd = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id")
-    with common.short_lived_shuffles(docs.sparkSession):
+    with common.table_after_table(docs.sparkSession):
         odd = scratch.store(odd)
         gone = scratch.store(linked.filter("doc_id != component_id").select("doc_id").union(odd.filter("doc_id IS NOT NULL")).distinct())
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
