@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
 MAX_LENGTH = 50_000
 
-# Phrases that mark an attempt to override instructions.
+# Phrases that mark an attempt to override instructions, searched without case.
 INJECTION_PATTERNS = (
-    r"ignore (all |any )?(previous|prior|above) instructions",
-    r"disregard (all |any )?(previous|prior|above)",
+    r"ignore (all )?(previous|prior|above) instructions",
+    r"disregard (all )?(previous|prior|above) instructions",
     r"you are now",
-    r"system prompt",
-    r"reveal your",
-    r"act as",
-    r"pretend to be",
-    r"jailbreak",
-    r"developer mode",
-    r"do anything now",
+    r"new instructions:",
+    r"system prompt:",
+    r"\bsystem:\s",
+    r"forget (everything|all) (you|that)",
+    r"reveal your (system prompt|instructions)",
+    r"act as if",
+    r"do not (follow|obey) (your|the) (previous|original) instructions",
 )
 
 
@@ -30,14 +30,13 @@ def sanitize(text: Column) -> Column:
 
 
 def injection_risk(text: Column) -> Column:
-    """First match of each pattern that occurs, in the order of the patterns."""
-    return F.array_compact(F.array(*(F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in INJECTION_PATTERNS)))
+    """First match, as written, of each pattern that occurs, in the order of the patterns."""
+    return F.array_compact(F.array(*(F.nullif(F.regexp_extract(text, f"(?iu){p}", 0), F.lit("")) for p in INJECTION_PATTERNS)))
 
 
 def words(text: Column) -> Column:
     """Words between runs of white space."""
-    trimmed = F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, SPACES)).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -64,8 +63,9 @@ def normalize_entity(name: Column) -> Column:
 
 
 def subtitle_text(text: Column) -> Column:
-    """Spoken lines of a VTT or SRT file."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("WEBVTT") & ~x.rlike("^[0-9]+$") & ~x.contains("-->"))
+    """Spoken lines of a VTT or SRT file: without blank lines, the WEBVTT line, cue numbers and times."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, f"^{SPACES}|{SPACES}$", ""))
+    kept = F.filter(lines, lambda x: (x != "") & (x != "WEBVTT") & ~x.rlike(r"^\p{Nd}+$") & ~x.contains("-->"))
     return F.array_join(kept, "\n")
 
 

@@ -1,91 +1,154 @@
-"""Full-text retrieval: postings, web-style queries and BM25 with statistics over all rows."""
+"""Full-text retrieval: web-style queries, postings and BM25 with statistics over all rows.
+
+Terms are runs of letters and digits in lower case, with their diacritics or
+(``fold``) without.  There is no stemming and there are no stop words; the rank
+is BM25, so scores are this library's own while matching follows the query.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-TERM = "[a-z0-9]+"
+TERM = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
+#: Latin letters with diacritics, and the letters they stand on.
+_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+_BARE = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
+
+
+def lowered(text: Column, fold: bool = False) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.translate(low, "".join(_MARKED), "".join(_BARE)) if fold else low
+
+
+def terms(text: Column, fold: bool = False) -> Column:
+    return F.regexp_extract_all(lowered(text, fold), F.lit(TERM), 0)
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), 0)
+def query_words(text: str, fold: bool = True) -> list[str]:
+    """Distinct terms of a query in order."""
+    low = text.lower().translate(dict(zip(map(ord, _MARKED), _BARE, strict=True))) if fold else text.lower()
+    return list(dict.fromkeys(_WORD.findall(low)))
 
 
 def postings(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, doc_len; partial counts are made before the shuffle."""
-    t = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
-    return t.select("id", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
+    """id, term, tf, doc_len: counted inside each row, so that nothing is shuffled to make them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tf = Counter(_WORD.findall(text))
+                n = len(tf)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array([tf.total()] * n, pa.int64())], ["id", "term", "tf", "doc_len"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), lowered(F.col(text_col)).alias("t")).mapInArrow(run, "id long, term string, tf long, doc_len long")
+
+
+def vocabulary(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
+    """term, df, cf over all rows: a task sums its rows, up to ``most`` terms at a time, before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        cf: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[t] for t in df], pa.int64())], ["term", "df", "cf"])
+            df.clear()
+            cf.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = _WORD.findall(text)
+                cf.update(words)
+                df.update(set(words))
+                if len(df) > most:
+                    yield flush()
+        if df:
+            yield flush()
+
+    part = rows.select(lowered(F.col(text_col)).alias("t")).mapInArrow(run, "term string, df long, cf long")
+    return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 @dataclass
-class Query:
-    """A web-style query: every group of alternatives must match; phrases are consecutive terms; excluded terms must not occur."""
+class Group:
+    """Phrases (of one term or more) that must occur, and that must not."""
 
-    groups: list[list[str]] = field(default_factory=list)
-    phrases: list[str] = field(default_factory=list)
+    wanted: list[str] = field(default_factory=list)
     excluded: list[str] = field(default_factory=list)
 
 
-def parse(text: str) -> Query:
-    """Terms are joined by AND, ``OR`` binds its neighbours, ``"..."`` is a phrase, ``-x`` excludes."""
-    out, join = Query(), False
-    for quoted, minus, word in re.findall(r'"([^"]*)"|(-?)([^\s"]+)', text):
-        if quoted:
-            if found := re.findall(TERM, quoted.lower()):
-                out.phrases.append(" ".join(found))
+def parse(text: str) -> list[Group]:
+    """Alternatives of a web-style query: terms are joined by AND, ``or`` parts alternatives, ``"..."`` is a phrase, ``-`` excludes what follows."""
+    groups = [Group()]
+    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', text):
+        if word.lower() == "or" and not minus and not quoted:
+            if groups[-1].wanted or groups[-1].excluded:
+                groups.append(Group())
             continue
-        if word == "OR" and not minus:
-            join = bool(out.groups)
-            continue
-        found = re.findall(TERM, word.lower())
-        if minus:
-            out.excluded += found
-        elif found:
-            if join:
-                out.groups[-1].append(found[0])
-                found = found[1:]
-            out.groups += [[x] for x in found]
-        join = False
-    return out
+        found = " ".join(_WORD.findall((quoted or word.lstrip("-")).lower()))
+        if found:
+            (groups[-1].excluded if minus or word.startswith("-") else groups[-1].wanted).append(found)
+    return [g for g in groups if g.wanted or g.excluded]
 
 
-def matches(query: Query, text: Column) -> Column:
+def matches(groups: list[Group], text: Column) -> Column:
     t = terms(text)
     line = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    ok = F.lit(bool(query.groups or query.phrases))
-    for group in query.groups:
-        ok = ok & F.arrays_overlap(t, F.array(*map(F.lit, group)))
-    for phrase in query.phrases:
-        ok = ok & line.contains(f" {phrase} ")
-    for term in query.excluded:
-        ok = ok & ~F.array_contains(t, term)
-    return ok
-
-
-def bm25(rows: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score of the rows with any of the terms; document frequencies and lengths are of all rows.  One scan: only matching terms are kept before anything is shuffled."""
-    wanted = F.array(*map(F.lit, sorted(set(query_terms))))
-    t = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t"))
-    stats = t.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
-    hits = t.withColumn("doc_len", F.size("t")).withColumn("term", F.explode(F.filter("t", lambda x: F.array_contains(wanted, x))))
-    tf = hits.groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # One row each for the statistics, one for each query term: bounded by the query.
-    s = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return s.groupBy("id").agg(F.sum(part).alias("score"))
+
+    def has(phrase: str) -> Column:
+        return line.contains(f" {phrase} ") if " " in phrase else F.array_contains(t, phrase)
+
+    out = F.lit(False)
+    for g in groups:
+        ok = F.lit(True)
+        for phrase in g.wanted:
+            ok = ok & has(phrase)
+        for phrase in g.excluded:
+            ok = ok & ~has(phrase)
+        out = out | ok
+    return out
+
+
+def bm25(rows: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
+    """id, score of the rows with any of the terms; document frequencies and lengths are of all rows.
+
+    Terms are counted in the text as it stands, without lists of words; one pass
+    gives the statistics (a row), one the scores, and nothing else is shuffled.
+    """
+    wanted = sorted(set(query_terms))
+    text = lowered(F.col(text_col), fold)
+    edge = r"[\p{L}\p{N}]"
+    tfs = [F.regexp_count(text, F.lit(f"(?<!{edge}){t}(?!{edge})")).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    per = rows.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(TERM)).alias("n"), *tfs)
+    stats = per.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.col("avg_len")))
+    some = F.greatest(F.lit(0), F.lit(0), *(F.col(f"tf{i}") for i in range(len(wanted)))) > 0
+    # One row of statistics for all.
+    return per.filter(some).join(F.broadcast(stats)).select("id", score.alias("score"))
 
 
 def search(rows: DataFrame, text: str, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rank, id, score: matching rows by BM25 of the query's terms, ties by id."""
-    q = parse(text)
-    positive = [x for g in q.groups for x in g] + [x for p in q.phrases for x in p.split()]
-    found = rows.filter(matches(q, F.col(text_col))).select(F.col(id_col).alias("id"))
-    scored = bm25(rows, positive or [""], id_col, text_col).join(found, "id", "left_semi").orderBy(F.desc("score"), "id").limit(k)
-    return scored.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "id", F.round("score", 4).alias("score"))
+    """rank, id, score: matching rows by BM25 of the query's terms, ties by id; a blank query finds nothing."""
+    groups = parse(text)
+    positive = [t for g in groups for p in g.wanted for t in p.split()]
+    found = rows.filter(matches(groups, F.col(text_col)))
+    scored = bm25(rows, positive, id_col, text_col) if positive else found.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"))
+    top = scored.join(found.select(F.col(id_col).alias("id")), "id", "left_semi") if any(" " in p for g in groups for p in g.wanted) or len(groups) != 1 or len(groups[0].wanted) > 1 or groups[0].excluded else scored
+    top = top.orderBy(F.desc("score"), "id").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "id", F.round("score", 4).alias("score"))

@@ -1,8 +1,9 @@
 """Dense retrieval: exact cosine search for a batch of queries.
 
-The query set is bounded and checked; it goes to the tasks with the function,
+A set of at most ``BROADCAST`` queries goes to the tasks with the function,
 which multiplies matrices per Arrow batch and keeps k rows per query and batch.
-The merge then sees few rows, whatever the table's size.
+A larger set is cut into blocks, and each block meets each packed run of vectors
+once.  The merge then sees few rows, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -14,7 +15,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 10_000
+BROADCAST, QUERY_BLOCK, VECTOR_BLOCK = 10_000, 4096, 16_384
+_FOUND = "query_id long, id long, raw double"
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which of them have a length."""
+    norm = np.linalg.norm(rows, axis=1)
+    fine = np.isfinite(norm) & (norm > 0)
+    return rows / np.where(fine, norm, 1.0)[:, None], fine
+
+
+def _best(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of the vectors for each query, ties by id."""
+    unit, fine = _unit(vectors)
+    unit, ids = unit[fine], ids[fine]
+    for lo in range(0, len(names), 256):
+        score = (1 + matrix[lo : lo + 256] @ unit.T) / 2
+        for q, s in zip(names[lo : lo + 256], score, strict=True):
+            near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+            order = near[np.lexsort((ids[near], -s[near]))[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(ids[order]), pa.array(s[order])], ["query_id", "id", "raw"])
+
+
+def _sized(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, ids, vectors) of each size of vector in a batch of (id, list)."""
+    lists = batch.column(1)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        mine = np.flatnonzero(sizes == size)
+        flat = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(float)
+        yield size, ids[mine], np.nan_to_num(flat, nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, size)
+
+
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """size, ids, vectors (binaries) of runs of up to ``most`` rows (id, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, ids, vectors in _sized(batch):
+                for lo in range(0, len(ids), most):
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids[lo : lo + most].tobytes()], pa.binary()), pa.array([vectors[lo : lo + most].tobytes()], pa.binary())], ["size", "ids", "vectors"])
+
+    return rows.mapInArrow(run, "size int, ids binary, vectors binary")
+
+
+def _in_blocks(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    queries = _packed(asked, QUERY_BLOCK).select("size", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    pairs = _packed(vectors, VECTOR_BLOCK).join(queries, "size").select("size", "ids", "vectors", "q_ids", "q_vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, *parts in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5)), strict=True):
+                ids, q_ids = (np.frombuffer(parts[i].as_buffer(), np.int64) for i in (0, 2))
+                rows, q_rows = (np.frombuffer(parts[i].as_buffer(), float).reshape(-1, size) for i in (1, 3))
+                unit, fine = _unit(q_rows)
+                yield from _best(q_ids[fine], unit[fine], ids, rows, k)
+
+    return pairs.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, _FOUND)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, min_similarity: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -22,35 +81,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, min_similarity: float
 
     queries: (query_id, vector).  Vectors of another length than the query's, null or zero ones are not found; such queries find nothing.
     """
-    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).limit(MAX_QUERIES + 1).collect()
-    if len(asked) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search in batches")
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    good = [(q, np.array(v, float)) for q, v in asked if v and None not in v]
-    for size in {len(v) for _, v in good}:
-        own = [(q, v / np.linalg.norm(v)) for q, v in good if len(v) == size and np.linalg.norm(v) > 0]
-        if own:
-            by_size[size] = (np.array([q for q, _ in own]), np.stack([v for _, v in own]))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL")
+    some = asked.limit(BROADCAST + 1).toArrow()
+    if some.num_rows > BROADCAST:
+        found = _in_blocks(rows, asked, k)
+    else:
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, names, matrix in (x for b in some.combine_chunks().to_batches() for x in _sized(b)):
+            unit, fine = _unit(matrix)
+            by_size[size] = (names[fine], unit[fine])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for size, (names, matrix) in by_size.items():
-                mine = np.flatnonzero(sizes == size)
-                if not len(mine):
-                    continue
-                rows = lists.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-                norm = np.linalg.norm(rows, axis=1)
-                score = np.full((len(names), len(mine)), -np.inf)
-                fine = norm > 0
-                score[:, fine] = (1 + matrix @ (rows[fine] / norm[fine, None]).T) / 2
-                for q, s in zip(names, score, strict=True):
-                    order = np.lexsort((ids[mine], -s))[:k]
-                    order = order[np.isfinite(s[order])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(ids[mine][order].astype(np.int64)), pa.array(s[order])], ["query_id", "id", "raw"])
-
-    found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL").mapInArrow(run, "query_id long, id long, raw double")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for size, ids, matrix in _sized(batch):
+                    if size in by_size:
+                        yield from _best(*by_size[size], ids, matrix, k)
+
+        found = rows.mapInArrow(run, _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
     top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if min_similarity is not None:

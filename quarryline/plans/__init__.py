@@ -1,0 +1,3 @@
+"""Importing the package fills the register of queries."""
+
+from . import catalog, corpus  # noqa: F401

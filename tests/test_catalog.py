@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from quarryline.plans import catalog
+import quarryline.plans  # noqa: F401  fills the register
+from quarryline.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,25 +21,20 @@ def duck():
     return con
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
-
-
-@pytest.mark.parametrize("name", ["dense_topk", "dense_filtered", "dense_dim_mismatch", "chunk_windows", "list_documents", "postings", "memory_search_bm25", "rrf_n_lists", "context_pack", "folder_plan", "sync_upsert", "usage_session", "word_count", "sparse_or"])
-def test_equals_duckdb(spark, duck, name):
-    assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(catalog.ORACLE[name]).df())
+def plain(value):
+    if value is None or value != value:
+        return "null"
+    return repr(round(value, 6) + 0.0) if isinstance(value, float) else str(value)
 
 
-def test_blank_text_has_no_chunk(spark):
-    from quarryline.operators.chunks import chunk
-
-    docs = spark.createDataFrame([(1, None), (2, "  "), (3, "a b"), (4, " ".join(["w"] * 513))], "doc_id long, text string")
-    assert [tuple(r) for r in chunk(docs).groupBy("doc_id").count().orderBy("doc_id").collect()] == [(3, 1), (4, 2)]
-
+def rows(frame):
+    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
+    return [*frame.columns], sorted(tuple(plain(float(v) if isinstance(v, int) and not isinstance(v, bool) else v) for v in r) for r in frame.itertuples(index=False))
 
-def test_web_query():
-    from quarryline.operators.fulltext import parse
 
-    q = parse('cat OR dog "big House" -bird')
-    assert (q.groups, q.phrases, q.excluded) == ([["cat", "dog"]], ["big house"], ["bird"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_equals_duckdb(spark, duck, name):
+    got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.execute(registry.ORACLE[name]).df()
+    assert rows(got) == rows(want)
+    assert len(want) or name == "dense_dim_mismatch"
