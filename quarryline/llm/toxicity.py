@@ -9,9 +9,12 @@ it, all others cost ``penalty``.
 
 Scoring: in one pass over a text's scores the maximal scoring segments are
 found (each no larger one contains without loss), from cumulative sums at the
-positive tokens only, so time is linear.  A segment's score S in a text of n
-tokens has the extreme-value p-value 1 - exp(-K n exp(-lambda S)), lambda being
-the positive root of E exp(lambda s) = 1 over the clean sample.  Segments below
+positive tokens only; each segment is linked to the last one before it with a
+smaller sum before it, so the search passes each segment once and time is
+linear.  A segment's score S in a text of n tokens has the extreme-value p-value
+1 - exp(-K n exp(-lambda S)), lambda being the positive root of
+E exp(lambda s) = 1 and K the maximum-likelihood value for the best segments of
+the sample's clean texts.  Segments below
 ``alpha`` are the passages; the best segment and the sum over all passages are
 brought to a probability by a logistic fit on the sample.
 
@@ -85,19 +88,36 @@ def word_scores(keys: np.ndarray, model_keys: np.ndarray, scores: np.ndarray, pe
 def segments(s: np.ndarray, hot: np.ndarray) -> list[tuple[int, int, float]]:
     """Maximal scoring segments (first item, after the last, score) of a score array whose positive items are ``hot``."""
     total = np.concatenate([[0.0], np.cumsum(s)])
-    found: list[list] = []  # begin, end, sum before, sum after
+    found: list[tuple] = []  # begin, end, sum before, sum after, the last one before it with a smaller sum before
     for i in hot.tolist():
-        a, b, low, high = i, i + 1, total[i], total[i + 1]
+        begin, low, high = i, total[i], total[i + 1]
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]  # those passed over are never looked at again from further right
             if j < 0 or found[j][3] >= high:
-                found.append([a, b, low, high])
+                found.append((begin, i + 1, low, high, j))
                 break
-            a, low = found[j][0], found[j][2]
+            begin, _, low, _, link = found[j]
             del found[j:]
-    return [(a, b, float(high - low)) for a, b, low, high in found]
+            j = link
+    return [(a, b, float(high - low)) for a, b, low, high, _ in found]
+
+
+def decay_of(scores: np.ndarray, chance: np.ndarray, penalty: float) -> float:
+    """The positive root of E exp(x s) = 1, where s is a score of ``scores`` with its chance and else -penalty."""
+    lo, hi = 1e-6, 10.0
+    rest = 1 - chance.sum()
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if rest * np.exp(-mid * penalty) + (chance * np.exp(mid * scores)).sum() < 1 else (lo, mid)
+    return max(lo, 0.05)
+
+
+def scale_of(best: np.ndarray, tokens: np.ndarray, decay: float) -> float:
+    """K of the extreme-value law P(best > S) = 1 - exp(-K n exp(-decay S)), by maximum likelihood over texts of n tokens; texts without any segment (best 0) count as censored there."""
+    some = tokens > 0
+    return float((best > 0).sum() + 0.5) / float((tokens[some] * np.exp(-decay * best[some])).sum() + 1.0)
 
 
 def learn(texts, labels: np.ndarray, settings: Settings) -> Model:
@@ -132,21 +152,21 @@ def learn(texts, labels: np.ndarray, settings: Settings) -> Model:
         distance = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
     often = counts[1] / max(base, 1e-9) > settings.min_ratio * counts[0] / (1 - base)  # common words that lean a little are no evidence
     good = often & (z >= settings.min_z) & (seen * distance >= np.log(max((seen >= 3).sum(), 1)) + settings.margin)
-    model = Model(known[good], np.minimum(delta[good], 8.0), 1.0, 0.1, np.zeros(3), settings)
-
-    clean_positive, clean_tokens = [], 0
-    for row, keys, doc, _ in held:
-        s = word_scores(keys, model.keys, model.scores, settings.penalty)
-        mine = labels[row + doc] == 0
-        clean_tokens += int(mine.sum())
-        clean_positive.append(s[mine & (s > 0)])
-    positive = np.concatenate(clean_positive + [model.scores[:50]])  # smoothed by pseudo-counts
-    share = 1 / (clean_tokens + len(positive) + 1)
-    lo, hi = 1e-6, 10.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if (1 - share * len(positive)) * np.exp(-mid * settings.penalty) + share * np.exp(mid * positive).sum() < 1 else (lo, mid)
-    model.decay = max(lo, 0.05)
+    model = Model(known[good], np.minimum(delta[good], 8.0), 1.0, 1.0, np.zeros(3), settings)
+
+    # The law of the best segment by chance, from the clean texts of the sample.
+    clean = [(word_scores(keys, model.keys, model.scores, settings.penalty), doc, n, labels[row : row + n] == 0) for row, keys, doc, n in held]
+    positive = np.concatenate([s[y[d] & (s > 0)] for s, d, _, y in clean] + [model.scores[:50]])  # smoothed by pseudo-counts
+    tokens = sum(int(y[d].sum()) for _, d, _, y in clean) + len(positive) + 1
+    model.decay = decay_of(positive, np.full(len(positive), 1 / tokens), settings.penalty)
+    best, length = [], []
+    for s, d, n, y in clean:
+        top = np.zeros(n)
+        for i, mine in _by_text(s, d, n):
+            top[i] = max(x[2] for x in segments(s[mine[0] : mine[1]], mine[2]))
+        best.append(top[y])
+        length.append(ts.per_text(d, n)[y])
+    model.scale = scale_of(np.concatenate(best) if best else np.zeros(0), np.concatenate(length) if length else np.zeros(0), model.decay)
     x = np.concatenate([np.zeros((0, 2))] + [_features(word_scores(k, model.keys, model.scores, settings.penalty), d, n, model)[0] for _, k, d, n in held])
     share = float(labels.mean()) if len(labels) else 0.5
     if 0 < share < 1:
@@ -156,17 +176,22 @@ def learn(texts, labels: np.ndarray, settings: Settings) -> Model:
     return model
 
 
+def _by_text(s: np.ndarray, doc: np.ndarray, n: int) -> Iterator[tuple[int, tuple[int, int, np.ndarray]]]:
+    """Of each text with a positive score: its index, first run, run after the last, and the positive runs counted from its first."""
+    hot = np.flatnonzero(s > 0)
+    first = np.searchsorted(doc, np.arange(n + 1))
+    for d in np.unique(doc[hot]).tolist():
+        a, b = int(first[d]), int(first[d + 1])
+        yield d, (a, b, hot[np.searchsorted(hot, a) : np.searchsorted(hot, b)] - a)
+
+
 def _features(s: np.ndarray, doc: np.ndarray, n: int, model: Model) -> tuple[np.ndarray, list[list[tuple]]]:
     """Of each text: strength of the best segment and of all passages (both as -log p, compressed), and the passages (first run, after the last, score, p)."""
     x = np.zeros((n, 2))
     passages: list[list[tuple]] = [[] for _ in range(n)]
-    hot = np.flatnonzero(s > 0)
-    first = np.searchsorted(doc, np.arange(n + 1))
-    for d in np.unique(doc[hot]).tolist():
-        a, b = first[d], first[d + 1]
-        mine = hot[np.searchsorted(hot, a) : np.searchsorted(hot, b)]
-        for i, j, score in segments(s[a:b], mine - a):
-            surprise = model.decay * score - np.log(model.scale * (b - a) + 1)
+    for d, (a, b, mine) in _by_text(s, doc, n):
+        for i, j, score in segments(s[a:b], mine):
+            surprise = model.decay * score - np.log(model.scale * (b - a))
             p = -np.expm1(-np.exp(-surprise))
             x[d, 0] = max(x[d, 0], np.log1p(max(0.0, surprise)))
             if p <= model.settings.alpha:
