@@ -3,7 +3,10 @@
 Chains are rows of padded arrays; the forward and backward recursions step over
 positions and treat all chains together, so their cost in Python is that of the
 longest chain, not of the number of items.  Chains are sorted by length inside,
-and each step touches those that are still open.
+and each step touches those that are still open.  A chain beyond ``LONGEST``
+items is cut into runs: the product of the transfer matrices of each run carries
+the forward and backward messages across the cuts, so marginals are those of the
+whole chain while the steps in Python stay few.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from __future__ import annotations
 import numpy as np
 
 
+LONGEST, RUN = 2048, 256
+
+
 def chains(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First item and length of each run of equal owners."""
     if not len(owner):
@@ -24,6 +30,66 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, len
 
     emit: items x labels, log potentials; trans: labels x labels, log potentials.
     """
+    if not len(length) or length.max() <= LONGEST:
+        return _whole(emit, trans, first, length, pairs)
+    cut = np.where(length > LONGEST, -(-length // RUN), 1)
+    chain = np.repeat(np.arange(len(first)), cut)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(cut) - cut, cut)
+    run = np.where(length[chain] > LONGEST, RUN, length[chain])
+    begin = first[chain] + number * run
+    size = np.minimum(run, first[chain] + length[chain] - begin)
+    enter, leave = _messages(emit, trans, begin, size, number, cut[chain])
+    marginal, parts, expected = _whole(emit, trans, begin, size, pairs, enter, leave)
+    log_z = np.bincount(chain, parts, minlength=len(first))
+    if pairs:  # across the cuts
+        later = np.flatnonzero(number > 0)
+        joint = enter[later][:, :, None] * np.exp(trans)[None] * (np.exp(emit[begin[later]]) * marginal[begin[later]] / np.maximum(_alpha_first(emit, trans, begin[later], enter[later]), 1e-300))[:, None, :]
+        expected = expected + (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+    return marginal, log_z, expected
+
+
+def _alpha_first(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray, enter: np.ndarray) -> np.ndarray:
+    return (enter @ np.exp(trans)) * np.exp(emit[begin])
+
+
+def _messages(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each run of a cut chain from the left (zeros at a chain's start) and from the right (ones at its end)."""
+    k = emit.shape[1]
+    t = np.exp(trans)
+    enter, leave = np.zeros((len(begin), k)), np.ones((len(begin), k))
+    mine = np.flatnonzero(cut > 1)
+    # Transfer of each run: rows are the label before it, columns its last label.
+    product = np.broadcast_to(np.eye(k), (len(mine), k, k)).copy()
+    for step in range(int(size[mine].max())):
+        open_ = np.flatnonzero(size[mine] > step)
+        e = emit[begin[mine[open_]] + step]
+        m = (product[open_] @ t) * np.exp(e - e.max(1, keepdims=True))[:, None, :]
+        product[open_] = m / m.sum((1, 2), keepdims=True)
+    at = np.full(len(begin), -1)
+    at[mine] = np.arange(len(mine))
+    for place in range(1, int(cut.max())):  # runs of all chains at once, from the left
+        now = np.flatnonzero((number == place) & (cut > 1))
+        before = now - 1
+        # The first run has no label before it, so no transition into it.
+        start = _first_run(emit, t, begin, size, before) if place == 1 else np.einsum("ij,ijk->ik", enter[before], product[at[before]])
+        enter[now] = start / start.sum(1, keepdims=True)
+    for place in range(int(cut.max()) - 2, -1, -1):  # and from the right
+        now = np.flatnonzero((number == place) & (number < cut - 1))
+        back = np.einsum("ijk,ik->ij", product[at[now + 1]], leave[now + 1])
+        leave[now] = back / back.max(1, keepdims=True)
+    return enter, leave
+
+
+def _first_run(emit: np.ndarray, t: np.ndarray, begin: np.ndarray, size: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    alpha = None
+    for step in range(int(size[runs].max())):  # all but the last runs of a chain are equally long
+        e = np.exp(emit[begin[runs] + step] - emit[begin[runs] + step].max(1, keepdims=True))
+        alpha = e if alpha is None else (alpha @ t) * e
+        alpha = alpha / alpha.sum(1, keepdims=True)
+    return alpha
+
+
+def _whole(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, length: np.ndarray, pairs: bool = False, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, k = emit.shape
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
@@ -35,11 +101,17 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray, first: np.ndarray, len
     for step, m in enumerate(open_at):
         at = first[:m] + step
         a = e[at] if carry is None else (carry[:m] @ t) * e[at]
+        if carry is None and enter is not None:
+            came = enter[order]
+            a = np.where(came.any(1)[:, None], came @ t, 1.0) * a
         z = a.sum(1)
         a /= z[:, None]
         alpha[at], scale[at] = a, z
         carry = a
     beta = np.ones((n, k))
+    if leave is not None:
+        last = first + length - 1
+        beta[last] = leave[order] / (alpha[last] * leave[order]).sum(1, keepdims=True)
     expected = np.zeros((k, k))
     for step in range(len(open_at) - 1, 0, -1):
         at = first[: open_at[step]] + step

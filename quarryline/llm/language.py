@@ -7,10 +7,9 @@ between neighbouring words are learned, so a switch of language inside a text
 is followed but one odd word is not.  Forward-backward marginals, weighted by
 word length, give a text's languages; the largest is its prediction.
 
-Learning takes a bounded sample: rows of each language in a hash order, and of
+Learning takes a bounded sample of every language: rows in a hash order, and of
 their texts chains of words in a hash order.  Scoring reads every whole text
-once, without a shuffle; chains are runs of ``chain`` words, so that memory is
-bounded for any text.
+once, without a shuffle; a text is one chain from its first word to its last.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 without any labelled row every text is ``und``; equal rows are scored each;
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import crf
+from . import common, crf
 from . import textscan as ts
 
 SCHEMA = "doc_id long, lang_pred string, score double, shares map<string,double>"
@@ -36,9 +35,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    #: Most languages (the commonest are learned), rows of each, and chains of words to learn from.
-    languages: int = 200
+    #: Most rows of a language to learn from, and of all (each language has one at least); most chains of words, and words of a chain there.
     rows: int = 600
+    all_rows: int = 60_000
     chains: int = 5000
     chain: int = 64
     bits: int = 16
@@ -154,7 +153,7 @@ def mass(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     starts, ends, doc = ts.letter_runs(data, offsets)
     first, back = distinct_words(data, starts, ends)
     e = emissions(*word_features(data, starts[first], ends[first], model.settings.bits), model.weights)
-    begin, length = crf.chains(chain_numbers(doc, model.settings.chain))
+    begin, length = crf.chains(doc)
     marginal, _, _ = crf.forward_backward(e[back], model.trans, begin, length)
     points = ts.code_points(data)
     size = points[ends] - points[starts]
@@ -189,14 +188,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def _in_order(texts: list, langs: list, settings: Settings) -> Model:
+    """The same model whatever the order of the sample."""
+    pairs = sorted(zip(langs, texts, strict=True))
+    return learn([t for _, t in pairs], [x for x, _ in pairs], settings)
+
+
 def train(docs: DataFrame, settings: Settings = Settings(), seed: int = 11) -> Model:
     """From text and lang of ``docs`` (rows that may be learned from)."""
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"))
+    counts = common.cut(known.groupBy("lang").count())
+    languages = counts.count()
+    rows = max(1, min(settings.rows, settings.all_rows // max(1, languages)))
     # The least hashes of a language lie below a bound set by its count, so few rows of it meet in one task.
-    some = 8 * settings.rows
+    some = 8 * rows + 64
     most = F.when(F.col("count") <= some, F.lit(2**63 - 1)).otherwise((some / F.col("count") * 2.0**64 - 2.0**63).cast("long"))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang", most.alias("most"))
+    bounds = counts.select("lang", most.alias("most"))
     order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = known.join(F.broadcast(langs), "lang").filter("h <= most").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= settings.rows)
-    sample = sample.select("text", "lang").orderBy("lang", "text").toPandas()
-    return learn(sample["text"].tolist(), sample["lang"].tolist(), settings)
+    # There are a few thousand languages; a longer list is joined as any table is.
+    sample = known.join(F.broadcast(bounds) if languages <= 10_000 else bounds, "lang").filter("h <= most").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rows)
+    return common.fitted(sample.select("text", "lang"), lambda texts, langs: _in_order(texts, langs, settings))
