@@ -1,8 +1,9 @@
 """Packing: vector bin packing with the dot-product heuristic.
 
 Sequences have simultaneous limits on tokens, segments and loss-bearing
-tokens.  Pieces as long as a sequence fill one alone.  The rest of each
-document goes into a block (a bounded number of items); in a block the open
+tokens.  A document beyond a limit is cut into the longest pieces within both;
+pieces as long as a sequence fill one alone.  The others go into a block (a
+bounded number of items); in a block the open
 sequence takes, again and again, the fitting item with the largest dot product
 of its size vector and the sequence's free capacities (both relative to the
 limits); an item that fits nowhere whole is cut to fill the free tokens where
@@ -77,9 +78,10 @@ class Block:
                 free -= sizes[best]
                 row.append(item)
                 continue
-            room = int(min(free[0], free[2]))
+            best = int(np.flatnonzero(left)[0])  # the longest that is left gives its head
+            _, _, ids, mask, _ = self.stacks[kinds[best]][-1]
+            room = head(len(ids), mask, int(free[0]), int(free[2]))
             if row and room > 0 and free[1] >= 1:
-                best = int(np.flatnonzero(left)[0])  # the longest that is left gives its head
                 key, start, ids, mask, total = self.stacks[kinds[best]].pop()
                 left[best] -= 1
                 row.append((key, start, ids[:room], None if mask is None else mask[:room], total))
@@ -100,6 +102,14 @@ class Block:
         self.clear()
 
 
+def head(n: int, mask: np.ndarray | None, tokens: int, loss: int) -> int:
+    """The most first ids of n that are within the tokens and bear no more loss (without a mask all bear loss)."""
+    if mask is None:
+        return min(n, tokens, loss)
+    bearing = np.flatnonzero(mask[: min(n, tokens)])
+    return int(bearing[loss]) if len(bearing) > loss else min(n, tokens)
+
+
 def powers(row: list[tuple]) -> Iterator[list[tuple]]:
     """The items cut into sequences whose lengths are the powers of two of their sum, largest first."""
     left = sum(len(x[2]) for x in row)
@@ -124,13 +134,15 @@ def pack_items(items: Iterator[tuple], limits: Limits) -> Iterator[list[tuple]]:
     if limits.segments < 1 or limits.loss < 1 or most < 1:
         raise ValueError("limits must be positive")
     for key, start, ids, mask, total in items:
-        step = min(most, limits.loss)
         at = 0
-        while len(ids) - at >= step:
-            yield [(key, start + at, ids[at : at + step], None if mask is None else mask[at : at + step], total)]
-            at += step
-        if at < len(ids):
-            block.add((key, start + at, ids[at:], None if mask is None else mask[at:], total))
+        while at < len(ids):
+            n = head(len(ids) - at, None if mask is None else mask[at:], most, limits.loss)
+            piece = (key, start + at, ids[at : at + n], None if mask is None else mask[at : at + n], total)
+            at += n
+            if n == most or mask is None and n == limits.loss:
+                yield [piece]  # nothing else fits beside it
+            else:
+                block.add(piece)
         if block.count >= limits.block:
             yield from block.pack()
     yield from block.pack()
