@@ -12,13 +12,18 @@ of each value packed, the high parts in unary in at most 2n + 1 bits, and the
 bit position of every 64th one as a select structure; value i is
 ``(select1(i) - i) << l | low(i)``.  No 64-bit offset table is written.
 
-Shards are ranges of document ids in ascending order (nulls first, equal ids by
-their ids' bytes), so the corpus' boundary of a document is its shard's start
-plus its boundary there.  A task writes a shard under a temporary name and
-renames it, so a repeated task leaves the same file.
-
-Defined cases: a null text is an empty document (its end id alone); no rows
-give no files and no result; extra columns are not read.
+The documents are dealt by ranges of their ids in ascending order, at most
+``MAX_RANGES`` whatever the corpus' size; a range is written as one shard file
+after another, so the corpus' boundary of a document is its shard's start plus
+its boundary there.  A task writes a shard under a temporary name and renames
+it, so a repeated task leaves the same files.  Reading takes runs of documents
+by the select structures and never decodes a whole boundary table.
+
+Defined cases: a null text is an empty document (its end id alone); rows without
+an id come first, in ranges of their own by a hash of their ids' bytes, so many
+of them are no large task; equal ids stand together, ordered by their ids' bytes
+(rows of one id are one range); no rows give no files and no result; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import posixpath
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +45,11 @@ from . import common, tokens
 MAGIC = b"QLTOKEN1"
 FOOTER = struct.Struct("<BQQQQqQ8s")
 SAMPLE = 64
-#: Bytes of text for each shard file.
+#: Bytes of text for each range, or of ids for each shard file if ranges are larger.
 SHARD_BYTES = 32 << 20
+MAX_RANGES = 8192
+#: Shards of a range, in a shard's number.
+SUB_BITS = 20
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
@@ -98,26 +107,43 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little")
         return (at - i) << self.low_bits | chunk >> first % 8 & ((1 << self.low_bits) - 1)
 
-    def values(self) -> np.ndarray:
-        """All of them."""
-        at = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+    def run(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1, from the select structure: the upper part is read from the last sampled one before a to the first after b."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.uint64)
+        first, after = a // SAMPLE, -(-b // SAMPLE)
+        begin = int(self.select[first]) // 8
+        end = int(self.select[after]) // 8 + 1 if after < len(self.select) else len(self.upper)
+        at = np.flatnonzero(np.unpackbits(self.upper[begin:end], bitorder="little")) + begin * 8
+        at = at[np.searchsorted(at, int(self.select[first])) :][a - first * SAMPLE : b - first * SAMPLE]
+        out = (at - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            lo, hi = a * self.low_bits, b * self.low_bits
+            bits = np.unpackbits(self.low[lo // 8 : (hi + 7) // 8], bitorder="little")[lo % 8 : lo % 8 + hi - lo].reshape(b - a, self.low_bits)
             for j in range(self.low_bits):
                 out |= bits[:, j].astype(np.uint64) << np.uint64(j)
         return out
 
+    def values(self) -> np.ndarray:
+        """All of them."""
+        return self.run(0, self.n)
+
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def name_of(shard: int) -> str:
+    return f"range-{shard >> SUB_BITS:06d}-{shard & (1 << SUB_BITS) - 1:06d}.tok"
+
+
 class ShardWriter:
     def __init__(self, folder: str, shard: int, width: int):
         self.store, root = open_store(folder)
         self.store.create_dir(root, recursive=True)
-        self.path, self.shard, self.width = posixpath.join(root, f"shard-{shard:06d}.tok"), shard, width
+        self.path, self.shard, self.width = posixpath.join(root, name_of(shard)), shard, width
         self.temp = f"{self.path}.{uuid.uuid4().hex}"
         self.file = self.store.open_output_stream(self.temp)
         self.sizes: list[np.ndarray] = []
@@ -145,7 +171,7 @@ class ShardWriter:
 class ShardReader:
     def __init__(self, folder: str, shard: int):
         store, root = open_store(folder)
-        self.file = store.open_input_file(posixpath.join(root, f"shard-{shard:06d}.tok"))
+        self.file = store.open_input_file(posixpath.join(root, name_of(shard)))
         end = self.file.size()
         self.file.seek(end - FOOTER.size)
         self.width, self.n_ids, self.n_docs, one, two, self.first, self.nulls, magic = FOOTER.unpack(self.file.read(FOOTER.size))
@@ -164,14 +190,17 @@ class ShardReader:
         key = None if i < self.nulls else self.first + self.keys[i - self.nulls]
         return key, self.ids(self.bounds[i], self.bounds[i + 1])
 
-    def batches(self, size: int = 1 << 20) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-        """Keys, boundaries, ids and sizes of runs of whole documents."""
-        bounds = self.bounds.values().astype(np.int64)
-        keys = [None] * self.nulls + (self.keys.values() + np.uint64(self.first & (1 << 64) - 1)).astype(np.int64).tolist()
+    def batches(self, size: int = 1 << 20, most: int = 4096) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys, boundaries, ids and sizes of runs of whole documents, of up to ``most`` and about ``size`` ids."""
         lo = 0
         while lo < self.n_docs:
-            hi = min(self.n_docs, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + size, "right")) - 1))
-            yield keys[lo:hi], bounds[lo:hi], self.ids(bounds[lo], bounds[hi]), np.diff(bounds[lo : hi + 1])
+            bounds = self.bounds.run(lo, min(self.n_docs, lo + most) + 1).astype(np.int64)
+            hi = lo + max(1, int(np.searchsorted(bounds, bounds[0] + size, "right")) - 1)
+            hi = min(hi, lo + len(bounds) - 1)
+            bounds = bounds[: hi - lo + 1]
+            nulls = max(0, min(hi, self.nulls) - lo)
+            keys = self.keys.run(max(lo, self.nulls) - self.nulls, max(hi, self.nulls) - self.nulls) + np.uint64(self.first & (1 << 64) - 1)
+            yield [None] * nulls + keys.astype(np.int64).tolist(), bounds[:-1], self.ids(bounds[0], bounds[-1]), np.diff(bounds)
             lo = hi
 
 
@@ -179,10 +208,11 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None, vocabulary:
     """Tokenize, deal by ranges of the id, and write the shards; returns (shard, n_docs, n_ids, start) of each, start being the ids of all shards before."""
     width = 2 if max(vocabulary, end or 0) < 1 << 16 else 4
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // shard_bytes))
+    total, rows, nulls = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    count = max(1, min(MAX_RANGES, -(-(total or 0) // shard_bytes)))
+    null_ranges = -(-count * nulls // rows) if nulls else 0
     bounds = np.zeros(0, np.int64)
-    if count > 1:  # as many numbers as shards
+    if count > 1:  # as many numbers as ranges
         found = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * count + 10_000).alias("b")).first()[0]
         bounds = np.unique(np.array(found or [], np.int64))
 
@@ -190,36 +220,53 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None, vocabulary:
         for batch in batches:
             for lo, hi, flat, sizes in tokens.id_arrays(batch, path, end):
                 keys = batch.column(0).slice(lo, hi - lo)
-                shard = np.where(np.asarray(keys.is_valid()), np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), "left"), 0)
                 offsets = np.concatenate([[0], np.cumsum(sizes) * width]).astype(np.int64)
-                packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat, f"<u{width}"))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), keys, packed], ["shard", "doc_id", "ids"])
+                raw = np.ascontiguousarray(flat, f"<u{width}")
+                packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+                part = null_ranges + np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), "left")
+                tie = np.zeros(hi - lo, np.int64)
+                for i in np.flatnonzero(~np.asarray(keys.is_valid())).tolist():
+                    tie[i] = zlib.crc32(raw.view(np.uint8)[offsets[i] : offsets[i + 1]].tobytes())
+                    part[i] = tie[i] * null_ranges >> 32
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, pa.array(tie), packed], ["part", "doc_id", "tie", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, done = None, []
+        writer, done, room = None, [], 0
         for batch in batches:
-            shards = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if writer is None or writer.shard != shards[a]:
+            parts = batch.column(0).to_numpy(zero_copy_only=False)
+            every = batch.column(3).cast(pa.large_binary())
+            offsets = np.frombuffer(every.buffers()[1], np.int64, len(every) + 1, every.offset * 8)
+            data = np.frombuffer(every.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(parts):
+                if writer is None or writer.shard >> SUB_BITS != parts[at] or room <= 0:
+                    number = int(parts[at]) << SUB_BITS
                     if writer is not None:
                         done.append(writer.close())
-                    writer = ShardWriter(folder, int(shards[a]), width)
-                keys, ids = batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a).cast(pa.large_binary())
-                offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, ids.offset * 8)
-                raw = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-                writer.add(keys.drop_null().to_numpy(zero_copy_only=False), keys.null_count, raw.view(f"<u{width}"), np.diff(offsets) // width)
+                        if writer.shard >> SUB_BITS == parts[at]:
+                            number = writer.shard + 1
+                    writer, room = ShardWriter(folder, number, width), shard_bytes
+                # To the end of the range or of the batch, or until the shard is full; one document at least.
+                last = at + int(np.searchsorted(parts[at:], parts[at], "right"))
+                last = min(last, max(at + 1, int(np.searchsorted(offsets, offsets[at] + room, "right")) - 1))
+                keys = batch.column(1).slice(at, last - at)
+                raw = data[offsets[at] : offsets[last]]
+                writer.add(keys.drop_null().to_numpy(zero_copy_only=False), keys.null_count, raw.view(f"<u{width}"), np.diff(offsets[at : last + 1]) // width)
+                room -= len(raw)
+                at = last
         if writer is not None:
             done.append(writer.close())
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["shard", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], ["shard", "n_docs", "n_ids"])
 
-    dealt = docs.mapInArrow(encode, "shard int, doc_id long, ids binary").repartitionById(len(bounds) + 1, F.col("shard"))
-    written = common.cut(dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids").mapInArrow(store, "shard int, n_docs long, n_ids long"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    return written.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    dealt = docs.mapInArrow(encode, "part int, doc_id long, tie long, ids binary").repartitionById(null_ranges + len(bounds) + 1, F.col("part"))
+    written = dealt.sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "tie", "ids").mapInArrow(store, "shard long, n_docs long, n_ids long")
+    written = common.cut(written.withColumn("part", F.shiftright("shard", SUB_BITS)))
+    prior = (Window.unboundedPreceding, -1)
+    sums = written.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # a row for each range
+    sums = sums.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*prior)), F.lit(0).cast("long")).alias("before"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*prior)), F.lit(0).cast("long"))
+    return written.join(sums, "part").select("shard", "n_docs", "n_ids", (F.col("before") + inside).alias("start"))
 
 
 def read(shards: DataFrame, folder: str) -> DataFrame:
@@ -231,5 +278,5 @@ def read(shards: DataFrame, folder: str) -> DataFrame:
                 for keys, bounds, flat, sizes in ShardReader(folder, shard).batches():
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bounds + start), pa.array(sizes), tokens.binary(flat, sizes)], ["doc_id", "start", "n_tokens", "ids"])
 
-    spread = shards.select("shard", "start").repartition(max(1, shards.count()), "shard")
+    spread = shards.select("shard", "start").repartition(max(1, min(MAX_RANGES, shards.count())), "shard")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
