@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarryline.llm import hamming, language, mixing, neardup, packing, quality, queries, repetition, rollups, tokenfiles, toxicity
+from quarryline.llm import hamming, language, mixing, neardup, packing, quality, queries, repetition, rollups, tokenfiles, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -59,20 +59,36 @@ def test_packing(docs, empty):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
-    total = Counter()
+    # Each document's pieces, in order of their starts, are its ids; rows of one id and equal ids are alike.
+    pieces = {}
     for r in got:
-        total.update(np.frombuffer(r.ids, "<u4").tolist())
-    assert total == Counter(i for (k, v), n in want.items() for i in v * n)
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()))
+    for key in {k for k, _ in want}:
+        ids = next(v for k, v in want if k == key)
+        copies = want[key, ids]
+        assert all(n == len(ids) and list(ids[a : a + m]) == v for a, m, n, v in pieces[key])
+        held = Counter(i for a, m, _, _ in pieces[key] for i in range(a, a + m))
+        assert held == Counter({i: copies for i in range(len(ids))})
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_packing_limits(spark):
-    rows = spark.createDataFrame([(i, [7] * 5, [True, False, True, False, False]) for i in range(10)], "doc_id long, ids array<long>, loss array<boolean>").coalesce(1)
-    got = packing.pack_ids(rows, packing.Limits(tokens=32, segments=3, loss=4), loss_col="loss").collect()
+@pytest.mark.parametrize("limits", [(32, 3, 4), (64, 100, 5), (16, 2, 100), (50, 4, 9)])
+def test_packing_limits(spark, limits):
+    """Tokens, segments and loss-bearing tokens stay within their limits at once, and every id lies in one piece."""
+    rng = np.random.default_rng(sum(limits))
+    rows = [(i, rng.integers(1, 99, n := int(rng.integers(0, 40))).tolist(), [bool(x) for x in rng.random(n) < 0.4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<long>, loss array<boolean>").coalesce(1)
+    got = packing.pack_ids(df, packing.Limits(*limits), loss_col="loss").collect()
     for s in {r.sequence_id for r in got}:
         own = [r for r in got if r.sequence_id == s]
-        assert len(own) <= 3 and sum(r.length for r in own) <= 32
-    assert sum(r.length for r in got) == 50
+        bearing = sum(sum(rows[r.doc_id][2][r.start : r.start + r.length]) for r in own)
+        assert len(own) <= limits[1] and sum(r.length for r in own) <= limits[0] and bearing <= limits[2]
+    for key, ids, _ in rows:
+        own = sorted((r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in got if r.doc_id == key)
+        assert [x for _, v in own for x in v] == ids and all(ids[a : a + len(v)] == v for a, v in own)
+    if limits == (32, 3, 4):  # the fill is near what the scarcest limit allows
+        least = max(sum(len(r[1]) for r in rows) / 32, sum(sum(r[2]) for r in rows) / 4)
+        assert len({r.sequence_id for r in got}) < 1.6 * least
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -88,10 +104,27 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfiles.read(tokenfiles.write(empty, f"file://{tmp_path}/e", path, 2, 49_408), f"file://{tmp_path}/e").count() == 0
 
 
+def test_token_files_of_nulls_and_equal_ids(spark, tmp_path):
+    """Rows without an id come first, in several ranges; rows of one id stand together; starts have no gap."""
+    rows = [(None if i % 3 == 0 else i // 4, f"text number {i} " * (1 + i % 5)) for i in range(200)] + [(None, None), (-5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = tokenfiles.write(df, f"file://{tmp_path}/n", queries.tokenizer("word_bpe_49k.json"), 2, 49_408, shard_bytes=1500)
+    got = tokenfiles.read(shards, f"file://{tmp_path}/n").orderBy("start").collect()
+    keys = [r.doc_id for r in got]
+    nulls = sum(k is None for k in keys)
+    assert keys[:nulls] == [None] * nulls == [k for k, _ in rows if k is None] and keys[nulls:] == sorted(k for k, _ in rows if k is not None)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    assert Counter((r.doc_id, r.ids) for r in got) == Counter((r.doc_id, bytes(r.ids)) for r in tokens.tokenize(df, queries.tokenizer("word_bpe_49k.json"), 2).collect())
+    assert shards.filter(f"shard < {1 << tokenfiles.SUB_BITS}").count() and shards.count() > 5
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], list(range(0, 10_000, 7)), [0, 1 << 40], [3] * 200 + [1 << 33]])
 def test_elias_fano(values):
     ef = tokenfiles.EliasFano.decode(tokenfiles.EliasFano.encode(np.array(values, np.uint64)))
     assert ef.values().tolist() == values and [ef[i] for i in range(len(values))] == values
+    n = len(values)
+    for a, b in ((0, n), (n // 3, n // 2), (n // 2, n), (min(63, n), min(129, n))):
+        assert ef.run(a, b).tolist() == values[a:b]
 
 
 def test_repetition(docs, empty):
@@ -106,29 +139,127 @@ def test_repetition(docs, empty):
     assert repetition.repetition(empty).count() == 0
 
 
+def filled(sizes, weights, share, most):
+    """Targets by their definition: shares by weight; whatever stands above its bound is cut to it, and the excess goes to the others, until none is above."""
+    bound, total = {s: most * n for s, n in sizes.items()}, share * sum(sizes.values())
+    full, out = set(), {}
+    while True:
+        rest = total - sum(bound[s] for s in full)
+        weight = sum(weights[s] for s in sizes if s not in full)
+        out = {s: bound[s] if s in full else rest * weights[s] / weight for s in sizes}
+        above = {s for s in sizes if s not in full and out[s] > bound[s] + 1e-9}
+        if not above:
+            return out
+        full |= above
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_targets(spark, seed):
+    rng = np.random.default_rng(seed)
+    names = [*sorted(f"s{i}" for i in range(int(rng.integers(2, 12)))), None]
+    counts = {s: int(rng.integers(0, 2000) if rng.random() < 0.7 else 0) for s in names}
+    rows = [(i, s, n) for i, (s, n) in enumerate(counts.items())]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()}
+    want = filled(counts, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5, 2.0)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in names)
+
+
 def test_mixing(docs, empty):
     sizes = mixing.sized(docs)
     goals = mixing.targets(sizes)
     g = {r.source: r for r in goals.collect()}
-    assert abs(sum(r.target for r in g.values()) - 1.5 * sum(r.source_size for r in g.values())) < 1e-6
-    assert all(r.target <= 2 * r.source_size + 1e-9 for r in g.values())
-    plan = mixing.draws(sizes, goals)
-    taken = Counter()
-    for r in plan.collect():
+    plan = mixing.draws(sizes, goals).collect()
+    taken, each = Counter(), Counter()
+    for r in plan:
         taken[r.source] += r.words
+        each[r.doc_id, r.row_key, r.nth] += r.words
     assert all(abs(taken[s] - r.target) <= 1 for s, r in g.items())
+    size = {(r.doc_id, r.row_key, r.nth): r["size"] for r in sizes.collect()}
+    assert len(size) == len(ROWS) and all(n <= 2 * size[k] for k, n in each.items())
     mixed = mixing.mix(docs).collect()
-    assert all(len(WORD.findall(r.text)) == r.mix_words and r.extra == "a" for r in mixed)
-    assert mixing.mix(empty).count() == 0
-
-
-def test_rollups(spark, docs, tmp_path):
+    assert Counter((r.doc_id, r.mix_words) for r in mixed) == Counter((r.doc_id, r.words) for r in plan)
+    text = {r[0]: r[1] for r in ROWS}
+    for r in mixed:
+        assert WORD.findall(r.text) == WORD.findall(text[r.doc_id])[: r.mix_words] and r.extra == "a"
+    for shard in {r.mix_shard for r in mixed}:
+        assert sorted(r.mix_position for r in mixed if r.mix_shard == shard) == list(range(1, 1 + sum(r.mix_shard == shard for r in mixed)))
+    assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, mixed)) and mixing.mix(empty).count() == 0
+
+
+def test_mixing_keeps_columns_of_any_name(docs):
+    odd = docs.selectExpr("*", "doc_id AS size", "1 AS row_key", "2 AS nth", "'x' AS entries", "7 AS mix_shard", "0 AS n")
+    got = mixing.mix(odd)
+    assert Counter(got.columns) == Counter([*odd.columns, "mix_position", "mix_copy", "mix_words"])
+    assert all(r["size"] == r.doc_id and (r.row_key, r.nth, r.entries, r.n) == (1, 2, "x", 0) for r in got.collect())
+
+
+def test_permutation(spark):
+    """Every place is taken once, whatever the count; pairs stand anywhere; keys differ."""
+    for n in (1, 2, 3, 64, 257):
+        for key in (1, 2):
+            got = [r[0] for r in spark.range(n).selectExpr(mixing.permuted("id", f"{n}L", f"{key}L, 9L")).collect()]
+            assert sorted(got) == list(range(n))
+    first = spark.range(2000).selectExpr(mixing.permuted("3L", "8L", "id, 1L") + " AS p", mixing.permuted("4L", "8L", "id, 1L") + " AS q").collect()
+    for values, cells in (([r.p for r in first], 8), ([(r.p, r.q) for r in first], 56)):
+        seen = Counter(values)
+        expected = 2000 / cells
+        assert len(seen) == cells and sum((v - expected) ** 2 / expected for v in seen.values()) < cells + 6 * (2 * cells) ** 0.5
+
+
+def test_tree_gives_out_exact_quotas(spark):
+    quotas = spark.createDataFrame([(0, 100), (1, 37), (2, 1)], "rank long, blocks long")
+    leaves = mixing.tree(quotas, 8, 5).collect()
+    totals, shards = Counter(), Counter()
+    for r in leaves:
+        totals[r["rank"]] += r.blocks
+        shards[r.shard] += r.blocks
+    assert totals == {0: 100, 1: 37, 2: 1} and len(shards) == 8 and max(shards.values()) - min(shards.values()) <= 3
+
+
+def test_rollups(spark, docs, empty, tmp_path):
     store = rollups.Rollups(spark, f"file://{tmp_path}/r")
     rows = rollups.counted(docs).selectExpr("*", "'insert' AS op", "CAST(NULL AS BIGINT) AS old_tokens")
     assert store.commit("1", rows) and not store.commit("1", rows)
     assert store.totals().filter("tokenizer = 'words-1'").selectExpr("sum(tokens)", "sum(docs)").first()[:] == (sum(len(WORD.findall(r[1] or "")) for r in ROWS), len(ROWS))
-    store.commit("2", rows.selectExpr("'delete' AS op", "source", "lang", "tokenizer", "CAST(NULL AS BIGINT) AS tokens", "tokens AS old_tokens"))
-    assert store.totals().count() == 0
+    assert store.compact() == 1 and store.compact() == 0 and store.committed("1") and not store.commit("1", rows)
+    gone = rows.selectExpr("'delete' AS op", "source", "lang", "tokenizer", "CAST(NULL AS BIGINT) AS tokens", "tokens AS old_tokens")
+    assert store.commit("2", gone) and store.totals().count() == 0 and store.compact() == 1 and store.totals().count() == 0
+    none = rollups.counted(empty).selectExpr("*", "'insert' AS op", "CAST(NULL AS BIGINT) AS old_tokens")
+    assert store.commit("3", none) and not store.commit("3", none)
+
+
+def test_rollups_of_two_writers(spark, docs, tmp_path, monkeypatch):
+    """Both find the batch open; one gets its name."""
+    rows = rollups.counted(docs).selectExpr("*", "'insert' AS op", "CAST(NULL AS BIGINT) AS old_tokens")
+    one, two = (rollups.Rollups(spark, f"file://{tmp_path}/r") for _ in range(2))
+    monkeypatch.setattr(rollups.Rollups, "committed", lambda self, batch: False)
+    assert one.commit("1", rows) and not two.commit("1", rows)
+    assert one.totals().filter("tokenizer = 'words-1'").selectExpr("sum(docs)").first()[0] == len(ROWS)
+
+
+def test_rollups_of_tokenizers(spark, docs):
+    files = {n: queries.tokenizer(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k")}
+    got = Counter((r.doc_id, r.tokenizer, r.tokens) for r in rollups.tokenized(docs, files).collect())
+    assert got == Counter((k, n, len(v) - 1) for n in files for k, v in brute_ids(f"{n}.json", 0))
+
+
+def test_op6(spark):
+    """The query's totals against counts of each text by the tokenizers themselves."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = Counter()
+    for name in ("byte_bpe_50k", "word_bpe_49k"):
+        t = Tokenizer.from_file(queries.tokenizer(f"{name}.json"))
+        t.encode_special_tokens = True
+        for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+            q, digits = quality.get(r.doc_id), len(re.findall("[0-9]", r.text or ""))
+            if q != 0:
+                want[r.source, r.lang, name, "docs"] += 1
+                want[r.source, r.lang, name, "tokens"] += len(t.encode(r.text or "", add_special_tokens=False).ids) - (digits if q == 1 and name == "word_bpe_49k" else 0)
+    got = {(r.source, r.lang, r.tokenizer, k): r[k] for r in queries.op6_rollups(spark, sf).collect() for k in ("docs", "tokens")}
+    assert got == dict(want)
 
 
 def test_hamming(spark):
@@ -181,6 +312,54 @@ def test_near_duplicates_around_the_threshold(spark):
     assert 2 < len({c for _, c in got.values()}) < len(texts)
 
 
+def test_classes_that_share_a_number(spark):
+    """With class numbers of 6 bits nearly all sets clash, and the result is the same."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 30)) for _ in range(60)]
+    texts += [t + " tail" for t in texts[:20]] + texts[:10] + [None, "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, neardup.near_duplicates(df).collect()))
+    assert sorted(map(tuple, neardup.near_duplicates(df, neardup.Settings(class_bits=6)).collect())) == want
+    assert len({c for *_, c in want}) == 62
+
+
+def test_long_lists(spark):
+    """Lists beyond ``short``: groups that link, groups that fail their hubs, and passages in many texts."""
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(25):
+            words = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 12)).tolist():
+                words[at] = f"n{rng.integers(0, 300)}"
+            texts.append(" ".join(words) + (" " + passage if group else ""))
+    texts += [" ".join(f"u{k}x{i}" for i in range(100)) + " " + passage for k in range(20)]
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for settings in (neardup.Settings(), neardup.Settings(short=3, hubs=1), neardup.Settings(bucket=500, frequent=10)):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, settings).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_deduplicated(spark):
+    """One row of each group stays, whatever its ids."""
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " tail"), (3, other), (3, text), (None, other), (None, "alone in this group of words"), (None, "alone in this group of words"), (5, None), (5, ""), (6, "page one")]
+    df = spark.createDataFrame([(a, b, "p") for a, b in rows], "doc_id long, text string, page string")
+    got = Counter((r.doc_id, r.text) for r in neardup.deduplicated(df).collect())
+    assert got == Counter([(1, text), (3, other), (None, "alone in this group of words"), (5, None), (5, ""), (6, "page one")])
+    plain = df.filter("doc_id > 1 AND doc_id < 5")
+    assert Counter(r.doc_id for r in neardup.deduplicated(plain.filter("text NOT LIKE 'v%'")).collect()) == {2: 1}
+
+
 def test_models(spark, docs, empty):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (9, 0, 1), (77, 0, 0)], "doc_id long, quality int, toxic int")
     for module in (quality, toxicity):
@@ -195,11 +374,6 @@ def test_models(spark, docs, empty):
     assert language.score(docs, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_segments():
-    s = np.array([2, -1, 3, -9, 4, -1, -1, 1.5])
-    assert toxicity.segments(s, np.flatnonzero(s > 0)) == [(0, 3, 4.0), (4, 5, 4.0), (7, 8, 1.5)]
-
-
 def test_held_out_quality(spark):
     r = queries.op2_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([x.predicted == x.quality for x in r]) > 0.9
