@@ -45,7 +45,8 @@ PREFIXES = (4, 5, 6)
 class Settings:
     #: Most labelled rows to learn from.
     sample_rows: int = 4000
-    prior: float = 200.0
+    #: Weight of the prior, in tokens for each document of the sample.
+    prior: float = 0.05
     #: A token counts from this standardised log-odds ratio on, and from this many nats beyond chance.
     min_z: float = 2.0
     margin: float = 0.0
@@ -140,7 +141,7 @@ def learn(texts, labels: np.ndarray, settings: Settings) -> Model:
     for y in (0, 1):
         counts[y, np.searchsorted(known, each[y][0])] = each[y][1]
     n = counts.sum(1)
-    prior = settings.prior * counts.sum(0) / max(n.sum(), 1) + 1e-3
+    prior = settings.prior * len(labels) * counts.sum(0) / max(n.sum(), 1) + 1e-3
     rest = prior.sum()
     odds = [np.log((counts[y] + prior) / np.maximum(n[y] + rest - counts[y] - prior, 1e-9)) for y in (0, 1)]
     delta = odds[1] - odds[0]
