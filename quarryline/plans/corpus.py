@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import calculator, rules, speech
+from ..functions import calculator, rules, speech, tools
 from ..functions import text as tx
 from ..operators import chunks as ck
 from ..operators import evaluation as ev
 from ..operators import fusion as fu
 from ..operators import graph as gr
 from ..operators import ingest as ing
+from ..operators import language as la
 from ..operators import ledger as le
 from ..operators import memory as me
 from ..operators import vectors as ve
@@ -493,6 +494,42 @@ def language_script(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.script_language(F.concat(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 5), added)).alias("script"))
 
 
+_CLEANED = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)page\s*\d+', ' ', 'g'), '\b[A-Z]{2,}\d+\b', ' ', 'g'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\d+', ' ', 'g'), '_+', ' ', 'g'), '\s+', ' ', 'g')))"
+
+
+@query(f"""WITH c AS (SELECT doc_id, lang, {_CLEANED} AS t, length(trim(text)) AS size FROM documents),
+g AS (SELECT doc_id, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM c) GROUP BY ALL),
+k AS (SELECT lang, gram, sum(n) AS n FROM g JOIN c USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM k) WHERE r <= {la.PROFILE}),
+t AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM p) AS v FROM p GROUP BY lang),
+s AS (SELECT g.doc_id, t.lang, sum(g.n * (CASE WHEN p.n IS NULL THEN ln(0.1 / (total + 0.1 * v)) ELSE ln((p.n + 0.1) / (total + 0.1 * v)) END)) AS score FROM g CROSS JOIN t LEFT JOIN p ON p.gram = g.gram AND p.lang = t.lang GROUP BY ALL),
+b AS (SELECT doc_id, arg_max(lang, score) AS lang FROM s GROUP BY doc_id)
+SELECT c.doc_id, CASE WHEN c.size < 10 OR b.lang IS NULL THEN 'en' ELSE b.lang END AS lang FROM c LEFT JOIN b USING (doc_id)""")
+def language_detect(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return la.detect(d, la.profiles(d)).select("doc_id", "lang")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'k is missing' WHEN event_id % 4 = 1 THEN 'not JSON' WHEN event_id % 4 = 2 THEN 'k is not integer' END AS problem FROM events")
+def json_schema(spark, sf_dir):
+    text = F.when(F.col("event_id") % 4 == 0, "{}").when(F.col("event_id") % 4 == 1, "{k").when(F.col("event_id") % 4 == 2, '{"k": true}').otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", tools.json_problem(text, {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}).alias("problem"))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS success, CASE WHEN event_id % 2 = 0 THEN (user_id + 1)::VARCHAR END AS result FROM events")
+def tool_calls(spark, sf_dir):
+    kit = tools.Toolkit()
+
+    @kit.add
+    def add_one(n: int) -> int:
+        """One more."""
+        return n + 1
+
+    name = F.when(F.col("event_id") % 2 == 0, "add_one").otherwise("no_such_tool")
+    calls = table(spark, sf_dir, "events").select("event_id", name.alias("tool"), F.concat(F.lit('{"n": '), F.col("user_id").cast("string"), F.lit("}")).alias("arguments"))
+    return kit.call(calls).select("event_id", "success", "result")
+
+
 # Scalar tools
 
 @query()

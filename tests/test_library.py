@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import quarryline.plans  # noqa: F401  fills the register
-from quarryline.functions import calculator, rules, speech
+from quarryline.functions import calculator, rules, speech, tools
 from quarryline.functions import text as tx
-from quarryline.operators import chunks, fulltext, graph, ingest, ledger, vectors
+from quarryline.operators import chunks, fulltext, graph, ingest, language, ledger, vectors
 from quarryline.plans import registry
 from quarryline.sources import connectors, files, markup
 from quarryline.streaming import folder, state
@@ -307,3 +307,46 @@ def test_usage_stream(spark, tmp_path):
     assert q.awaitTermination(60)
     want = {(r.start, r.key): r.n for r in state.usage_windows(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert {(r.start, r.key): r.n for r in spark.table("usage_stream").collect()} == want and len(want) > 10
+
+
+def test_tools(spark):
+    kit = tools.Toolkit()
+
+    @kit.add
+    def half(n: int, unit: str = "x") -> float:
+        """Half of a number.
+
+        More text.
+        """
+        return n / 2
+
+    assert tools.schema_of(half) == {"name": "half", "description": "Half of a number.", "parameters": {"type": "object", "properties": {"n": {"type": "integer"}, "unit": {"type": "string", "default": "x"}}, "required": ["n"]}}
+    asked = [(1, "half", '{"n": 3}'), (2, "half", '{"n": true}'), (3, "half", "{}"), (4, "half", '{"n": 1, "m": 2}'), (5, "other", "{}"), (6, "half", "no")]
+    got = {r.id: (r.success, r.result, r.error) for r in kit.call(spark.createDataFrame(asked, "id int, tool string, arguments string")).collect()}
+    assert got == {1: (True, "1.5", None), 2: (False, None, "n is not integer"), 3: (False, None, "n is missing"), 4: (False, None, "m is not known"), 5: (False, None, "unknown tool"), 6: (False, None, "not JSON")}
+    kit.select("half").register(spark)
+    assert spark.sql("SELECT half(5, 'y') AS r").first().r == 2.5
+    with pytest.raises(ValueError):
+        kit.add(half)
+    assert tools.checked(json.dumps({"a": [1, {"b": 2}]}), {"properties": {"a": {"items": {"type": "integer"}}}}) == "a[1] is not integer"
+    assert tools.checked("[" * 30 + "]" * 30, {}) == "too deep" and tools.checked('"x"', {"enum": ["y"]}) == "value is none of ['y']"
+
+
+def test_hooks(spark):
+    hooks, told = tools.Hooks(), []
+    hooks.on("ingest", told.append)
+    hooks.on("ingest", lambda facts: 1 / 0)
+    assert hooks.tell("ingest", n=1) == 1 and hooks.tell("answer") == 0
+    hooks.observed(spark.range(7), "ingest").collect()
+    hooks.settle()
+    assert told == [{"n": 1}, {"rows": 7}]
+
+
+def test_languages(spark):
+    rows = [(i, ("the other side of the thing " if i % 2 else "der andere und die sache ") * 3, "en" if i % 2 else "de") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "the thing on the other side"), (2, "und die andere sache"), (3, "한국어 문장입니다 정말"), (4, "kurz"), (5, None), (6, "かなかな"), (7, "1234567890123")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang, round(r.confidence, 1)) for r in language.detect(asked, language.profiles(df)).collect()}
+    assert got[1][0] == "en" and got[2][0] == "de" and got[3] == ("ko", 0.9) and got[4] == got[5] == ("en", 0.0) and got[6][0] == "ja" and got[7] == ("en", 0.0)
+    said = spark.createDataFrame([(1, "what is x", "de", 0.5), (2, "was ist x", "de", 0.5), (3, "what is x", "de", 0.9)], "doc_id long, text string, lang string, confidence double")
+    assert {r.doc_id: r.lang for r in language.query_language(said.drop("text"), said).collect()} == {1: "en", 2: "de", 3: "de"}
