@@ -34,7 +34,39 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repetition
 
-    return repetition.repetition(common.table(spark, sf_dir, "documents"))
+    rows = repetition.repetition(common.table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op4_sql() -> str:
+    """Every measure by its definition: n-grams as strings, counted within each row."""
+    from . import repetition
+
+    limits = repetition.Limits()
+    parts, fine = [], [f"coalesce(l3.chars, 0) / c <= {limits.line_chars}::DOUBLE"]
+    for n, most in (*limits.ngrams, *limits.tops):
+        gram = " || ' ' || ".join(["w", *(f"lead(w, {j}) OVER o" for j in range(1, n))])
+        chars = " + ".join(["len", *(f"lead(len, {j}) OVER o" for j in range(1, n))])
+        parts.append(f"g{n} AS (SELECT r, i, len, {gram} AS g, {chars} AS chars FROM x WINDOW o AS (PARTITION BY r ORDER BY i)), k{n} AS (SELECT *, CASE WHEN g IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY r, g) END AS k FROM g{n})")
+        if n < 5:
+            parts.append(f"m{n} AS (SELECT r, max(k * chars) FILTER (WHERE k > 1) AS chars FROM k{n} GROUP BY r)")
+        else:
+            parts.append(f"m{n} AS (SELECT r, sum(len) FILTER (WHERE inside) AS chars, count(*) FILTER (WHERE inside) AS words FROM (SELECT r, len, bool_or(k > 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM k{n}) GROUP BY r)")
+        fine.append(f"coalesce(m{n}.chars, 0) / c <= {most}::DOUBLE")
+    joins = " ".join(f"LEFT JOIN m{n} ON m{n}.r = v.r" for n, _ in (*limits.ngrams, *limits.tops))
+    word, space = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws FROM documents),
+x AS (SELECT r, i, w, length(w) AS len FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d)),
+{", ".join(parts)},
+l1 AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l2 AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM l1 WHERE regexp_matches(line, '{word}')),
+l3 AS (SELECT r, count(*) AS n, sum(length(regexp_replace(line, '{space}', '', 'g')))::BIGINT AS chars FROM l2 WHERE k > 1 GROUP BY r),
+v AS (SELECT r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, greatest(coalesce(list_sum([length(x) FOR x IN ws]), 0), 1)::DOUBLE AS c FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, coalesce(l3.n, 0)::BIGINT AS n_dup_lines, coalesce(m5.words, 0)::BIGINT AS n_repeat_words,
+    n_words < {limits.min_words} OR 100 * coalesce(m5.words, 0) > {limits.repeat_percent} * n_words AS base_failed,
+    NOT (n_words < {limits.min_words} OR 100 * coalesce(m5.words, 0) > {limits.repeat_percent} * n_words) AND {" AND ".join(fine)} AS kept
+FROM v LEFT JOIN l3 ON l3.r = v.r {joins}"""
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +158,17 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+_OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS i FROM d)),
+n AS (SELECT d.doc_id, count(s.s) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM n
+"""
+
+
 def _held_out(column: str = "doc_id", by: int = 3, rest: int = 1):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by == rest, F.lit(False))
 
@@ -159,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"rollup_words": _OP6_SQL, "op7_hamming": _OP7_SQL}
+    return {"op4_repetition": _op4_sql(), "op8_jaccard": _OP8_SQL, "rollup_words": _OP6_SQL, "op7_hamming": _OP7_SQL}
