@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calculator, rules, speech, tools
-from ..functions import text as tx
 from ..operators import chunks as ck
 from ..operators import evaluation as ev
-from ..operators import fusion as fu
 from ..operators import graph as gr
 from ..operators import ingest as ing
 from ..operators import language as la
@@ -688,5 +686,3 @@ def cache_lru(spark, sf_dir):
 def cache_counts(spark, sf_dir):
     return st.cache_stats(table(spark, sf_dir, "conversations"), ["text"])
 
-
-del fu, tx
