@@ -79,6 +79,8 @@ class Settings:
     #: Classes of a list that is paired in full, and hubs that a class of longer lists is verified against.
     short: int = 8
     hubs: int = 3
+    #: Pairs of one first class that a task verifies, about.
+    crowd: int = 500
     #: Bits of a class number before clashes are mended (fewer in tests).
     class_bits: int = 64
 
@@ -414,11 +416,27 @@ def _overlap(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) and whether they link; as a mask of b, the least size of the partners it is for, and the most that these can share with b in shingles that b does not look up."""
-    two = pairs.select("a", "b", "star").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    both = two.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y", "star").mapInArrow(_overlap(settings.percent), "a long, b long, star boolean, linked boolean, least long, bound long")
+def verified(pairs: DataFrame, sets: DataFrame, settings: Settings, scratch: common.Scratch) -> DataFrame:
+    """The pairs (a, b) and whether they link; as a mask of b, the least size of the partners it is for, and the most that these can share with b in shingles that b does not look up.
+
+    A pair's sets meet by a.  A class that stands first in more than ``crowd``
+    pairs, as the hub of a large group, is sent to several tasks that share them.
+    """
+    crowd = settings.crowd
+    hot = scratch.store(pairs.groupBy("a").count().filter(F.col("count") > crowd).select("a", F.expr(f"count DIV {crowd} + 1").alias("parts")))
+
+    def meet(some: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+        two = some.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+        return two.join(first, keys).select("a", "b", "x", "y", "star")
+
+    whole = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    if hot.isEmpty():
+        both = meet(pairs, whole, ["a"])
+    else:
+        dealt = pairs.join(hot, "a").withColumn("part", F.expr("pmod(xxhash64(b), parts)"))
+        copied = whole.join(hot, "a").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        both = meet(pairs.join(hot.select("a"), "a", "left_anti"), whole, ["a"]).union(meet(dealt, copied, ["a", "part"]))
+    return both.mapInArrow(_overlap(settings.percent), "a long, b long, star boolean, linked boolean, least long, bound long")
 
 
 def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -639,7 +657,7 @@ def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) ->
     some = texts.select("text").mapInArrow(_sets(sets, Members(involved)), "cls long, shingles binary").repartition(common.buckets(scratch.spark), "cls")
     whole = scratch.store_by(some.join(involved.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "cls")
 
-    found = scratch.store(verified(chosen, whole, settings))
+    found = scratch.store(verified(chosen, whole, settings, scratch))
     links = found.filter("linked").select("a", "b")
     labels = components(links, scratch)
     # Of a class that failed several hubs, the mask that leaves least to look up.
@@ -658,7 +676,8 @@ def _classify(texts: DataFrame, settings: Settings, scratch: common.Scratch) ->
     outside = outside.mapInArrow(_outside(settings, order, min(30, bits + 2)), _OUTSIDE)
     asked = outside.groupBy("bucket").applyInArrow(_asked(settings), "a long, b long, c long, need long")
     asked = asked.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).filter("c >= need").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.store(verified(counted.select("a", "b").union(asked).distinct().withColumn("star", F.lit(False)), whole, settings).filter("linked").select("a", "b"))
+    rest = scratch.store(counted.select("a", "b").union(asked).distinct().withColumn("star", F.lit(False)))
+    rest = scratch.store(verified(rest, whole, settings, scratch).filter("linked").select("a", "b"))
     final = labels.select("cls", "comp")
     if not rest.isEmpty():
         comp = state.select("cls", "comp")
