@@ -344,7 +344,7 @@ def test_long_lists(spark):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for settings in (neardup.Settings(), neardup.Settings(short=3, hubs=1), neardup.Settings(bucket=500, frequent=10)):
+    for settings in (neardup.Settings(), neardup.Settings(short=3, hubs=1), neardup.Settings(bucket=500, frequent=10, crowd=4)):
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, settings).collect()}
         assert got == dict(enumerate(label))
 
