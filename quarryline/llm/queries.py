@@ -196,10 +196,125 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.filter(~_held_out(by=5, rest=0)))
     return language.score(docs, model).select("doc_id", _held_out(by=5, rest=0).alias("held_out"), "lang_pred", "score")
 
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` with nulls of role and text as one space and every fifth row damaged: dropped, emptied, without its sentence ends, repeated or set to user."""
+    rows = common.table(spark, sf_dir, "conversations")
+    blank = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")))
+    rows = rows.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), blank).alias(c) for c in ("role", "text")), (F.crc32(key.cast("binary")) % 20).alias("harm"))
+    harm = F.col("harm")
+    text = F.when(harm == 1, "").when(harm == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(harm == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(harm == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter(harm != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("copy"))
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation
+
+    repair = conversation.repaired(damaged(spark, sf_dir))
+    ids = common.table(spark, sf_dir, "conversations").select("conv_id").distinct().alias("i")
+    whole, digests = repair.conversations.alias("w"), repair.digests().alias("d")
+    rows = ids.join(whole, F.col("i.conv_id").eqNullSafe(F.col("w.conv_id")), "left").join(digests, F.col("i.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
+    counts = (F.coalesce(F.col(f"w.{c}"), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return rows.select("i.conv_id", *counts, F.coalesce("w.audit", F.lit("")).alias("audit"), F.coalesce("d.sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    rows = importance.resampled(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linedup
+
+    rows = linedup.deduplicated(common.table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: CRC-32 by its definition: a table by the rule, then byte after byte.
+_CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT] || [0::BIGINT for i in range(8)], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+def _crc(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, length({hexed}), 2), lambda i: (strpos('0123456789ABCDEF', {hexed}[i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', {hexed}[i + 2]) - 1)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {octets}::BIGINT[], lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: The cheapest (cost, audit) for what may be complete after each row, row by row.
+_OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+codes AS (SELECT k, {_crc("k")} % 20 AS harm FROM (SELECT DISTINCT k FROM keyed), tab),
+harmed AS (
+    SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE harm WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM keyed JOIN codes USING (k) WHERE harm <> 0),
+numbered AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed),
+ended AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1] AS e, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS seen FROM numbered),
+faulty AS (SELECT *, role[1] AS r, CASE WHEN e = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM ended),
+follows(a, b, r, role) AS (VALUES ('N', 'S', 's', NULL), ('N', 'U', 'u', 'user'), ('S', 'U', 'u', 'user'), ('A', 'U', 'u', 'user'), ('U', 'A', 'a', 'assistant')),
+inserts(a, b, n, lines) AS (VALUES ('N', 'N', 0, ''), ('S', 'S', 0, ''), ('U', 'U', 0, ''), ('A', 'A', 0, ''), ('N', 'U', 1, 'user:' || chr(10)), ('S', 'U', 1, 'user:' || chr(10)), ('A', 'U', 1, 'user:' || chr(10)),
+    ('U', 'A', 1, 'assistant:' || chr(10)), ('N', 'A', 2, 'user:' || chr(10) || 'assistant:' || chr(10)), ('S', 'A', 2, 'user:' || chr(10) || 'assistant:' || chr(10))),
+moves AS (
+    SELECT c, i, a, a AS b, 4 AS price, 'D' AS edit, '' AS line FROM faulty, (VALUES ('N'), ('S'), ('U'), ('A')) x(a)
+    UNION ALL SELECT c, i, a, b, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', faulty.role || ':' || text || chr(10) FROM faulty JOIN follows ON faulty.r = follows.r WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT c, i, a, b, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', follows.role || ':' || text || chr(10) FROM faulty, follows WHERE fault NOT IN ('blank', 'duplicate') AND follows.role IS NOT NULL),
+steps AS (SELECT c, i, inserts.a, moves.b, 3 * n + price AS price, repeat('I', n) || edit AS edit, lines || line AS line FROM inserts JOIN moves ON inserts.b = moves.a),
+parsed AS (
+    SELECT DISTINCT c, 0::BIGINT AS i, 'N' AS a, 0::BIGINT AS cost, '' AS audit, '' AS body FROM numbered
+    UNION ALL
+    SELECT c, i, b, best.cost, best.audit, best.body FROM (
+        SELECT p.c, p.i + 1 AS i, s.b, min({{'cost': p.cost + s.price, 'audit': p.audit || s.edit, 'body': p.body || s.line}}) AS best
+        FROM parsed p JOIN steps s ON s.c = p.c AND s.i = p.i + 1 AND s.a = p.a GROUP BY ALL)),
+ends AS (
+    SELECT c, min({{'cost': cost + 3 * n, 'audit': audit || repeat('I', n), 'body': body || lines}}) AS best
+    FROM parsed JOIN inserts USING (a) WHERE inserts.b IN ('N', 'A') AND i = (SELECT max(i) FROM numbered m WHERE m.c = parsed.c) GROUP BY c),
+pairs AS (SELECT c, r || lead(r) OVER (PARTITION BY c ORDER BY i) AS two, length(r) AS one FROM faulty),
+counts AS (
+    SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated
+    FROM faulty GROUP BY c),
+odd AS (SELECT c, count(*) FILTER (two NOT IN ('su', 'ua', 'au') OR (two IS NOT NULL AND one = 0)) AS illegal FROM pairs GROUP BY c),
+whole AS (SELECT * FROM counts JOIN odd USING (c) JOIN ends USING (c))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.body[1 : length(best.body) - 1], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+_OP12_SQL = rf"""
+WITH {_CRC_TABLE},
+texts AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 'b', 0, NULL, text FROM benchmark),
+words AS (SELECT kind, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+buckets AS (SELECT w, {_crc("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), tab),
+hits AS (SELECT kind, r, bucket FROM words JOIN buckets USING (w)),
+sums AS (SELECT bucket, count(*) FILTER (kind = 'd') AS s, count(*) FILTER (kind = 'b') AS t FROM hits GROUP BY bucket),
+totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, totals),
+docs AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM hits JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY r),
+weighed AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1 : 8] AS digits FROM texts LEFT JOIN docs USING (r) WHERE kind = 'd'),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || digits)::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM weighed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, weight, n_features) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END::BIGINT AS rank FROM ranked
+"""
+
+_OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+    SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
+often AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+k AS (SELECT r, count(*) AS n_lines, count(often.key) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL) AS kept FROM l LEFT JOIN often ON often.key = l.key GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM k JOIN d USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith(("op", "rollup_")) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_repetition": _op4_sql(), "op8_jaccard": _OP8_SQL, "rollup_words": _OP6_SQL, "op7_hamming": _OP7_SQL}
+    return {"op4_repetition": _op4_sql(), "op8_jaccard": _OP8_SQL, "rollup_words": _OP6_SQL, "op7_hamming": _OP7_SQL, "op11_conversations": _OP11_SQL, "op12_resampling": _OP12_SQL, "op13_line_dedup": _OP13_SQL}
