@@ -6,6 +6,9 @@ text is cut there, the pieces are hashed as bytes, each new piece is encoded
 by the library, and the ids of the text are gathered from the worker's table.
 Where a cut could be unsafe (an unusual character before it), none is made:
 pieces only get longer, ids stay those of the library on the whole text.
+
+The strings of a tokenizer's special tokens, where they occur in a text, are
+those tokens, as in the library's own encoding; they are pieces of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True  # no apostrophe: contractions begin with it
+#: Sets the keys of special tokens apart from those of ordinary pieces.
+_APART = np.uint64(0xB5297A4D3F84D5A3)
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
@@ -39,7 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content}
+        self.tokenizer.encode_special_tokens = True  # they are found here, and what is left is ordinary text
         # Under a lower-casing normaliser that makes white space blanks, pieces that differ in these alone are one.
         self.fold = None
         if all(x in repr(self.tokenizer.normalizer) for x in ("Lowercase", "Replace")):
@@ -51,6 +57,11 @@ class Encoder:
         self.keys = np.zeros(1 << 16, np.uint64)
         self.starts, self.sizes, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        for text, number in self.special.items():
+            data = np.frombuffer(text, np.uint8)
+            data = data if self.fold is None else self.fold[data]
+            key = ts.Hasher(data).spans(np.array([0]), np.array([len(data)])) ^ _APART
+            self.add(key, np.ones(1, np.int32), np.array([number], np.uint32))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, -1 for new ones."""
@@ -76,13 +87,34 @@ class Encoder:
             open_ = open_[self.table[slot[open_]] != numbers[open_]]
             slot[open_] = (slot[open_] + 1) & mask
 
-    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the special tokens' strings, the leftmost first and the longest of those that begin together."""
+        raw, found = data.tobytes(), []
+        for text in self.special:
+            at = raw.find(text)
+            while at >= 0:
+                found.append((at, -at - len(text)))
+                at = raw.find(text, at + 1)
+        starts, ends, free = [], [], 0
+        for at, minus in sorted(found):
+            end = -minus
+            if at >= free and np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, end - 1, "right"):
+                starts.append(at)
+                ends.append(end)
+                free = end
+        return np.array(starts, np.int64), np.array(ends, np.int64)
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, special: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(data)
         space = ts.SPACE[data]
         safe = _PLAIN[data[:-1]].copy()  # what may stand before a cut
         safe[1:] |= data[:-2] == 0xC3  # the second byte of U+00C0..U+00FF
         cut = np.zeros(n, bool)
         cut[1:] = (space[1:] & ~space[:-1] & safe) | (_MARK[data[1:]] & _LETTER[data[:-1]])
+        for a, b in zip(*(x.tolist() for x in special), strict=True):
+            cut[a + 1 : b] = False
+            cut[a] = True
+            cut[b : b + 1] = True
         starts, ends = ts.edges(np.ones(n, bool), offsets, np.flatnonzero(cut))
         return starts, ends, ts.owner(starts, offsets)
 
@@ -91,7 +123,10 @@ class Encoder:
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.add(keys, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """New pieces: their hashes, how many ids each has, and the ids."""
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(keys) > len(self.keys):
@@ -108,9 +143,11 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        special = self.specials(data, offsets)
         data = data if self.fold is None else self.fold[data]
-        starts, ends, doc = self.pieces(data, offsets)
+        starts, ends, doc = self.pieces(data, offsets, special)
         keys = ts.Hasher(data).spans(starts, ends)
+        keys[np.searchsorted(starts, special[0])] ^= _APART
         if self.known > MEMORY:
             self.clear()
         at = self.find(keys)

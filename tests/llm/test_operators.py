@@ -23,7 +23,7 @@ ROWS = [
     (8, LONG + " tail", "fr", "s2", 0, "a"),
     (9, "same line here\nsame line here\nsame line here", "en", "s1", 1, "a"),
     (9, "same line here\nsame line here\nsame line here", "en", "s1", 1, "a"),
-    (10, "Größe élan don't *** 12,5 <|endoftext|>", "de", "s3", 1, "a"),
+    (10, "Größe élan don't *** 12,5 <|endoftext|> x<|endoftext|><|startoftext|>Y <|ENDOFTEXT|> <|endof", "de", "s3", 1, "a"),
 ]
 
 
@@ -41,7 +41,6 @@ def brute_ids(name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer(name))
-    t.encode_special_tokens = True
     return [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids + [end]) for r in ROWS]
 
 
@@ -252,7 +251,6 @@ def test_op6(spark):
     want = Counter()
     for name in ("byte_bpe_50k", "word_bpe_49k"):
         t = Tokenizer.from_file(queries.tokenizer(f"{name}.json"))
-        t.encode_special_tokens = True
         for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
             q, digits = quality.get(r.doc_id), len(re.findall("[0-9]", r.text or ""))
             if q != 0:
