@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-TERM = r"[\p{L}\p{N}]+"
+BETWEEN = r"[^\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
 #: Latin letters with diacritics, and the letters they stand on.
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
@@ -31,7 +31,8 @@ def lowered(text: Column, fold: bool = False) -> Column:
 
 
 def terms(text: Column, fold: bool = False) -> Column:
-    return F.regexp_extract_all(lowered(text, fold), F.lit(TERM), 0)
+    """Terms in order.  Cut at what lies between them: ``regexp_extract_all`` copies the text for each match."""
+    return F.array_remove(F.split(lowered(text, fold), BETWEEN, -1), "")
 
 
 def query_words(text: str, fold: bool = True) -> list[str]:
@@ -124,14 +125,12 @@ def matches(groups: list[Group], text: Column) -> Column:
 def bm25(rows: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
     """id, score of the rows with any of the terms; document frequencies and lengths are of all rows.
 
-    Terms are counted in the text as it stands, without lists of words; one pass
-    gives the statistics (a row), one the scores, and nothing else is shuffled.
+    One pass gives the statistics (a row), one the scores, and nothing else is shuffled.
     """
     wanted = sorted(set(query_terms))
-    text = lowered(F.col(text_col), fold)
-    edge = r"[\p{L}\p{N}]"
-    tfs = [F.regexp_count(text, F.lit(f"(?<!{edge}){t}(?!{edge})")).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    per = rows.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(TERM)).alias("n"), *tfs)
+    words = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col), fold).alias("words"))
+    tfs = [(F.size("words") - F.size(F.array_remove("words", t))).cast("long").alias(f"tf{i}") for i, t in enumerate(wanted)]
+    per = words.select("id", F.size("words").cast("long").alias("n"), *tfs)
     stats = per.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
     score = F.lit(0.0)
     for i in range(len(wanted)):
