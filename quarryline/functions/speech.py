@@ -27,51 +27,38 @@ def _spaced(text: str, numbers: bool) -> str:
     return "".join(" " if k[0] in "PS" or c.isspace() else str(unicodedata.decimal(c)) if numbers and k == "Nd" else c for c, k in kinds)
 
 
-class _Number:
-    """One spoken number as it is read: below a thousand, and what the scales so far have taken."""
-
-    def __init__(self) -> None:
-        self.below, self.above, self.least, self.kind = 0, 0, None, ""
-
-    def fits(self, word: str) -> bool:
-        kind = "unit" if word in UNITS else "teen" if word in TEENS else "tens" if word in TENS else word
-        if kind in ("unit", "teen", "tens"):
-            return not (self.kind in ("unit", "teen") or self.kind == "tens" and kind != "unit")
-        if kind == "hundred":
-            return self.kind != "hundred" and self.below < 100
-        return self.least is None or SCALES[word] < self.least
-
-    def add(self, word: str) -> None:
-        if word in SMALL:
-            self.below += SMALL[word]
-            self.kind = "unit" if word in UNITS else "teen" if word in TEENS else "tens"
-        elif word == "hundred":
-            self.below, self.kind = (self.below or 1) * 100, "hundred"
-        else:
-            self.above += (self.below or 1) * SCALES[word]
-            self.below, self.least, self.kind = 0, SCALES[word], "scale"
-
-    def split(self, word: str) -> _Number:
-        """The next number where ``word`` cannot go on with this one; what stands right before a ``hundred`` or a scale begins it."""
-        new = _Number()
-        if word == "hundred" and self.kind != "hundred":
-            new.below, self.below, new.kind = self.below % 100, self.below - self.below % 100, "unit"
-        elif word in SCALES:
-            new.below, self.below = self.below, 0
-        return new
+#: A letter for each kind of number word, so that the grammar below reads them.
+_KIND = dict.fromkeys(UNITS, "u") | dict.fromkeys(TEENS, "e") | dict.fromkeys(TENS, "t") | {"hundred": "h", "thousand": "K", "million": "M", "billion": "B"}
+_SMALL = "(?>tu?|e|u)"
+#: What stands right before a further ``hundred`` or scale belongs to that.
+_BELOW = f"(?>(?:{_SMALL})?h(?:{_SMALL}(?!h))?|{_SMALL}(?!h))"
+#: Scales fall from left to right.
+_NUMBER = re.compile(f"(?:({_BELOW})?B)?(?:({_BELOW})?M)?(?:({_BELOW})?K)?({_BELOW}(?![KMB]))?")
+
+
+def _below(words: list[str]) -> int:
+    """Value of words below a thousand."""
+    at = words.index("hundred") if "hundred" in words else -1
+    return (sum(SMALL[w] for w in words[:at]) or 1) * 100 * (at >= 0) + sum(SMALL[w] for w in words[at + 1 :])
 
 
 def _numbers(run: list[str]) -> list[str]:
+    """The numbers that a run of number words says, each the longest that the grammar allows; single digits alone are read as they stand."""
     if len(run) > 1 and all(w in UNITS for w in run):
         return ["".join(str(UNITS[w]) for w in run)]
-    found, now = [], _Number()
-    for word in run:
-        if now.kind and not now.fits(word):
-            nxt = now.split(word)
-            found.append(now)
-            now = nxt
-        now.add(word)
-    return [str(n.above + n.below) for n in [*found, now] if n.kind]
+    kinds, found, at = "".join(_KIND[w] for w in run), [], 0
+    while at < len(run):
+        said = _NUMBER.match(kinds, at)
+        value = 0
+        for group, scale in ((1, "billion"), (2, "million"), (3, "thousand"), (4, "")):
+            words = run[said.start(group) : said.end(group)] if said[group] is not None else []
+            if not scale:
+                value += _below(words)
+            elif _KIND[scale] in said[0]:
+                value += (_below(words) if words else 1) * SCALES[scale]
+        found.append(str(value))
+        at = said.end()
+    return found
 
 
 def normalised(text: str | None, numbers: bool = False) -> str:

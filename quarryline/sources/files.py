@@ -1,5 +1,8 @@
 """Files to text: one row of text for each file of a ``binaryFile`` scan.
 
+Archives are unpacked to rows first (``unpacked``), messages have columns of their
+own (``mails``), and Parquet files are read by ``spark.read.parquet``.
+
 A file that cannot be read gives a row with its error; the others go on.  PDF,
 OCR and speech need libraries or models that are not here: pass ``plug_ins``.
 """
@@ -7,8 +10,6 @@ OCR and speech need libraries or models that are not here: pass ``plug_ins``.
 from __future__ import annotations
 
 import csv
-import email
-import email.policy
 import io
 import json
 import re
@@ -17,6 +18,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,6 @@ def subtitle_text(raw: bytes) -> str:
     return "\n".join(x for x in lines if x and x != "WEBVTT" and not x.isdigit() and "-->" not in x)
 
 
-def mail_text(raw: bytes) -> str:
-    mail = email.message_from_bytes(raw, policy=email.policy.default)
-    head = [f"{k}: {mail.get(k, '')}" for k in ("From", "To", "Subject")]
-    body = mail.get_body(preferencelist=("plain", "html"))
-    if body is None:
-        return "\n".join(head)
-    content = body.get_content()
-    return "\n".join([*head, markup.strings(content) if body.get_content_type() == "text/html" else content])
-
-
 def rtf_text(raw: bytes) -> str:
     """Plain text of RTF: control words dropped, paragraphs as lines, \\'xx and \\u escapes decoded, destinations skipped."""
     out: list[str] = []
@@ -165,20 +157,14 @@ def epub_text(raw: bytes) -> str:
     return "\n\n".join(p for p in parts if p.strip())
 
 
-def parquet_text(raw: bytes) -> str:
-    import pyarrow.parquet as pq
-
-    return pq.read_table(io.BytesIO(raw)).to_pandas().to_csv(index=False, sep="\t")
-
-
 READERS: dict[str, Callable[[bytes], str]] = (
     dict.fromkeys(("txt", "md", "sql"), plain)
     | dict.fromkeys(("html", "htm"), lambda raw: markup.strings(plain(raw)))
     | dict.fromkeys(("xml", "xsl"), xml_text)
     | dict.fromkeys(("vtt", "srt"), subtitle_text)
     | dict.fromkeys(("odt", "ods", "odp"), open_document_text)
-    | {"csv": lambda raw: table_text(raw, ","), "tsv": lambda raw: table_text(raw, "\t"), "json": json_text, "eml": mail_text, "rtf": rtf_text}
-    | {"docx": docx_text, "xlsx": xlsx_text, "pptx": pptx_text, "epub": epub_text, "parquet": parquet_text}
+    | {"csv": lambda raw: table_text(raw, ","), "tsv": lambda raw: table_text(raw, "\t"), "json": json_text, "rtf": rtf_text}
+    | {"docx": docx_text, "xlsx": xlsx_text, "pptx": pptx_text, "epub": epub_text}
 )
 
 
@@ -186,39 +172,9 @@ def extension(name: str) -> str:
     return name.lower().rsplit(".", 1)[1] if "." in name else ""
 
 
-def members(raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """Files of an archive that have a reader; archives inside are skipped.  What is read is limited, whatever the archive declares."""
-    left = MAX_BYTES
-    with opened(raw) as z:
-        for name in z.namelist():
-            if not name.endswith("/") and extension(name) in READERS:
-                with z.open(name) as f:
-                    data = f.read(left + 1)
-                left -= len(data)
-                if left < 0:
-                    raise ValueError("archive unpacks to too many bytes")
-                yield name, data
-
-
-def zip_text(raw: bytes, readers: dict[str, Callable[[bytes], str]]) -> str:
-    parts = []
-    for name, data in members(raw):
-        try:
-            text = readers[extension(name)](data)
-        except Exception:  # noqa: BLE001  a broken member does not end the archive
-            continue
-        if text.strip():
-            parts.append(f"[File: {name}]\n{text}")
-    if not parts:
-        raise ValueError("no text in the archive")
-    return "\n\n".join(parts)
-
-
 def extract(name: str, raw: bytes, plug_ins: dict[str, Callable[[bytes], str]] | None = None) -> str:
     """Text of a file by its last extension; ValueError for kinds without a reader."""
     readers, kind = READERS | (plug_ins or {}), extension(name)
-    if kind == "zip":
-        return zip_text(raw, readers)
     if kind in ("doc", "ppt"):
         raise ValueError(f".{kind} is not supported: save it as .{kind}x")
     if kind not in readers:
@@ -242,6 +198,57 @@ def read_texts(files: DataFrame, plug_ins: dict[str, Callable[[bytes], str]] | N
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, content) with a row for each file inside a zip archive in place of the archive, at ``archive!/member``.
+
+    Members are read one after the other; archives inside archives stay as they
+    are.  An archive that is broken, has too many members or declares too many bytes
+    stays as one row, for which ``read_texts`` gives the error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from (pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([c], pa.binary())], ["path", "content"]) for p, c in _inside(path, raw.as_py() or b""))
+
+    archive = F.lower("path").endswith(".zip")
+    inside = files.filter(archive).select("path", "content").mapInArrow(run, "path string, content binary")
+    return files.filter(~archive).select("path", "content").unionByName(inside)
+
+
+def _inside(path: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
+    try:
+        archive = opened(raw)
+    except (zipfile.BadZipFile, ValueError):
+        yield path, raw
+        return
+    with archive:
+        for entry in archive.infolist():
+            if not entry.is_dir():
+                with archive.open(entry) as f:
+                    content = f.read(entry.file_size + 1)
+                if len(content) <= entry.file_size:  # no more than it declares, which ``opened`` has bounded
+                    yield f"{path}!/{entry.filename}", content
+
+
+def mails(files: DataFrame) -> DataFrame:
+    """(path, sender, receiver, subject, body) of messages (path, content).  The body is the first plain part of a message in parts, or else the whole; base64 is decoded; a missing field is an empty string."""
+    whole = F.regexp_replace(F.coalesce(decoded(F.col("content")), F.lit("")), "\r\n", "\n")
+    cut = files.select("path", F.split(F.concat(whole, F.lit("\n\n")), "\n\n", 2).alias("x"))
+    rows = cut.select("path", F.regexp_replace(F.col("x")[0], "\n[ \t]+", " ").alias("head"), F.regexp_replace(F.col("x")[1], "\n\n$", "").alias("body"))
+    mark = F.regexp_extract("head", '(?i)boundary="?([^";\\s]+)', 1)
+    parts = F.when(mark != "", F.split(F.replace("body", F.concat(F.lit("--"), mark), F.lit("\x00")), "\x00")).otherwise(F.array(F.concat("head", F.lit("\n\n"), "body")))
+    plain = F.coalesce(F.get(F.filter(parts, lambda p: p.rlike("(?i)content-type:\\s*text/plain")), F.lit(0)), F.get(F.filter(parts, lambda p: F.trim(p) != ""), F.lit(0)), F.lit(""))
+    rows = rows.select("*", plain.alias("part"))
+    inner = F.get(F.split("part", "\n\n", 2), F.lit(1))
+    text = F.when(F.col("part").rlike("(?i)content-transfer-encoding:\\s*base64"), decoded(F.try_to_binary(F.regexp_replace(inner, "\\s", ""), F.lit("base64")))).otherwise(inner)
+
+    def field(name: str) -> Column:
+        return F.trim(F.regexp_extract("head", f"(?im)^{name}:(.*)$", 1))
+
+    return rows.select("path", field("From").alias("sender"), field("To").alias("receiver"), field("Subject").alias("subject"), F.rtrim(F.coalesce(text, F.lit("")), F.lit("\n")).alias("body"))
+
+
 def folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """path, content, size and hash of the files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)

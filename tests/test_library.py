@@ -102,7 +102,7 @@ def test_vectors_in_blocks(spark, monkeypatch):
 
 def test_speech():
     assert speech.normalised("It’s  Größe, 1,234!", True) == "its grösse 1234"
-    said = {"one two three": "123", "one hundred and twenty two": "122", "twenty one thousand and five": "21005", "seven hundred hundred": "700 100", "ten five": "10 5", "a million and a half": "a 1000000 and a half", "one hundred one hundred": "100 100"}
+    said = {"one two three": "123", "one hundred and twenty two": "122", "twenty one thousand and five": "21005", "seven hundred hundred": "700 100", "ten five": "10 5", "a million and a half": "a 1000000 and a half", "one hundred one hundred": "100 100", "one hundred twenty one hundred": "100 2100", "five thousand six thousand": "5000 6000", "two billion million three": "2001000003", "six hundred thousand forty": "600040", "hundred thousand": "100000"}
     assert {k: speech.normalised(k, True) for k in said} == said
 
     def slow(a, b):
@@ -143,6 +143,9 @@ def test_rules(spark):
 def test_markup():
     page = "<head><title>t</title></head><body><p>One &amp; <b>two</b></p><div style='display: none'>no</div><script>x</script><span hidden>no</span>three<br>four</body>"
     assert markup.visible_text(page) == "One & two\n\nthree\nfour" and markup.visible_text(None) == ""
+    nested = "<div hidden><div>a<p>b</div><img src='x>y'>c</div>d<br/>e <!-- <p> f --> 1 < 2 &lt;p> <DIV style=\"x:y; visibility : hidden\">g<p>h</DIV>i<script>if (a<b) '</div>'</script>j<p aria-hidden=true>k</p></p>l<style>z"
+    assert markup.visible_text(nested) == "d\ne 1 < 2 <p>\n\ni j\n\nl".replace("i j", "ij")
+    assert markup.visible_text("<head>x") == "" and markup.visible_text("a<hiddenx>b</hiddenx>") == "ab" and markup.visible_text('<p title="not hidden here">c') == "c"
     assert markup.strings(page) == "t\nOne &\ntwo\nno\nno\nthree\nfour"
 
 
@@ -163,20 +166,27 @@ def test_files(spark):
     w = 'xmlns:w="w"'
     given = {
         "a.txt": "Größe".encode("latin-1"), "b.csv": b'x,"y, z"\n1,2\n', "c.json": b'{"a": [1]}', "d.html": b"<p>hi</p><script>no</script>", "e.xml": b"<r><a>1</a><b> 2 </b></r>",
-        "f.srt": b"1\n00:00 --> 00:01\nhello\n\n", "g.eml": b"From: a@b\nTo: c@d\nSubject: s\n\nbody", "h.rtf": rb"{\rtf1{\fonttbl x}Hi \b there\b0\par gr\'fc\u223 ?e}", "i.doc": b"x", "j.bin": b"x", "k.json": b"{",
+        "f.srt": b"1\n00:00 --> 00:01\nhello\n\n", "h.rtf": rb"{\rtf1{\fonttbl x}Hi \b there\b0\par gr\'fc\u223 ?e}", "i.doc": b"x", "j.bin": b"x", "s.zip": b"broken", "k.json": b"{",
         "l.docx": zipped(word__document_DOT_xml=f"<w:d {w}><w:p><w:t>One</w:t></w:p><w:p/><w:p><w:t>Two</w:t></w:p></w:d>"),
         "m.zip": zipped(a_DOT_txt="in zip", b_DOT_zip="no", c_DOT_json="{bad", d_DOT_md="more"), "n.zip": zipped(b_DOT_exe="x"),
         "o.xlsx": zipped(xl__workbook_DOT_xml='<wb xmlns:r="r"><sheet name="S" r:id="1"/></wb>', xl___rels__workbook_DOT_xml_DOT_rels='<r><x Id="1" Target="s.xml"/></r>', xl__sharedStrings_DOT_xml="<s><si><t>word</t></si></s>", xl__s_DOT_xml='<w><row><c t="s"><v>0</v></c><c><v>5</v></c></row><row/></w>'),
         "p.pptx": zipped(ppt__slides__slide2_DOT_xml="<s><p><t>B</t></p></s>", ppt__slides__slide1_DOT_xml="<s><p><t>A</t></p><p/></s>"), "q.odt": zipped(content_DOT_xml="<o><p>x<b>y</b></p><p>z</p></o>"), "r.epub": zipped(a_DOT_xhtml="<p>E</p>"),
     }
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in given.items()], "path string, content binary")
-    got = {r.path: r for r in files.read_texts(df).collect()}
+    got = {r.path: r for r in files.read_texts(files.unpacked(df)).collect()}
     text = {k: r.text for k, r in got.items() if r.error is None}
     assert text == {
-        "a.txt": "Größe", "b.csv": "x\ty, z\n1\t2", "c.json": json.dumps({"a": [1]}, indent=2), "d.html": "hi", "e.xml": "1\n2", "f.srt": "hello", "g.eml": "From: a@b\nTo: c@d\nSubject: s\nbody", "h.rtf": "Hi there\ngrüße",
-        "l.docx": "One\n\nTwo", "m.zip": "[File: a.txt]\nin zip\n\n[File: d.md]\nmore", "o.xlsx": "[Sheet: S]\nword\t5", "p.pptx": "[Slide 1]\nA\n\n[Slide 2]\nB", "q.odt": "xy\nz", "r.epub": "E",
+        "a.txt": "Größe", "b.csv": "x\ty, z\n1\t2", "c.json": json.dumps({"a": [1]}, indent=2), "d.html": "hi", "e.xml": "1\n2", "f.srt": "hello", "h.rtf": "Hi there\ngrüße",
+        "l.docx": "One\n\nTwo", "m.zip!/a.txt": "in zip", "m.zip!/d.md": "more", "o.xlsx": "[Sheet: S]\nword\t5", "p.pptx": "[Slide 1]\nA\n\n[Slide 2]\nB", "q.odt": "xy\nz", "r.epub": "E",
     }
-    assert {k for k, r in got.items() if r.error} == {"i.doc", "j.bin", "k.json", "n.zip"}
+    assert {k for k, r in got.items() if r.error} == {"i.doc", "j.bin", "k.json", "m.zip!/b.zip", "m.zip!/c.json", "n.zip!/b.exe", "s.zip"}
+
+
+def test_mails(spark):
+    parted = b'From: a@b\r\nSubject: two\r\n lines\r\nContent-Type: multipart/mixed; boundary="xx"\r\n\r\nfirst\r\n--xx\r\nContent-Type: text/html\r\n\r\n<p>no</p>\r\n--xx\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: base64\r\n\r\nR3LD\r\nvMOfZQ==\r\n--xx--\r\n'
+    rows = [("a", b"From: a@b\nTo: c@d\nSubject: s\n\nbody\n\nmore\n"), ("b", parted), ("c", b""), ("d", None), ("e", b"To: x")]
+    got = files.mails(spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in rows], "path string, content binary")).collect()
+    assert {r.path: tuple(r)[1:] for r in got} == {"a": ("a@b", "c@d", "s", "body\n\nmore"), "b": ("a@b", "", "two lines", "Gr\u00fc\u00dfe"), "c": ("", "", "", ""), "d": ("", "", "", ""), "e": ("", "x", "", "")}
 
 
 def test_parse_csv(spark):
