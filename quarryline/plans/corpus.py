@@ -164,48 +164,6 @@ def entity_dedup(spark, sf_dir):
     return gr.deduplicated(names)
 
 
-_HITS = """, h AS (SELECT b.item_id AS query_id, d.doc_id AS id, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 31 + b.item_id * 17) % 1009, d.doc_id)), 6) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id * 31 + b.item_id * 17) % 1009, d.doc_id) AS r FROM (SELECT item_id FROM benchmark WHERE item_id < 10) b, documents d),
-hits AS (SELECT query_id, id, score FROM h WHERE r <= 30),
-linked AS (SELECT DISTINCT q.item_id AS query_id, c.doc_id FROM (SELECT item_id, (SELECT list(entity ORDER BY entity) FROM (SELECT entity, count(*) AS n FROM contained GROUP BY entity ORDER BY n DESC, entity LIMIT 10)) AS tops FROM benchmark WHERE item_id < 10) q JOIN contained c ON c.entity = q.tops[q.item_id % len(q.tops) + 1]) """
-
-
-def _ranked_hits(spark, sf_dir):
-    """A made-up list of 30 hits for each of ten queries, in an order of its own."""
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"))
-    order = ve.Window.partitionBy("query_id").orderBy((F.col("id") * 31 + F.col("query_id") * 17) % 1009, "id")
-    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(F.broadcast(q))  # ten rows
-    top = pairs.withColumn("r", F.row_number().over(order)).filter("r <= 30")
-    return top.select("query_id", "id", F.col("id").alias("doc_id"), F.round(1 / (60 + F.col("r")), 6).alias("score"))
-
-
-def _linked(spark, sf_dir, c):
-    tops = sorted(r[0] for r in c.groupBy("entity").count().orderBy(F.desc("count"), "entity").limit(10).collect())
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, tops)), (F.col("item_id") % len(tops) + 1).cast("int")).alias("entity"))
-    return q.join(c.select("entity", "doc_id"), "entity").select("query_id", "doc_id").distinct()
-
-
-@query(_ENTITIES + _HITS + ", b AS (SELECT h.query_id, h.id, round(h.score + CASE WHEN l.doc_id IS NULL THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END, 6) AS score, l.doc_id IS NOT NULL AS graph_boosted FROM hits h LEFT JOIN linked l ON h.query_id = l.query_id AND h.id = l.doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM b) WHERE rank <= 10")
-def graph_boost_hybrid(spark, sf_dir):
-    c = gr.contains(_found(spark, sf_dir))
-    return gr.boosted(_ranked_hits(spark, sf_dir), _linked(spark, sf_dir, c), 10).select("query_id", "id", "score", "graph_boosted", "rank")
-
-
-@query(_ENTITIES + _HITS + ", d AS (SELECT query_id, id, round(0.9::DOUBLE + score, 6) AS score FROM hits), b AS (SELECT h.query_id, h.id, round(least(1.0::DOUBLE, h.score + CASE WHEN l.doc_id IS NOT NULL THEN 0.15::DOUBLE WHEN h.id % 7 = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score, l.doc_id IS NOT NULL OR h.id % 7 = 0 AS graph_boosted FROM d h LEFT JOIN linked l ON h.query_id = l.query_id AND h.id = l.doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM b) WHERE rank <= 10")
-def graph_boost_dense(spark, sf_dir):
-    c, hits = gr.contains(_found(spark, sf_dir)), _ranked_hits(spark, sf_dir).withColumn("score", F.round(F.lit(0.9) + F.col("score"), 6))
-    near = hits.filter("id % 7 = 0").select("query_id", "doc_id")
-    return gr.boosted_dense(hits, _linked(spark, sf_dir, c), near, 10).select("query_id", "id", "score", "graph_boosted", "rank")
-
-
-@query()
-def graph_retrieve(spark, sf_dir):
-    f = _found(spark, sf_dir)
-    c = gr.contains(f)
-    name = c.groupBy("name").count().orderBy("count", F.desc("name")).limit(1).first()
-    hits = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id")
-    return gr.retrieve(c, gr.network(c, gr.edges(gr.pairs(f))), hits, f"about {name[0] if name else ''} please")
-
-
 # Ingest
 
 _BASE = "WITH d AS (SELECT doc_id, doc_id || '.txt' AS filename, regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g') AS text FROM documents), n AS (SELECT doc_id, filename, len(list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '')) AS w, length(text) AS l, contains(text, 'idiot') AS bad FROM d) "

@@ -30,40 +30,38 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 #: Words of all documents with their places.
 _WORDS = f"""
-d AS (SELECT doc_id AS id, {_TERMS} AS t FROM documents),
-w AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) AS place, len(t) AS l FROM d)"""
-_ANY = f"""
-WITH {_WORDS},
-q AS (SELECT DISTINCT query_id, unnest(t) AS term FROM (SELECT item_id AS query_id, {_TERMS} AS t FROM benchmark WHERE item_id % 50 = 0)),
-s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
-f AS (SELECT id, term, l, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-b AS (
+td AS (SELECT doc_id AS id, {_TERMS} AS t FROM documents),
+tw AS (SELECT id, unnest(t) AS term, generate_subscripts(t, 1) AS place, len(t) AS l FROM td)"""
+#: Documents with any term of the passages by BM25.
+SPARSE = f"""{_WORDS},
+tq AS (SELECT DISTINCT query_id, unnest(t) AS term FROM (SELECT item_id AS query_id, {_TERMS} AS t FROM benchmark WHERE item_id % 50 = 0)),
+total AS (SELECT count(*) AS n, avg(len(t)) AS a FROM td),
+counted AS (SELECT id, term, l, count(*) AS tf FROM tw WHERE term IN (SELECT term FROM tq) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+weighed AS (
     SELECT query_id, id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score
-    FROM q JOIN f USING (term) JOIN df USING (term), s GROUP BY ALL),
-sparse AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM b)"""
+    FROM tq JOIN counted USING (term) JOIN held USING (term), total GROUP BY ALL),
+sparse AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM weighed)"""
 
 
-@query(_ANY + " SELECT query_id, rank::INTEGER AS rank, id, round(score, 4) AS score FROM sparse WHERE rank <= 10")
+@query("WITH" + SPARSE + " SELECT query_id, rank::INTEGER AS rank, id, round(score, 4) AS score FROM sparse WHERE rank <= 10")
 def sparse_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ti.search_any(document_index(spark, sf_dir), passages(spark, sf_dir), 10)
 
 
 _VECTOR = "[('0x' || substr(sha256({t}), 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE FOR i IN range(0, 8)]"
-
-
-@query(
-    _ANY
-    + f""",
-p AS (SELECT item_id AS query_id, {_VECTOR.format(t="text")} AS v FROM benchmark WHERE item_id % 50 = 0),
-c AS (SELECT query_id, doc_id AS id, (1 + list_cosine_similarity({_VECTOR.format(t="text")}, v)) / 2 AS cos FROM documents, p WHERE length(trim(coalesce(text, ''))) > 0),
-dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id) AS rank FROM c),
+#: The same with the nearest stand-in vectors, and both fused by rank.
+LISTS = f"""{SPARSE},
+pv AS (SELECT item_id AS query_id, {_VECTOR.format(t="text")} AS v FROM benchmark WHERE item_id % 50 = 0),
+cosines AS (SELECT query_id, doc_id AS id, (1 + list_cosine_similarity({_VECTOR.format(t="text")}, v)) / 2 AS cos FROM documents, pv WHERE length(trim(coalesce(text, ''))) > 0),
+dense AS (SELECT query_id, id, round(cos, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(cos, 12) DESC, id) AS rank FROM cosines),
 fused AS (
-    SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS raw
+    SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score
     FROM (SELECT query_id, id, rank FROM dense WHERE rank <= 30 UNION ALL SELECT query_id, id, rank FROM sparse WHERE rank <= 30) GROUP BY ALL),
-o AS (SELECT query_id, id, raw, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, id)::INTEGER AS rank FROM fused)
-SELECT query_id, rank, id, round(raw, 6) AS score FROM o WHERE rank <= 10"""
-)
+top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM fused)"""
+
+
+@query("WITH" + LISTS + " SELECT query_id, rank, id, score FROM top WHERE rank <= 10")
 def hybrid_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense (stand-in vectors) and sparse lists of three times k for each passage, fused by rank."""
     return hybrid_hits(spark, sf_dir, passages(spark, sf_dir), 10)
@@ -89,12 +87,12 @@ def web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WEB = f"""
 WITH {_WORDS},
-q AS (SELECT id AS query_id, id % 100 = 0 AS conj, t[2] AS no, t[3] AS a, t[4] AS b, t[5] AS c FROM d WHERE id % 50 = 0 AND len(t) >= 5),
+q AS (SELECT id AS query_id, id % 100 = 0 AS conj, t[2] AS no, t[3] AS a, t[4] AS b, t[5] AS c FROM td WHERE id % 50 = 0 AND len(t) >= 5),
 o AS (
     SELECT query_id, conj, unnest([a, b, c]) AS term, unnest([0, 1, 2]) AS i FROM q),
-h AS (SELECT query_id, o.conj, o.i, o.term, w.id, list(place ORDER BY place) AS places FROM o JOIN w USING (term) GROUP BY ALL),
+h AS (SELECT query_id, o.conj, o.i, o.term, tw.id, list(place ORDER BY place) AS places FROM o JOIN tw USING (term) GROUP BY ALL),
 g AS (SELECT query_id, conj, id, any_value(places) FILTER (i = 0) AS a, any_value(places) FILTER (i = 1) AS b, any_value(places) FILTER (i = 2) AS c FROM h GROUP BY ALL),
-no AS (SELECT query_id, w.id FROM q JOIN w ON w.term = q.no || 'x' GROUP BY ALL),
+no AS (SELECT query_id, tw.id FROM q JOIN tw ON tw.term = q.no || 'x' GROUP BY ALL),
 m AS (
     SELECT g.* FROM g LEFT JOIN no USING (query_id, id)
     WHERE CASE WHEN conj THEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND len(list_intersect([x + 1 FOR x IN a], b)) > 0 AND no.id IS NULL
