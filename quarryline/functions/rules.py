@@ -97,10 +97,11 @@ def final_answer(text: Column) -> Column:
 
 
 def subtasks(text: Column, most: int = 5) -> Column:
-    """Strings of the first JSON list in a text, trimmed, cut to 500 characters; anything else is left out."""
-    items = F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), "array<string>")
-    trimmed = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.substring(F.btrim(x, F.lit(" \t\r\n")), 1, 500))
-    return F.slice(F.filter(trimmed, lambda x: x.isNotNull() & (x != "")), 1, most)
+    """Strings of the first JSON list in a text, trimmed, cut to 500 characters; anything else, numbers too, is left out."""
+    items = F.try_parse_json(F.regexp_extract(text, r"(?s)\[.*\]", 0)).try_cast("array<variant>")
+    strings = F.filter(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x) == "STRING")
+    trimmed = F.transform(strings, lambda x: F.substring(F.btrim(x.cast("string"), F.lit(" \t\r\n")), 1, 500))
+    return F.slice(F.filter(trimmed, lambda x: x != ""), 1, most)
 
 
 def plan(text: Column) -> Column:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 # English number words.
 UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine".split())}
 TEENS = {w: i + 10 for i, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
@@ -119,25 +122,55 @@ def rates(rows: DataFrame, by: str = "language") -> DataFrame:
     return sums.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col(by)).alias(by), "clips", *rate)
 
 
-def bootstrap(rows: DataFrame, errors_col: str, units_col: str, resamples: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(low, high) of the rate sum(errors) / sum(units) over resampled rows.
+def _share(total: np.ndarray, sizes: list[int], mine: int, seed: int) -> np.ndarray:
+    """How many of each resample's ``total`` draws fall on part ``mine``: down a tree over the parts, each node a binomial split that every task makes alike."""
+    lo, hi, left = 0, len(sizes), total
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        all_, head = sum(sizes[lo:hi]), sum(sizes[lo:mid])
+        taken = np.random.default_rng([seed, lo, hi]).binomial(left, head / all_) if all_ else np.zeros_like(left)
+        lo, hi, left = (lo, mid, taken) if mine < mid else (mid, hi, left - taken)
+    return left
 
-    Each row's number of draws in each resample is Poisson(1) by a hash of its
-    place, so rows are never collected: a task sums its rows for all resamples.
-    """
 
-    def run(batches):
-        for frame in batches:
-            n = np.zeros((resamples, 2))
-            for h, e, u in zip(frame["h"], frame["e"], frame["u"], strict=True):
-                draws = np.random.default_rng([seed, h & (1 << 63) - 1]).poisson(1.0, resamples)
-                n += draws[:, None] * np.array([e, u])
-            yield pd.DataFrame({"b": np.arange(resamples), "e": n[:, 0], "u": n[:, 1]})
+def bootstrap(rows: DataFrame, errors_col: str, units_col: str, other: tuple[str, str] | None = None, resamples: int = 2000, seed: int = 0, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(low, high) of the rate sum(errors) / sum(units) over resamples of as many rows as there are, drawn with replacement; with ``other`` (errors, units of a second system on the same rows), of the difference of the two rates.
 
-    keyed = rows.filter(F.col(errors_col).isNotNull() & F.col(units_col).isNotNull()).select(F.xxhash64(*rows.columns).alias("h"), F.col(errors_col).cast("double").alias("e"), F.col(units_col).cast("double").alias("u"))
-    drawn = keyed.mapInPandas(run, "b int, e double, u double").groupBy("b").agg(F.try_divide(F.sum("e"), F.sum("u")).alias("rate")).filter("rate IS NOT NULL")
+    Nothing is collected but sums for each resample: the draws are split over the
+    parts of the stored rows by conditional binomials, then over the batches of a
+    part, and are drawn row by row inside a batch.  Rows with a null are left out.
+    """
+    names = [errors_col, units_col, *(other or ())]
+    kept = rows.select(*(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names))).dropna()
+    path = shared_path(rows.sparkSession, "bootstrap")
+    kept.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(path)
+    schema = ", ".join(f"v{i} double" for i in range(len(names))) + ", part int"
+    held = rows.sparkSession.read.schema(schema).parquet(path)
+    found = {r[0]: r[1] for r in held.groupBy("part").count().collect()}  # one row for each part
+    numbers, sizes = sorted(found), [found[p] for p in sorted(found)]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = numbers.index(key[0])
+        left = _share(np.full(resamples, sum(sizes)), sizes, mine, seed)
+        rng, rest, sums = np.random.default_rng([seed, mine, 1 << 20]), sizes[mine], np.zeros((resamples, len(names)))
+        for frame in frames:
+            values = frame[[f"v{i}" for i in range(len(names))]].to_numpy()
+            draws = rng.binomial(left, min(1.0, len(values) / rest))
+            at = np.concatenate([[0], np.cumsum(draws)])
+            for lo in range(0, resamples, 50):  # so many resamples at a time, to bound what is held
+                hi = min(resamples, lo + 50)
+                picked = values[rng.integers(0, len(values), at[hi] - at[lo])]
+                run_of = np.repeat(np.arange(hi - lo), draws[lo:hi])
+                for i in range(len(names)):
+                    sums[lo:hi, i] += np.bincount(run_of, picked[:, i], hi - lo)
+            left, rest = left - draws, rest - len(values)
+        yield pd.DataFrame({"b": np.arange(resamples)} | {f"s{i}": sums[:, i] for i in range(len(names))})
+
+    out = "b int, " + ", ".join(f"s{i} double" for i in range(len(names)))
+    drawn = held.groupBy("part").applyInPandas(run, out).groupBy("b").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(names))))
+    rate = F.try_divide("s0", "s1") - F.try_divide("s2", "s3") if other else F.try_divide("s0", "s1")
     # One value for each resample: a list of their fixed number.
-    values = drawn.agg(F.array_sort(F.collect_list("rate")).alias("v"))
+    values = drawn.select(rate.alias("rate")).filter("rate IS NOT NULL").agg(F.array_sort(F.collect_list("rate")).alias("v"))
 
     def pick(q: float) -> Column:
         return F.try_element_at("v", (F.floor(F.size("v") * q) + 1).cast("int"))

@@ -95,12 +95,14 @@ class Store:
             raise KeyError(name)
         return rows
 
-    def commit(self, changes: dict[str, DataFrame], ids: DataFrame) -> int:
-        """Replaces, in every table of the store, the rows of the documents in ``ids`` by those in ``changes`` (none for a document that is only to go).  Returns the new version."""
+    def commit(self, changes: dict[str, DataFrame], ids: DataFrame, expect: int | None = None) -> int:
+        """Replaces, in every table of the store, the rows of the documents in ``ids`` by those in ``changes`` (none for a document that is only to go).  Returns the new version.  With ``expect``, raises Conflict unless that is the version before it."""
         ids = ids.select(self.key).distinct()
         touched = sorted(r[0] for r in ids.select(self.bucket().alias("b")).distinct().collect())
-        for _ in range(self.tries):
+        for _ in range(1 if expect is not None else self.tries):
             version = self.version()
+            if expect is not None and version != expect:
+                raise Conflict(f"version {version}, not {expect}")
             base = self.manifest(version)
             made = {"tables": {n: dict(b) for n, b in base["tables"].items()}, "schemas": dict(base["schemas"])}
             for name in sorted({*made["tables"], *changes}):
@@ -117,7 +119,7 @@ class Store:
                 made["schemas"][name] = json.loads(rows.schema.json())
             if self._publish(version + 1, made):
                 return version + 1
-        raise Conflict(f"{self.tries} tries in {self.folder}")
+        raise Conflict(f"other writers were first in {self.folder}")
 
     def expire(self, keep: int = 2) -> None:
         """Deletes older versions and the data that only they name; no writer may be at work, as what it has written is named by no version yet."""
