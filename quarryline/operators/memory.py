@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fulltext as ft
+from . import vectors as ve
 
 # Parts of a scope from wide to narrow, kinds and trust levels from low to high.
 PARTS = ("tenant", "subject", "agent", "session")
@@ -144,6 +145,23 @@ def reinforced(memories: DataFrame, changes: DataFrame) -> DataFrame:
     return memories.join(total, "content_hash", "left").withColumn("importance", moved).drop("delta")
 
 
+def semantic(memories: DataFrame, query: DataFrame, k: int = 8, tags: list[str] | None = None, scope: dict[str, str] | None = None, now=None) -> DataFrame:
+    """The k memories (content_hash, tags, vector) nearest to each query (query_id, vector) among those with any of the tags, in the scope and not expired: query_id, rank, score and the memory's columns.
+
+    What may not be seen is left out before the k best are taken, so k come back if there are k; ``content_hash`` is unique.
+    """
+    rows = memories.filter(F.col("vector").isNotNull())
+    if tags is not None:
+        rows = rows.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags)).cast("array<string>")))
+    if scope:
+        rows = rows.filter(in_scope(scope))
+    if now is not None:
+        rows = rows.filter(visible(now))
+    numbered = rows.withColumn("number", F.xxhash64("content_hash"))
+    found = ve.search(numbered, query, k, None, "number", "vector").withColumnRenamed("id", "number")
+    return found.join(numbered, "number").drop("number")
+
+
 def by_tags(memories: DataFrame, tags: list[str], k: int = 5) -> DataFrame:
     """Memories with any of the tags, the most important and then the newest first."""
     hit = F.arrays_overlap("tags", F.array(*map(F.lit, tags)))

@@ -1,6 +1,6 @@
 """Dense retrieval: exact cosine search for a batch of queries.
 
-A set of at most ``BROADCAST`` queries goes to the tasks with the function,
+A set of queries of at most ``BROADCAST_BYTES`` goes to the tasks with the function,
 which multiplies matrices per Arrow batch and keeps k rows per query and batch.
 A larger set is cut into blocks, and each block meets each packed run of vectors
 once.  The merge then sees few rows, whatever the table's size.
@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST, QUERY_BLOCK, VECTOR_BLOCK = 10_000, 4096, 16_384
+BROADCAST_BYTES = 64 << 20
+#: Values in a block of queries or vectors: a block of longer vectors holds fewer of them.
+QUERY_BLOCK, VECTOR_BLOCK = 4096 * 64, 16_384 * 64
 _FOUND = "query_id long, id long, raw double"
 
 
@@ -49,12 +51,13 @@ def _sized(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield size, ids[mine], np.nan_to_num(flat, nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, size)
 
 
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """size, ids, vectors (binaries) of runs of up to ``most`` rows (id, v)."""
+def _packed(rows: DataFrame, values: int) -> DataFrame:
+    """size, ids, vectors (binaries) of runs of rows (id, v) with up to so many values, one row at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, ids, vectors in _sized(batch):
+                most = max(1, values // size)
                 for lo in range(0, len(ids), most):
                     yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids[lo : lo + most].tobytes()], pa.binary()), pa.array([vectors[lo : lo + most].tobytes()], pa.binary())], ["size", "ids", "vectors"])
 
@@ -83,12 +86,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, min_similarity: float
     """
     asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL")
-    some = asked.limit(BROADCAST + 1).toArrow()
-    if some.num_rows > BROADCAST:
+    # The bytes are known before anything comes to the driver.
+    held = asked.agg(F.coalesce(F.sum(F.size("v").cast("long") * 8 + 8), F.lit(0)).alias("bytes")).first()["bytes"]
+    if held > BROADCAST_BYTES:
         found = _in_blocks(rows, asked, k)
     else:
         by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size, names, matrix in (x for b in some.combine_chunks().to_batches() for x in _sized(b)):
+        for size, names, matrix in (x for b in asked.toArrow().combine_chunks().to_batches() for x in _sized(b)):
             unit, fine = _unit(matrix)
             by_size[size] = (names[fine], unit[fine])
 

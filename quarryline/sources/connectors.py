@@ -104,14 +104,18 @@ def paged(name: str, schema: str, fetch: Callable[[int], list[tuple]], pages: in
     return Source
 
 
-def next_offsets(first: Callable[[str | None], tuple[list[dict], str | None]], most: int = 1000) -> Iterator[dict]:
-    """Rows of an interface that gives the next offset with each page."""
+def all_pages(fetch: Callable[[str | None], tuple[list[dict], str | None]]) -> Iterator[dict]:
+    """Rows of an interface that gives the next offset with each page, as many pages as there are; an offset that comes twice is an error, as it would never end.  For more than one reader can hold, see ``streaming.cursor``."""
     offset: str | None = None
-    for _ in range(most):
-        rows, offset = first(offset)
+    seen: set[str] = set()
+    while True:
+        rows, offset = fetch(offset)
         yield from rows
         if not offset:
             return
+        if offset in seen:
+            raise ValueError(f"offset {offset!r} came twice")
+        seen.add(offset)
 
 
 # The kinds of source, by how their rows come.

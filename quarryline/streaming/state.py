@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -50,6 +51,60 @@ def throttle(attempts: DataFrame, most: int = 5, window: float = 300.0, lockout:
     return attempts.groupBy("client").applyInPandasWithState(step, schema, "failures array<double>, until double", "append", GroupStateTimeout.NoTimeout)
 
 
+class Throttle(StatefulProcessor):
+    """The throttle of one client with keyed state: its failures inside the window, the end of its lockout, and a timer that clears both when neither can matter any more."""
+
+    def __init__(self, most: int, window: float, lockout: float):
+        self.most, self.window, self.lockout = most, window, lockout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.failures = handle.getValueState("failures", "at array<double>")
+        self.until = handle.getValueState("until", "until double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        failures = list(self.failures.get()[0]) if self.failures.exists() else []
+        until = self.until.get()[0] if self.until.exists() else 0.0
+        out = []
+        every = pd.concat(list(rows)).sort_values("at", kind="stable")
+        for at, failed in every[["at", "failed"]].itertuples(index=False):
+            blocked = until > at
+            failures, until, started = throttle_step(failures, until, at, bool(failed), self.most, self.window, self.lockout)
+            out.append((key[0], at, bool(failed), blocked, started))
+        last = float(every["at"].iloc[-1])
+        idle = max([until, *(t + self.window for t in failures[-1:])])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if idle > last:
+            self.failures.update((failures,))
+            self.until.update((until,))
+            self.handle.registerTimer(int(idle * 1000) + 1)
+        else:
+            self._clear()
+        yield pd.DataFrame(out, columns=["client", "at", "failed", "blocked", "lockout"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._clear()
+        return iter(())
+
+    def _clear(self) -> None:
+        self.failures.clear()
+        self.until.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(attempts: DataFrame, most: int = 5, window: float = 300.0, lockout: float = 900.0, late: str = "1 minute") -> DataFrame:
+    """``throttle`` for a stream of attempts (client, ts, failed) by event time: a client that is idle until its failures and its lockout are past loses its state when the watermark passes them, so the table of clients is as large as the clients that matter.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).  Attempts later than the watermark are judged without what has expired.
+    """
+    rows = attempts.withWatermark("ts", late).select("client", (F.unix_micros("ts") / 1e6).alias("at"), "failed", "ts")
+    schema = "client string, at double, failed boolean, blocked boolean, lockout double"
+    return rows.groupBy("client").transformWithStateInPandas(Throttle(most, window, lockout), schema, "append", "eventTime")
+
+
 def usage_windows(events: DataFrame, length: str = "1 day", late: str = "1 hour", by: str = "event_type") -> DataFrame:
     """start, key, n, total by calendar window (UTC) of a stream or a table of events (ts, value); a stream closes a window ``late`` after its end."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

@@ -95,7 +95,7 @@ def test_vectors_in_blocks(spark, monkeypatch):
     rows = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(((F.col("id") * k) % 17 - 8).cast("float") for k in (1, 3, 7))).alias("embedding"))
     asked = rows.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     want = sorted(map(tuple, vectors.search(rows, asked, 5).collect()))
-    for name, value in (("BROADCAST", 3), ("QUERY_BLOCK", 4), ("VECTOR_BLOCK", 16)):
+    for name, value in (("BROADCAST_BYTES", 100), ("QUERY_BLOCK", 12), ("VECTOR_BLOCK", 48)):
         monkeypatch.setattr(vectors, name, value)
     assert sorted(map(tuple, vectors.search(rows, asked, 5).collect())) == want and len(want) > 100
 
