@@ -95,5 +95,7 @@ def problem(sets: Column) -> Column:
     inside = F.exists(F.zip_with(m, F.slice(m, 2, 60), lambda a, b: b - a), lambda g: g < LEAST_MINUTES)
     neighbours = F.exists(h, lambda x: F.array_contains(h, (x + 1) % 24))
     across = neighbours & (60 - F.array_max(m) + F.array_min(m) < LEAST_MINUTES)
-    never = _next_day(sets, F.lit("2000-01-01").cast("date"), FAR).isNull()
+    # Every day of the month that a month has meets every weekday in some year.
+    length = F.array(*map(F.lit, (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)))
+    never = ~F.exists(sets["month"], lambda m: F.array_min(sets["day"]) <= F.get(length, m - 1))
     return F.when(invalid, "invalid").when(never, "never runs").when(inside | across, f"runs more often than every {LEAST_MINUTES} minutes")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .fulltext import terms
 
 
 def evaluate_cases(cases: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def rerank(hits: DataFrame, score: Callable[[Column, Column], Column], k: int) -
 
 def word_overlap(query: Column, text: Column) -> Column:
     """Stand-in scorer: the share of the query's distinct words that the text has."""
-    q = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}]+"), 0))
-    t = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+    q = F.array_distinct(terms(query))
+    t = terms(text)
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
 
 

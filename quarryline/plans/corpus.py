@@ -199,9 +199,6 @@ def metadata_containment(spark, sf_dir):
     return ck.containing(d.select("doc_id", meta.alias("metadata")), {"lang": "de", "of": {"odd": True}}).select("doc_id")
 
 
-both("embed_once", "conversations", "SELECT conv_id, turn, sha2(text, 256) AS digest FROM {conversations}", "SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
-
-
 # Memory over conversations: tenant by conversation, subject the conversation, agent the role
 
 _ENTRIES = "WITH entries AS (SELECT conv_id || '-' || turn AS id, 't' || conv_id % 3 AS tenant, 'c' || conv_id AS subject, role AS agent, text, CASE WHEN role = 'system' THEN 'fact' ELSE 'note' END AS kind, CASE role WHEN 'user' THEN 'owner' WHEN 'assistant' THEN 'model' ELSE 'untrusted' END AS trust, TIMESTAMP '2024-01-01' + to_hours(conv_id::INTEGER) + to_minutes(turn::INTEGER) AS created_at, CASE WHEN turn % 5 = 3 THEN TIMESTAMP '2024-01-02' END AS expires_at FROM conversations), seen AS (SELECT * FROM entries WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-06-01') "
@@ -302,16 +299,6 @@ def reinforce(spark, sf_dir):
     return me.reinforced(m, down.groupBy("content_hash").agg((F.lit(-0.3) * F.count("*")).alias("delta"))).select("content_hash", "source", "importance")
 
 
-@query(_ENTRIES + "SELECT id AS content_hash FROM entries WHERE agent IN ('assistant', 'system') ORDER BY created_at DESC, id LIMIT 5")
-def tag_search(spark, sf_dir):
-    rows = _entries(spark, sf_dir).withColumnRenamed("id", "content_hash")
-    semantic = rows.filter("false")
-    return me.with_fallback(semantic, me.by_tags(rows, ["assistant", "system"]), "anything here").select("content_hash")
-
-
-both("last_reply", "conversations", "SELECT role AS channel, conv_id AS chat, max(turn) AS turn FROM {conversations} GROUP BY 1, 2")
-
-
 # Evaluation
 
 @query("SELECT avg(CASE WHEN hit THEN 1.0::DOUBLE WHEN NOT hit THEN 0.0::DOUBLE END) AS retrieval_hit_rate, avg(cov) AS keyword_coverage_rate, avg(g) AS groundedness_rate FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 = 0 END AS hit, CASE WHEN doc_id % 5 <> 0 THEN len(k) / 3.0::DOUBLE END AS cov, CASE WHEN doc_id % 5 <> 0 AND len(k) > 0 THEN len(list_filter(k, lambda x: contains(lower(substr(text, 1, 100)), x))) / len(k)::DOUBLE END AS g FROM (SELECT *, list_filter(['the', 'und', 'les'], lambda x: contains(lower(text), x)) AS k FROM documents))")
@@ -347,16 +334,6 @@ def score_scale_check(spark, sf_dir):
     return out.select(*(F.round(c, 3).alias(c) for c in out.columns))
 
 
-_WORDS = r"list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+'))"
-
-
-@query(f"WITH q AS (SELECT item_id AS query_id, substr(text, 1, 80) AS query FROM benchmark WHERE item_id % 50 = 0), s AS (SELECT query_id, doc_id AS id, round(coalesce(len(list_intersect({_WORDS.format(t='query')}, {_WORDS.format(t='text')}))::DOUBLE / len({_WORDS.format(t='query')}), 0.0::DOUBLE), 4) AS score FROM q, documents) SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 10")
-def rerank_topk(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
-    hits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(q))  # the query set against all rows
-    return ev.rerank(hits, ev.word_overlap, 10)
-
-
 @query("SELECT item_id, array_to_string(([q] || list_filter([' first - try', 'second', q, upper(q)], lambda x: lower(trim(x, ' -*' || chr(9))) <> lower(q)))[1:3], '|') AS variants FROM (SELECT item_id, 'q' || item_id AS q FROM benchmark)".replace("' first - try'", "'first - try'"))
 def multi_query_parse(spark, sf_dir):
     q = F.concat(F.lit("q"), "item_id")
