@@ -10,13 +10,14 @@ from ..functions import text as tx
 from ..operators import embedstore
 from ..operators import evaluation as ev
 from ..operators import memory as me
+from ..operators import retriever as rt
 from ..operators import textindex as ti
 from ..operators import triggers as tr
 from ..operators.committed import Store
 from ..session import shared_path, table
 from .corpus import _ENTRIES, _NOW, _entries
 from .registry import query
-from .search import SPARSE, document_index, passages
+from .search import LISTS, SPARSE, document_index, passages
 
 #: A schedule of one minute, one hour and three weekdays for each customer, and a time to look from.
 _CRON = "{k} % 60 || ' ' || {k} % 24 || ' * * ' || {k} % 5 || '-' || ({k} % 5 + 2)"
@@ -118,3 +119,37 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("channel"), F.col("conv_id").alias("chat"), F.col("turn").alias("id"), F.col("turn").alias("at"), "text")
     return me.last_reply(rows).select("channel", "chat", "id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _asking(spark: SparkSession, sf_dir: str):
+    """A retriever over the documents, each one chunk."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _backends:
+        rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "doc_id", F.col("source").alias("name"), F.lit(0).alias("chunk_index"), "text", F.create_map(F.lit("lang"), "lang").alias("metadata"), tx.hash_vector(F.col("text")).alias("vector"))
+        backend = rt.StoreBackend(Store(spark, shared_path(spark, "chunks")))
+        backend.insert(rows)
+        _backends[key] = backend
+    return rt.Retriever(_backends[key], rerank=ev.word_overlap)
+
+
+_backends: dict[tuple, rt.Backend] = {}
+
+
+@query(
+    "WITH"
+    + LISTS.replace("rank <= 30", "rank <= 60")
+    + f""",
+scored AS (
+    SELECT query_id, id, round(coalesce(len(list_intersect({_WORDS.format(t="b.text")}, {_WORDS.format(t="d.text")}))::DOUBLE / len({_WORDS.format(t="b.text")}), 0.0::DOUBLE), 4) AS score
+    FROM top JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = id WHERE rank <= 20),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 5),
+used AS (SELECT query_id, id, r, source, text, sum(length(text)) OVER (PARTITION BY query_id ORDER BY r) AS chars FROM best JOIN documents ON doc_id = id)
+SELECT query_id, count(*)::INTEGER AS chunks_sent, md5(string_agg('[Source ' || r || ': ' || coalesce(source, 'unknown document') || ', chunk 0]' || chr(10) || text, chr(10) || chr(10) ORDER BY r)) AS context_md5,
+    string_agg(r || '=' || id || ':' || CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END, '|' ORDER BY r) AS cited
+FROM used WHERE chars <= 12000 OR r = 1 GROUP BY query_id"""
+)
+def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as questions: hybrid retrieval, a pool reranked, a packed context and its citations."""
+    rows = _asking(spark, sf_dir).prompts(passages(spark, sf_dir))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(c["source_number"], F.lit("="), c["chunk_id"], F.lit(":"), c["preview"])), "|")
+    return rows.select("query_id", "chunks_sent", F.md5(F.col("context").cast("binary")).alias("context_md5"), cited.alias("cited"))
