@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,11 +167,26 @@ def weekday_names(field: Column) -> Column:
     return F.when((field == "*") | field.rlike("[A-Za-z]"), field).when(fine, F.array_join(names, ","))
 
 
+def _address(text: Column) -> Column:
+    """An IPv4 address as a number, null for anything else."""
+    parts = F.transform(F.split(text, r"\."), lambda p: p.try_cast("long"))
+    fine = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda p: p <= 255)
+    return F.when(fine, F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p))
+
+
+def in_networks(address: Column, networks: tuple[str, ...]) -> Column:
+    """Whether an address is one of the given ones or lies in one of the IPv4 networks (``10.0.0.0/8``); false for what is no address."""
+    out = address.isin(*networks)
+    for network in ipaddress.collapse_addresses(ipaddress.IPv4Network(n, strict=False) for n in networks if ":" not in n):
+        out = out | _address(address).between(int(network.network_address), int(network.broadcast_address))
+    return F.coalesce(out, F.lit(False))
+
+
 def client_of(peer: Column, forwarded: Column, trusted: tuple[str, ...]) -> Column:
-    """The last hop that is no trusted proxy, for a peer that is one; the peer itself otherwise, or where all hops are trusted or that hop is no address."""
+    """The last hop that is no trusted proxy (addresses or networks), for a peer that is one; the peer itself otherwise, or where all hops are trusted or that hop is no address."""
     peer = F.coalesce(F.nullif(F.trim(peer), F.lit("")), F.lit("unknown"))
     hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda h: F.trim(h)), lambda h: h != "")
-    outer = F.filter(F.slice(F.reverse(hops), 1, 20), lambda h: ~h.isin(*trusted))
+    outer = F.filter(F.slice(F.reverse(hops), 1, 20), lambda h: ~in_networks(h, trusted))
     first = F.try_element_at(outer, F.lit(1))
     fine = first.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9a-fA-F:]*:[0-9a-fA-F:.]*)$")
-    return F.substring(F.when(peer.isin(*trusted) & fine, first).otherwise(peer), 1, 64)
+    return F.substring(F.when(in_networks(peer, trusted) & fine, first).otherwise(peer), 1, 64)

@@ -72,3 +72,9 @@ def subtitle_text(text: Column) -> Column:
 def keyword_hits(text: Column, keywords: Column) -> Column:
     """Keywords that the text contains, without case, in their order."""
     return F.filter(keywords, lambda k: F.contains(F.lower(text), F.lower(k)))
+
+
+def title(text: Column) -> Column:
+    """The first letter of each run of letters in capitals, the others small: runs end at any other sign, apostrophes too."""
+    apart = F.regexp_replace(F.lower(text), r"([^\p{L}])", "$1\u0001 ")
+    return F.replace(F.initcap(apart), F.lit("\u0001 "), F.lit(""))

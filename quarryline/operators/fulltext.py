@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 BETWEEN = r"[^\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
-#: Latin letters with diacritics, and the letters they stand on.
-_MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+#: Latin and Greek letters with diacritics, and the letters they stand on.
+_MARKED = [c for r in (range(0xC0, 0x250), range(0x370, 0x400), range(0x1E00, 0x2000)) for c in map(chr, r) if c.isalpha() and len(unicodedata.normalize("NFD", c)) > 1]
 _BARE = [unicodedata.normalize("NFD", c)[0] for c in _MARKED]
 
 

@@ -46,6 +46,29 @@ def parse_scope(key: Column) -> Column:
     return F.str_to_map(key, F.lit("/"), F.lit("="))
 
 
+def covers(wide: Column, narrow: Column) -> Column:
+    """Whether the scope of one key covers that of another: each part that is set in the first is equal in the second.  False for keys that are no scopes."""
+    parts = parse_scope(wide)
+    equal = F.forall(F.map_entries(parts), lambda e: parse_scope(narrow)[e["key"]].eqNullSafe(e["value"]))
+    return F.coalesce(is_scope(wide) & is_scope(narrow) & equal, F.lit(False))
+
+
+def is_scope(key: Column) -> Column:
+    """Keys of a tenant and any further parts, in order and without empty ones."""
+    rest = "".join(f"(/{p}=[^/=]+)?" for p in PARTS[1:])
+    return F.coalesce(key.rlike(f"^{PARTS[0]}=[^/=]+{rest}$"), F.lit(False))
+
+
+def narrowed(key: Column, part: str, value: Column) -> Column:
+    """The key with one more part; null where the part is set to another value already, or the key is no scope."""
+    if part not in PARTS[1:]:
+        raise ValueError(f"only {PARTS[1:]} can be narrowed")
+    held = parse_scope(key)
+    parts = [F.coalesce(held[p], value) if p == part else held[p] for p in PARTS]
+    made = F.concat_ws("/", *(F.when(v.isNotNull(), F.concat(F.lit(f"{p}="), v)) for p, v in zip(PARTS, parts, strict=True)))
+    return F.when(is_scope(key) & (held[part].isNull() | (held[part] == value)), made)
+
+
 def exact(scope: dict[str, str]) -> Column:
     """Rows of just this scope."""
     ok = F.lit(True)
@@ -138,6 +161,38 @@ def learned(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return first if stored is None else stored.unionByName(first.join(stored, ["content_hash", "source"], "left_anti"))
 
 
+def lessons(events: DataFrame) -> DataFrame:
+    """Rows for ``learned`` (seq, text, tags, importance, source, permanent) from events (seq, kind, name, said, done, resolved, score).
+
+    Kinds: ``instruction`` of the owner (said, 10 characters or more), ``conversation``
+    on a channel (name; customer's and reply's words; unresolved ones and scores under
+    0.5 teach nothing), ``approval`` and ``rejection`` of an action (name, detail,
+    outcome) and ``integration`` (name, action, result).  Other kinds teach nothing.
+    """
+    kind, name, score = F.col("kind"), F.coalesce("name", F.lit("")), F.col("score")
+    said, done = F.coalesce("said", F.lit("")), F.coalesce("done", F.lit(""))
+
+    def first(text: Column, n: int) -> Column:
+        return F.substring(text, 1, n)
+
+    talk = F.concat(F.lit("["), F.upper(name), F.lit(" INTERACTION \u2014 score "), F.format_string("%.1f", score), F.lit("]\nCustomer said: "), first(said, 300), F.lit("\nAI replied: "), first(done, 300))
+    yes = F.concat(F.lit("OWNER APPROVED ACTION ["), name, F.lit("]: "), first(said, 300), F.lit("\nOutcome: "), first(done, 200))
+    no = F.concat(F.lit("OWNER REJECTED ACTION ["), name, F.lit("]: "), first(said, 300), F.lit("\nReason/outcome: "), first(done, 200))
+    act = F.concat(F.lit("INTEGRATION ACTION: "), name, F.lit(" \u2014 "), first(said, 150), F.lit("\nResult: "), first(done, 200))
+
+    def row(text: Column, tags: list, importance: Column, source: str, permanent: bool) -> Column:
+        return F.struct(text.alias("text"), F.array(*(t if isinstance(t, Column) else F.lit(t) for t in tags)).alias("tags"), importance.cast("double").alias("importance"), F.lit(source).alias("source"), F.lit(permanent).alias("permanent"))
+
+    made = (
+        F.when((kind == "instruction") & (F.length(F.trim(said)) >= 10), row(F.concat(F.lit("OWNER INSTRUCTION (always follow this): "), F.trim(said)), ["owner_instruction", "core", "business"], F.lit(1.0), "owner", True))
+        .when((kind == "conversation") & F.col("resolved") & (score >= 0.5), row(talk, ["learned_pattern", "interaction", name, "comms"], F.least(score, F.lit(0.85)), "conversation", False))
+        .when(kind == "approval", row(yes, ["learned_pattern", "approval", "owner_approved", name], F.lit(0.95), "owner_approval", True))
+        .when(kind == "rejection", row(no, ["learned_pattern", "approval", "owner_rejected", name], F.lit(0.95), "owner_approval", True))
+        .when(kind == "integration", row(act, ["integration", "operations", "process", "capability"], F.lit(0.75), "integration", False))
+    )
+    return events.select("seq", made.alias("m")).filter("m IS NOT NULL").select("seq", "m.*")
+
+
 def reinforced(memories: DataFrame, changes: DataFrame) -> DataFrame:
     """Importance moved by each change (content_hash, delta), within 0.1 and 1."""
     total = changes.groupBy("content_hash").agg(F.sum("delta").alias("delta"))

@@ -317,7 +317,7 @@ def forbidden_phrase(spark, sf_dir):
 _EXACT = "WITH r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, (1 + list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2 AS raw FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0) "
 
 
-@query(_EXACT + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM r) SELECT 0.0::DOUBLE AS mean_deviation, 0.0::DOUBLE AS max_deviation, 1.0::DOUBLE AS top1_agreement")
+@query(_EXACT + ", k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM r) SELECT round(avg(abs(round(raw, 4) - raw)), 6) AS mean_deviation, round(max(abs(round(raw, 4) - raw)), 6) AS max_deviation, count(DISTINCT query_id) FILTER (rank = 1) / count(DISTINCT query_id)::DOUBLE AS top1_agreement FROM k WHERE rank <= 10")
 def score_scale_check(spark, sf_dir):
     """The search's scores against dot products of the unit vectors in SQL."""
     e = table(spark, sf_dir, "embeddings")
@@ -329,9 +329,11 @@ def score_scale_check(spark, sf_dir):
     def norm(v):
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    exact = pairs.withColumn("score", (1 + dot / (norm("vector") * norm("embedding"))) / 2).select("query_id", "id", "score", "rank")
+    exact = pairs.withColumn("score", (1 + dot / (norm("vector") * norm("embedding"))) / 2)
+    # Ranked anew by the exact score.
+    exact = exact.withColumn("rank", F.row_number().over(ve.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", "score", "rank")
     out = ev.scale_check(found, exact)
-    return out.select(*(F.round(c, 3).alias(c) for c in out.columns))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
 @query("SELECT item_id, array_to_string(([q] || list_filter([' first - try', 'second', q, upper(q)], lambda x: lower(trim(x, ' -*' || chr(9))) <> lower(q)))[1:3], '|') AS variants FROM (SELECT item_id, 'q' || item_id AS q FROM benchmark)".replace("' first - try'", "'first - try'"))

@@ -153,3 +153,41 @@ def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _asking(spark, sf_dir).prompts(passages(spark, sf_dir))
     cited = F.array_join(F.transform("citations", lambda c: F.concat(c["source_number"], F.lit("="), c["chunk_id"], F.lit(":"), c["preview"])), "|")
     return rows.select("query_id", "chunks_sent", F.md5(F.col("context").cast("binary")).alias("context_md5"), cited.alias("cited"))
+
+
+@query(
+    r"""
+WITH e AS (SELECT event_id AS seq, ['instruction', 'conversation', 'approval', 'rejection', 'integration', 'gossip'][event_id % 6 + 1] AS kind, event_type AS name, props AS said, 'user ' || user_id AS done, user_id % 3 > 0 AS resolved, event_id % 11 / 10.0::DOUBLE AS score FROM events),
+m AS (
+    SELECT seq, 'OWNER INSTRUCTION (always follow this): ' || said AS text, ['owner_instruction', 'core', 'business'] AS tags, 1.0::DOUBLE AS importance, 'owner' AS source, true AS permanent FROM e WHERE kind = 'instruction' AND length(trim(said)) >= 10
+    UNION ALL SELECT seq, '[' || upper(name) || ' INTERACTION — score ' || printf('%.1f', score) || ']' || chr(10) || 'Customer said: ' || said || chr(10) || 'AI replied: ' || done, ['learned_pattern', 'interaction', name, 'comms'], least(score, 0.85), 'conversation', false FROM e WHERE kind = 'conversation' AND resolved AND score >= 0.5
+    UNION ALL SELECT seq, 'OWNER APPROVED ACTION [' || name || ']: ' || said || chr(10) || 'Outcome: ' || done, ['learned_pattern', 'approval', 'owner_approved', name], 0.95, 'owner_approval', true FROM e WHERE kind = 'approval'
+    UNION ALL SELECT seq, 'OWNER REJECTED ACTION [' || name || ']: ' || said || chr(10) || 'Reason/outcome: ' || done, ['learned_pattern', 'approval', 'owner_rejected', name], 0.95, 'owner_approval', true FROM e WHERE kind = 'rejection'
+    UNION ALL SELECT seq, 'INTEGRATION ACTION: ' || name || ' — ' || said || chr(10) || 'Result: ' || done, ['integration', 'operations', 'process', 'capability'], 0.75, 'integration', false FROM e WHERE kind = 'integration')
+SELECT seq, md5(text) AS text_md5, array_to_string(tags, ',') AS tags, importance, source, permanent FROM m"""
+)
+def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as what an owner said, conversations, approvals, rejections and actions: what is to be learned from each."""
+    kinds = F.array(*map(F.lit, ("instruction", "conversation", "approval", "rejection", "integration", "gossip")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("kind"), F.col("event_type").alias("name"), F.col("props").alias("said"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("done"), (F.col("user_id") % 3 > 0).alias("resolved"), (F.col("event_id") % 11 / 10.0).alias("score"))
+    return me.lessons(rows).select("seq", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("tags", ",").alias("tags"), "importance", "source", "permanent")
+
+
+@query(
+    """SELECT conv_id, turn, conv_id % 2 = 0 AS tenant_covers, turn % 2 = 0 AS subject_covers, 'tenant=t' || conv_id % 3 || '/subject=c' || conv_id || '/agent=' || role AS narrower, CASE WHEN turn % 2 = 0 THEN 'tenant=t' || conv_id % 3 || '/subject=c' || conv_id END AS narrow_again FROM conversations"""
+)
+def scope_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which scopes cover which, and what a scope narrowed by another part is."""
+    tenant = F.concat(F.lit("tenant=t"), F.col("conv_id") % 3)
+    wide = F.when(F.col("conv_id") % 2 == 0, tenant).otherwise("tenant=other")
+    subject = F.concat(tenant, F.lit("/subject=c"), "conv_id")
+    other = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), "conv_id")).otherwise("somebody")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", me.covers(wide, subject).alias("tenant_covers"), me.covers(F.concat(tenant, F.lit("/subject="), other), subject).alias("subject_covers"),
+        me.narrowed(subject, "agent", F.col("role")).alias("narrower"), me.narrowed(subject, "subject", other).alias("narrow_again"),
+    )
+
+
+@query("SELECT p_partkey, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN regexp_extract_all(p_name || '''s ' || p_brand, '[A-Za-z]+|[^A-Za-z]+')], '') AS title FROM part")
+def title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", tx.title(F.concat("p_name", F.lit("'s "), "p_brand")).alias("title"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import quarryline.plans  # noqa: F401  fills the register
 from quarryline.functions import calculator, rules, speech, tools
 from quarryline.functions import text as tx
-from quarryline.operators import chunks, fulltext, graph, ingest, language, ledger, vectors
+from quarryline.operators import chunks, fulltext, graph, ingest, language, ledger, memory, vectors
 from quarryline.plans import registry
 from quarryline.sources import connectors, files, markup
 from quarryline.streaming import folder, state
@@ -360,3 +360,22 @@ def test_languages(spark):
     assert got[1][0] == "en" and got[2][0] == "de" and got[3] == ("ko", 0.9) and got[4] == got[5] == ("en", 0.0) and got[6][0] == "ja" and got[7] == ("en", 0.0)
     said = spark.createDataFrame([(1, "what is x", "de", 0.5), (2, "was ist x", "de", 0.5), (3, "what is x", "de", 0.9)], "doc_id long, text string, lang string, confidence double")
     assert {r.doc_id: r.lang for r in language.query_language(said.drop("text"), said).collect()} == {1: "en", 2: "de", 3: "de"}
+
+
+def test_networks(spark):
+    trusted = ("10.0.0.0/8", "192.168.1.7", "::1")
+    cases = {("10.9.8.7", "1.2.3.4, 10.1.1.1"): "1.2.3.4", ("192.168.1.7", "5.6.7.8"): "5.6.7.8", ("192.168.1.8", "5.6.7.8"): "192.168.1.8", ("::1", "10.0.0.1, 10.255.255.255"): "::1", ("10.1.1.1", "9.9.9.9, junk"): "10.1.1.1", ("", None): "unknown", ("10.0.0.1", "999.1.1.1"): "999.1.1.1"}
+    df = spark.createDataFrame([(p, f, w) for (p, f), w in cases.items()], "peer string, forwarded string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", rules.client_of(F.col("peer"), F.col("forwarded"), trusted)).collect())
+
+
+def test_scopes(spark):
+    a, b = F.lit("tenant=t/agent=a"), F.lit("tenant=t/subject=s/agent=a")
+    got = one(spark, memory.covers(a, b).alias("x"), memory.covers(b, a).alias("y"), memory.covers(F.lit("agent=a"), b).alias("z"), memory.narrowed(a, "session", F.lit("q")).alias("n"), memory.narrowed(a, "agent", F.lit("other")).alias("m"), memory.is_scope(F.lit("tenant=t/agent=a/subject=s")).alias("i"))
+    assert tuple(got) == (True, False, False, "tenant=t/agent=a/session=q", None, False)
+    with pytest.raises(ValueError):
+        memory.narrowed(a, "tenant", F.lit("x"))
+
+
+def test_titles(spark):
+    assert [one(spark, tx.title(F.lit(t)).alias("r")).r for t in ("they're BILL's", "élan vital-X1y", "")] == ["They'Re Bill'S", "Élan Vital-X1Y", ""]
