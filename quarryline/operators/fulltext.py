@@ -1,19 +1,16 @@
-"""Full-text retrieval: web-style queries, postings and BM25 with statistics over all rows.
+"""Full-text retrieval by a direct scan: web-style queries and BM25 with statistics over all rows.
 
 Terms are runs of letters and digits in lower case, with their diacritics or
-(``fold``) without.  There is no stemming and there are no stop words; the rank
-is BM25, so scores are this library's own while matching follows the query.
+(``fold``) without.  The scan has no stemming and no stop words; ``textindex`` has
+both, a postings table, and many queries in one plan.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,47 +38,6 @@ def query_words(text: str, fold: bool = True) -> list[str]:
     return list(dict.fromkeys(_WORD.findall(low)))
 
 
-def postings(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, doc_len: counted inside each row, so that nothing is shuffled to make them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tf = Counter(_WORD.findall(text))
-                n = len(tf)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int64()), pa.array([tf.total()] * n, pa.int64())], ["id", "term", "tf", "doc_len"])
-
-    return rows.select(F.col(id_col).cast("long").alias("id"), lowered(F.col(text_col)).alias("t")).mapInArrow(run, "id long, term string, tf long, doc_len long")
-
-
-def vocabulary(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 200_000) -> DataFrame:
-    """term, df, cf over all rows: a task sums its rows, up to ``most`` terms at a time, before anything is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        cf: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array([cf[t] for t in df], pa.int64())], ["term", "df", "cf"])
-            df.clear()
-            cf.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = _WORD.findall(text)
-                cf.update(words)
-                df.update(set(words))
-                if len(df) > most:
-                    yield flush()
-        if df:
-            yield flush()
-
-    part = rows.select(lowered(F.col(text_col)).alias("t")).mapInArrow(run, "term string, df long, cf long")
-    return part.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
-
-
 @dataclass
 class Group:
     """Phrases (of one term or more) that must occur, and that must not."""

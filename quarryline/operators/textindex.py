@@ -93,6 +93,21 @@ def postings(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", an
     return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, _POSTING)
 
 
+def vocabulary(rows: DataFrame, text_col: str = "text", analyser: str = "simple") -> DataFrame:
+    """term, df, cf over all rows: a batch of texts sums its words before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                text, term, _, names, _ = _terms_of(whole.column(0).slice(lo, 2000), analyser)
+                cf = np.bincount(term, minlength=len(names))
+                df = np.bincount(np.unique(text.astype(np.int64) * max(len(names), 1) + term) % max(len(names), 1), minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(df), pa.array(cf)], ["term", "df", "cf"])
+
+    part = rows.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "term string, df long, cf long")
+    return part.filter("cf > 0").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 @dataclass(frozen=True)
 class Index:
     """A written index: its folder and how its words were made."""

@@ -9,6 +9,7 @@ from ..functions import rules as ru
 from ..functions import text as tx
 from ..operators import chunks as ck
 from ..operators import fulltext as ft
+from ..operators import textindex as ti
 from ..operators import fusion as fu
 from ..operators import vectors as ve
 from ..session import table
@@ -156,12 +157,12 @@ _TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY term")
 def postings(spark, sf_dir):
-    return ft.vocabulary(table(spark, sf_dir, "documents"))
+    return ti.vocabulary(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT id, count(*) AS terms, sum(tf)::BIGINT AS doc_len FROM (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL) GROUP BY id")
 def posting_lists(spark, sf_dir):
-    return ft.postings(table(spark, sf_dir, "documents")).groupBy("id").agg(F.count("*").alias("terms"), F.max("doc_len").alias("doc_len"))
+    return ti.postings(table(spark, sf_dir, "documents")).groupBy("id").agg(F.count("*").alias("terms"), F.max("doc_len").alias("doc_len"))
 
 
 _T = f"WITH t AS (SELECT doc_id, {_TERMS} AS t, ' ' || array_to_string({_TERMS}, ' ') || ' ' AS l FROM documents) SELECT doc_id FROM t WHERE "
