@@ -302,7 +302,11 @@ def symbol(role: Column, fault: Column, grammar: Grammar) -> Column:
 
 
 def repaired(df: DataFrame, grammar: Grammar = TURNS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Repair:
-    rows = ordered(df, conv_col, turn_col, role_col, text_col)
+    with common.table_after_table(df.sparkSession):  # the shuffle files of a step go when its table is written
+        return _repaired(ordered(df, conv_col, turn_col, role_col, text_col), grammar)
+
+
+def _repaired(rows: DataFrame, grammar: Grammar) -> Repair:
     kind = rows.schema["conv_id"].dataType.simpleString()
     marked = common.stored(faults(rows))
     # Positions count up from a multiple of SEGMENT in each partition, so no segment reaches across two.
