@@ -8,7 +8,10 @@ unwrapping of answers, and which tables and columns may be shown.
 from __future__ import annotations
 
 import json
+from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +61,36 @@ def document_query(template: str, user: str) -> dict:
     return out
 
 
+#: Comparisons of a document filter.
+COMPARISONS = {
+    "$eq": lambda c, v: c.eqNullSafe(F.lit(v)), "$ne": lambda c, v: ~c.eqNullSafe(F.lit(v)),
+    "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
+    "$in": lambda c, v: c.isin(v), "$nin": lambda c, v: ~c.isin(v) | c.isNull(), "$exists": lambda c, v: c.isNotNull() if v else c.isNull(),
+}
+
+
+def document_filter(given: dict) -> Column:
+    """A document filter as a condition: equalities and ``COMPARISONS`` of fields (``a.b`` is a nested one), all of which must hold, and ``$and`` / ``$or`` / ``$nor`` of lists of filters.  Null never compares."""
+    out = F.lit(True)
+    for name, wanted in given.items():
+        if name in ("$and", "$or", "$nor"):
+            parts = [document_filter(x) for x in wanted]
+            any_of = reduce(lambda x, y: x | y, parts, F.lit(False))
+            out = out & (reduce(lambda x, y: x & y, parts, F.lit(True)) if name == "$and" else any_of if name == "$or" else ~any_of)
+            continue
+        if name.startswith("$"):
+            raise ValueError(f"unknown operator {name}")
+        tests = wanted if isinstance(wanted, dict) and any(k.startswith("$") for k in wanted) else {"$eq": wanted}
+        for operator, value in tests.items():
+            if operator not in COMPARISONS:
+                raise ValueError(f"unknown operator {operator}")
+            out = out & F.coalesce(COMPARISONS[operator](F.col(name), value), F.lit(False))
+    return out
+
+
 def document_rows(collection: DataFrame, query: dict) -> DataFrame:
-    """A collection with a query's filter (equalities) and projection."""
-    for name, value in (query.get("filter") or {}).items():
-        collection = collection.filter(F.col(name).eqNullSafe(F.lit(value)))
+    """A collection with a query's filter and projection."""
+    collection = collection.filter(document_filter(query.get("filter") or {}))
     kept = [k for k, v in (query.get("projection") or {}).items() if v and k in collection.columns]
     return collection.select(*kept) if kept else collection
 
@@ -125,14 +154,98 @@ KINDS = {
     "salesforce": "pages", "hubspot": "pages", "shopify": "pages", "google_sheets": "pages", "stripe": "pages", "slack": "pages",
     "notion": "pages", "airtable": "pages", "razorpay": "pages", "woocommerce": "pages", "gmail": "pages",
 }
-READERS = {"sql": sql_rows, "documents": document_rows, "csv": csv_rows, "answer": unwrapped, "pages": paged}
+
+@dataclass
+class Source:
+    """What a connector is given.  ``tables`` are tables or collections by name, ``fetch`` gives the answer of an interface (a JSON text), or of a page by its cursor (rows, next cursor)."""
+
+    kind: str
+    template: str = ""
+    url: str = ""
+    path: str = ""
+    identifier: str = "user_id"
+    mapping: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    schema: str = ""
+    fetch: Callable | None = None
+
+
+class Connector(ABC):
+    """Rows of an outside system by the same calls, whatever its kind."""
+
+    def __init__(self, spark: SparkSession, source: Source):
+        self.spark, self.source = spark, source
+
+    @abstractmethod
+    def fetched(self, user: str | None) -> DataFrame:
+        """The rows, for a user where the kind asks for one."""
+
+    def rows(self, user: str | None = None) -> DataFrame:
+        """The rows with mapped columns first under their new names."""
+        found = self.fetched(user)
+        first = [F.col(f"`{old}`").alias(new) for old, new in self.source.mapping.items() if old in found.columns]
+        return found.select(*first, *(F.col(f"`{c}`") for c in found.columns if c not in self.source.mapping))
+
+    def tested(self, user: str | None = None) -> tuple[bool, str]:
+        """Whether rows can be had, and the error if not."""
+        try:
+            self.rows(user).limit(1).collect()
+        except Exception as e:  # noqa: BLE001  what fails is what is asked
+            return False, f"{type(e).__name__}: {e}"
+        return True, ""
+
+    def shown(self) -> DataFrame:
+        """Tables and columns that may be shown."""
+        return described(self.spark, self.source.tables)
+
+
+class SqlConnector(Connector):
+    def fetched(self, user: str | None) -> DataFrame:
+        s = self.source
+        return jdbc_rows(self.spark, s.url, s.template, user or "") if s.url else sql_rows(self.spark, s.template, user or "", s.tables)
+
+
+class DocumentConnector(Connector):
+    def fetched(self, user: str | None) -> DataFrame:
+        query = document_query(self.source.template, user or "")
+        return document_rows(self.source.tables[query["collection"]], query)
+
+
+class CsvConnector(Connector):
+    def fetched(self, user: str | None) -> DataFrame:
+        return csv_rows(self.spark, self.source.path, self.source.identifier, user)
+
+
+class _Listed(Connector):
+    """Kinds whose rows come through ``fetch`` as JSON; with a user, those of the user."""
+
+    def _of(self, rows: DataFrame, user: str | None) -> DataFrame:
+        parsed = rows.select(F.from_json("row", self.source.schema).alias("r")).select("r.*")
+        return parsed if user is None else parsed.filter(F.col(f"`{self.source.identifier}`").cast("string") == user)
+
+
+class AnswerConnector(_Listed):
+    def fetched(self, user: str | None) -> DataFrame:
+        body = self.spark.createDataFrame([(self.source.fetch(),)], "body string")
+        return self._of(body.select(F.explode(unwrapped(F.col("body"))).alias("row")), user)
+
+
+class PagesConnector(_Listed):
+    """Pages are followed by one reader, as their cursors ask; ``streaming.cursor`` reads them with a task for each."""
+
+    def fetched(self, user: str | None) -> DataFrame:
+        rows = [(json.dumps(r),) for r in all_pages(self.source.fetch)]
+        return self._of(self.spark.createDataFrame(rows, "row string"), user)
+
+
+CONNECTORS: dict[str, type[Connector]] = {"sql": SqlConnector, "documents": DocumentConnector, "csv": CsvConnector, "answer": AnswerConnector, "pages": PagesConnector}
 
 
-def connector(kind: str) -> Callable:
-    """What reads a kind of source; ValueError for kinds that are not known."""
-    if kind not in KINDS:
-        raise ValueError(f"unknown kind of source: {kind}; known are {sorted(KINDS)}")
-    return READERS[KINDS[kind]]
+def connector(spark: SparkSession, source: Source) -> Connector:
+    """The connector of a source's kind; ValueError for kinds that are not known."""
+    if source.kind not in KINDS:
+        raise ValueError(f"unknown kind of source: {source.kind}; known are {sorted(KINDS)}")
+    return CONNECTORS[KINDS[source.kind]](spark, source)
 
 
 def described(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

@@ -199,14 +199,42 @@ def test_connectors(spark, tmp_path):
     assert connectors.bound("SELECT 1 WHERE u = '{{user_id}}'", "x'; --") == ("SELECT 1 WHERE u = :user", {"user": "x'; --"})
     assert connectors.document_query('{"collection": "c", "filter": {"u": "{{user_id}}"}}', 'a"b')["filter"] == {"u": 'a"b'}
     with pytest.raises(ValueError):
-        connectors.connector("fax")
-    assert connectors.connector("mysql") is connectors.sql_rows and len(connectors.KINDS) == 18
+        connectors.connector(spark, connectors.Source("fax"))
+    assert len(connectors.KINDS) == 18
     (tmp_path / "u.csv").write_text('id,name\n 7 ,"a, b"\n8,c\n')
     assert [r.name for r in connectors.csv_rows(spark, f"file://{tmp_path}/u.csv", "id", "7").collect()] == ["a, b"]
     spark.dataSource.register(connectors.paged("two_pages", "page int, n int", lambda i: [(i, n) for n in range(3)], 2))
     assert sorted(map(tuple, spark.read.format("two_pages").load().collect())) == [(i, n) for i in range(2) for n in range(3)]
 
 
+def test_connectors_by_kind(spark, tmp_path):
+    """Every kind by the same calls."""
+    people = [(7, "a", {"city": "x"}), (8, "b", {"city": "y"}), (7, "c", {"city": "y"})]
+    df = spark.createDataFrame([(u, n, (a["city"],)) for u, n, a in people], "user_id long, name string, at struct<city: string>")
+    (tmp_path / "p.csv").write_text("user_id,name\n" + "".join(f"{u},{n}\n" for u, n, _ in people))
+    body = json.dumps({"results": [{"user_id": u, "name": n} for u, n, _ in people]})
+    pages = {None: ([{"user_id": 7, "name": "a"}, {"user_id": 8, "name": "b"}], "2"), "2": ([{"user_id": 7, "name": "c"}], None)}
+    given = {"name": "called"}
+    sources = [
+        connectors.Source("postgresql", template="SELECT user_id, name FROM {people} WHERE user_id = '{{user_id}}'", tables={"people": df}, mapping=given),
+        connectors.Source("mongodb", template='{"collection": "people", "filter": {"user_id": {{user_id}}}, "projection": {"user_id": 1, "name": 1}}', tables={"people": df}, mapping=given),
+        connectors.Source("csv", path=f"file://{tmp_path}/p.csv", mapping=given),
+        connectors.Source("rest_api", fetch=lambda: body, schema="user_id long, name string", mapping=given),
+        connectors.Source("stripe", fetch=pages.get, schema="user_id long, name string", mapping=given),
+    ]
+    for s in sources:
+        c = connectors.connector(spark, s)
+        got = c.rows("7")
+        assert got.columns == ["called", "user_id"] and sorted(r.called for r in got.collect()) == ["a", "c"], s.kind
+        assert c.tested("7") == (True, "")
+    assert not connectors.connector(spark, connectors.Source("csv", path="file:///nowhere/x.csv")).tested()[0]
+    rows = spark.createDataFrame([(i, None if i == 4 else "ab"[i % 2], (i * 10,)) for i in range(6)], "n long, s string, d struct<v: long>")
+    for f, want in {'{"n": {"$gte": 2, "$lt": 5}}': [2, 3, 4], '{"d.v": 30}': [3], '{"s": null}': [4], '{"s": {"$ne": "a"}}': [1, 3, 4, 5], '{"$or": [{"n": 0}, {"s": {"$in": ["b"]}, "d.v": {"$gt": 20}}]}': [0, 3, 5], '{"$nor": [{"n": {"$lte": 3}}]}': [4, 5], '{"s": {"$exists": false}}': [4], '{"s": {"$nin": ["a"]}}': [1, 3, 4, 5], "{}": [0, 1, 2, 3, 4, 5]}.items():
+        assert sorted(r.n for r in rows.filter(connectors.document_filter(json.loads(f))).collect()) == want, f
+    with pytest.raises(ValueError):
+        connectors.document_filter({"n": {"$where": "1"}})
+
+
 def test_ingest(spark):
     docs = spark.createDataFrame([(1, "a", "fine text"), (2, "b", ""), (3, "c", None), (4, "d", "bad \x00thing"), (5, "e", "x" * 50_001)], "doc_id long, filename string, text string")
 
