@@ -84,7 +84,8 @@ def bm25(rows: DataFrame, query_terms: list[str], id_col: str = "doc_id", text_c
     One pass gives the statistics (a row), one the scores, and nothing else is shuffled.
     """
     wanted = sorted(set(query_terms))
-    words = rows.select(F.col(id_col).alias("id"), terms(F.col(text_col), fold).alias("words"))
+    # Through an explode of one list, below which no filter is pushed: else each text would be cut once for each use.
+    words = rows.select(F.col(id_col).alias("id"), F.explode(F.array(terms(F.col(text_col), fold))).alias("words"))
     tfs = [(F.size("words") - F.size(F.array_remove("words", t))).cast("long").alias(f"tf{i}") for i, t in enumerate(wanted)]
     per = words.select("id", F.size("words").cast("long").alias("n"), *tfs)
     stats = per.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
