@@ -1,8 +1,11 @@
-"""Language detection: profiles of character trigrams, naive Bayes, and the script where it tells more.
-
-Profiles are learned from rows with a known language and are bounded: the
-``PROFILE`` commonest trigrams of each language.  Trigrams are counted inside
-each row, so no trigram is shuffled but for the partial counts of learning.
+"""Language detection: profiles of character n-grams, naive Bayes, the script where it tells more, and arbitration with an outside result.
+
+A profile is whole: every n-gram of two to five characters that a language's
+rows hold, with its count.  A text's n-grams are counted inside its row.  Of the
+profiles the commonest n-grams (``IN_ROW`` rows at most, which bounds what is
+sent with the function) are looked up there too; if there are more, a row's
+other n-grams are joined with the rest of the profiles, so that no n-gram is cut
+off and those that nearly every text holds are never a key of a join.
 """
 
 from __future__ import annotations
@@ -12,82 +15,224 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..session import shared_path
 
-PROFILE, ALPHA = 1000, 0.1
+# Sizes of n-grams, the pseudo-count, and from which confidence a result counts.
+SIZES, ALPHA = (2, 3, 4, 5), 0.1
+SURE, SURE_GRAMS = 0.7, 0.55
 #: A shorter text gets a language from its script alone.
 LEAST = 10
-
-
-def _grams(text: str) -> Counter:
-    return Counter(text[i : i + 3] for i in range(len(text) - 2))
+#: Most rows (n-gram, language) of the profiles that are sent with the function: some 30 MB.
+IN_ROW = 300_000
+
+
+BITS = 12
+
+
+def _grams(text: str) -> tuple[np.ndarray, np.ndarray, Counter]:
+    """The n-grams of a text with a space at either end (none of an empty text): those of characters below 2^12 as numbers, five times 12 bits, with their counts, and the others by themselves."""
+    wide: Counter = Counter()
+    if not text:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), wide
+    text = f" {text} "
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    large = np.concatenate([[0], np.cumsum(points >= 1 << BITS)])
+    parts = []
+    for n in SIZES:
+        count = len(points) - n + 1
+        if count < 1:
+            continue
+        code = np.zeros(count, np.uint64)
+        for j in range(n):
+            code = (code << np.uint64(BITS)) | points[j : j + count].astype(np.uint64)
+        if large[-1]:
+            odd = large[n:] > large[:-n]
+            wide.update(text[i : i + n] for i in np.flatnonzero(odd).tolist())
+            code = code[~odd]
+        parts.append(code)
+    codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+    return codes, counts, wide
+
+
+def _spelled(codes: np.ndarray) -> list[str]:
+    """The n-grams of numbers; no n-gram has the character 0, so a shorter one has zeros in front."""
+    most = max(SIZES)
+    points = np.stack([(codes >> np.uint64(BITS * (most - 1 - j))) & np.uint64((1 << BITS) - 1) for j in range(most)], 1).astype(np.uint32)
+    return [x.lstrip("\0") for x in np.ascontiguousarray(points).view(f"<U{most}").ravel().tolist()]
+
+
+def _coded(gram: str) -> int | None:
+    """The number of an n-gram, None where it has a character from 2^12 on."""
+    code = 0
+    for c in gram:
+        if ord(c) >= 1 << BITS:
+            return None
+        code = code << BITS | ord(c)
+    return code
 
 
 def cleaned(text):
     return F.lower(rules.cleaned_for_detection(F.coalesce(text, F.lit(""))))
 
 
-def profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 100_000) -> DataFrame:
-    """lang, gram, n: the commonest trigrams of each language, ties by gram."""
+def profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 2_000_000) -> DataFrame:
+    """lang, gram, n: all n-grams of each language.  A task holds some ``most`` counts before it passes them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        wide: dict[str, Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                sums = np.zeros(len(codes), np.int64)
+                np.add.at(sums, back, np.concatenate([n for _, n in parts]))
+                for i in range(0, len(codes), 100_000):
+                    grams = _spelled(codes[i : i + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(sums[i : i + 100_000])], ["lang", "gram", "n"])
+                rest = wide[lang]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rest), pa.string()), pa.array([*rest], pa.string()), pa.array([*rest.values()], pa.int64())], ["lang", "gram", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+            wide.clear()
 
+        count = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(_grams(text))
-                if sum(map(len, held.values())) > most:
-                    yield flush()
-        if any(held.values()):
-            yield flush()
+                codes, n, odd = _grams(text)
+                held.setdefault(lang, []).append((codes, n))
+                wide.setdefault(lang, Counter()).update(odd)
+                count += len(codes) + 4 * len(odd)
+                if count > most:
+                    yield from flush()
+                    count = 0
+        yield from flush()
 
     known = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), cleaned(F.col(text_col)).alias("t"))
-    sums = known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return sums.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROFILE).drop("r")
-
-
-def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en") -> DataFrame:
-    """doc_id, lang, confidence: the likeliest profile; the script's language for texts of less than ``LEAST`` characters, and where letters of such a script make up a fifth of the text; the fallback with confidence 0 where neither tells.  Profiles are ``PROFILE`` rows a language, sent with the function."""
-    known = profile.toArrow()
-    langs = sorted(set(known.column("lang").to_pylist()))
-    grams = sorted(set(known.column("gram").to_pylist()))
-    place = {g: i for i, g in enumerate(grams)}
-    counts = np.zeros((len(grams) + 1, len(langs)))  # the last row is for trigrams of no profile
-    at = [place[g] for g in known.column("gram").to_pylist()]
-    np.add.at(counts, (at, [langs.index(x) for x in known.column("lang").to_pylist()]), known.column("n").to_numpy())
-    logs = np.log((counts + ALPHA) / (counts.sum(0) + ALPHA * max(1, len(grams))))
+    return known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+class _Table:
+    """Gains ln(1 + n / alpha) by n-gram: what a language's count adds to the score of an n-gram that it has not."""
+
+    def __init__(self, gram: list[str], lang: np.ndarray, n: np.ndarray):
+        gain = np.log1p(n / ALPHA)
+        codes = [_coded(g) for g in gram]
+        own = np.array([i for i, c in enumerate(codes) if c is not None], np.int64)
+        key = np.array([codes[i] for i in own], np.uint64)
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        self.codes, first = np.unique(key, return_index=True)
+        self.begin = np.append(first, len(key))
+        self.lang, self.gain = lang[own], gain[own]
+        self.wide: dict[str, list[tuple[int, float]]] = {}
+        for i, c in enumerate(codes):
+            if c is None:
+                self.wide.setdefault(gram[i], []).append((int(lang[i]), float(gain[i])))
+
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of numbers in the table, and whether they are there."""
+        at = np.searchsorted(self.codes, codes)
+        return at, (self.codes[np.minimum(at, len(self.codes) - 1)] == codes) & (at < len(self.codes)) if len(self.codes) else np.zeros(len(codes), bool)
+
+    def scores(self, codes: np.ndarray, counts: np.ndarray, wide: Counter, langs: int) -> np.ndarray:
+        at, there = self.known(codes)
+        at, n = at[there], counts[there]
+        size = self.begin[at + 1] - self.begin[at]
+        stop = np.cumsum(size)
+        flat = np.repeat(self.begin[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+        out = np.bincount(self.lang[flat], self.gain[flat] * np.repeat(n, size), minlength=langs)
+        for g, times in wide.items():
+            for i, gain in self.wide.get(g, ()):
+                out[i] += times * gain
+        return out
+
+    def lacking(self, codes: np.ndarray, counts: np.ndarray, wide: Counter) -> list[dict]:
+        """The n-grams of a text that the table has not."""
+        away = ~self.known(codes)[1]
+        rest = [(g, n) for g, n in wide.items() if g not in self.wide]
+        return [{"gram": g, "n": n} for g, n in [*zip(_spelled(codes[away]), counts[away].tolist(), strict=True), *rest]]
+
+
+def _scored(texts: DataFrame, profile: DataFrame) -> DataFrame:
+    """doc_id, t, found, sure and the other columns of (doc_id, t, ...): the language of the greatest mean log probability and half its lead over the next plus a half, from 0 to 1; null and 0 for a text without n-grams or where there is no profile."""
+    spark = texts.sparkSession
+    path = shared_path(spark, "profiles")
+    profile.select("lang", "gram", F.col("n").cast("long").alias("n")).write.parquet(path)
+    kept = spark.read.parquet(path)
+    totals = {r.lang: r.n for r in kept.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row a language
+    langs = sorted(totals)
+    size = kept.agg(F.count("*").alias("rows"), F.count_distinct("gram").alias("grams")).first()
+    base = np.log(ALPHA) - np.log(np.array([totals[x] for x in langs], float) + ALPHA * max(1, size.grams))
+    head, rest = kept, None
+    if size.rows > IN_ROW:
+        common = kept.groupBy("gram").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "gram").limit(max(1, IN_ROW // len(langs))).select("gram")
+        head, rest = kept.join(common, "gram", "left_semi"), kept.join(common, "gram", "left_anti")
+    sent = head.toArrow()
+    table = _Table(sent.column("gram").to_pylist(), np.array([langs.index(x) for x in sent.column("lang").to_pylist()], np.int64), sent.column("n").to_numpy())
+    others = rest is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, sure = [], []
-            for text in batch.column(1).to_pylist():
-                found = _grams(text)
-                if not found or not langs:
-                    best.append(None)
-                    sure.append(0.0)
-                    continue
-                score = np.array(list(found.values())) @ logs[[place.get(g, len(grams)) for g in found]]
-                best.append(langs[int(score.argmax())])
-                sure.append(float(1 / np.exp(score - score.max()).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(sure), *(batch.column(i) for i in (2, 3, 4))], ["doc_id", "found", "sure", "script", "share", "size"])
-
+            found = [_grams(x) for x in batch.column("t").to_pylist()]
+            out = [pa.array([int(n.sum()) + odd.total() for _, n, odd in found], pa.int64()), pa.array([table.scores(*x, len(langs)).tolist() for x in found], pa.list_(pa.float64()))]
+            if others:
+                out.append(pa.array([table.lacking(*x) for x in found], pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "grams", "gains", "others"][: batch.num_columns + len(out)])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
+    rows = texts.mapInArrow(run, f"{schema}, grams long, gains array<double>" + (", others array<struct<gram: string, n: long>>" if others else ""))
+    if others:
+        # By document and digest: rows alike in both share their sums, each of them as often as there are such rows.
+        keyed = rows.withColumn("key", F.sha2(F.col("t"), 256))
+        lone = keyed.select("doc_id", "key", F.explode("others").alias("o")).select("doc_id", "key", "o.gram", "o.n")
+        gains = rest.select("gram", "lang", F.log1p(F.col("n") / ALPHA).alias("gain"))
+        sums = lone.join(gains, "gram").groupBy("doc_id", "key", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
+        times = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+        more = sums.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "more"))).alias("more"))  # a row a language
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "key")]
+        extra = more.alias("a").join(times.alias("b"), same).select("b.doc_id", "b.key", "more", "times")
+        rows = keyed.alias("a").join(extra.alias("b"), same, "left").select("a.*", "b.more", "b.times")
+        added = F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.col("more")[x] / F.col("times"), F.lit(0.0)))
+        rows = rows.withColumn("gains", F.zip_with("gains", added, lambda x, y: x + y))
+    if not langs:
+        return rows.select(*texts.columns, F.lit(None).cast("string").alias("found"), F.lit(0.0).alias("sure"))
+    # Of equal scores the first language in order.
+    scores = F.transform(F.array(*map(F.lit, range(len(langs)))), lambda i: F.struct((-(F.col("gains")[i] / F.col("grams")) - F.element_at(F.array(*map(F.lit, base.tolist())), i + 1)).alias("cost"), F.element_at(F.array(*map(F.lit, langs)), i + 1).alias("lang")))
+    best = rows.withColumn("best", F.when(F.col("grams") > 0, F.slice(F.array_sort(scores), 1, 2)))
+    lead = F.when(F.size("best") > 1, F.get("best", F.lit(1))["cost"] - F.col("best")[0]["cost"]).otherwise(0.0)
+    sure = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), lead / 2 + 0.5))
+    return best.select(*texts.columns, F.col("best")[0]["lang"].alias("found"), sure.alias("sure"))
+
+
+def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en", outside: str | None = None, outside_sure: str | None = None, languages: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, confidence of every row.
+
+    ``outside`` and ``outside_sure`` name columns with the result of another
+    detector: where both agree, its confidence holds; where they don't, the
+    profiles win from ``SURE_GRAMS`` on.  Null: there is no such result.  A
+    language that is not among ``languages`` (empty: any) is the fallback with
+    confidence 0.  The script's language wins over an unsure result and where a
+    fifth of the text is in that script, and alone tells for texts of less than
+    ``LEAST`` characters; the fallback with confidence 0 where nothing tells.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     share = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[぀-ヿ一-鿿가-힣]")), F.length(text)), F.lit(0.0))
-    base = rows.select(F.col(id_col).cast("long").alias("doc_id"), cleaned(text).alias("t"), rules.script_language(text).alias("script"), share.alias("share"), F.length(F.trim(text)).alias("size"))
-    out = base.mapInArrow(run, "doc_id long, found string, sure double, script string, share double, size int")
-    by_script = F.col("script").isNotNull() & ((F.col("size") < LEAST) | (F.col("share") >= 0.2) | (F.col("sure") < 0.5))
-    none = F.col("found").isNull() | (F.col("size") < LEAST)
-    lang = F.when(by_script, F.col("script")).when(none, fallback).otherwise(F.col("found"))
-    return out.select("doc_id", lang.alias("lang"), F.when(by_script, 0.95).when(none, 0.0).otherwise(F.col("sure")).alias("confidence"))
+    said = F.col(outside).cast("string") if outside else F.lit(None).cast("string")
+    said_sure = F.coalesce(F.col(outside_sure).cast("double"), F.lit(0.0)) if outside_sure else F.lit(0.0)
+    base = rows.select(F.col(id_col).cast("long").alias("doc_id"), cleaned(text).alias("t"), rules.script_language(text).alias("script"), share.alias("share"), F.length(F.trim(text)).alias("size"), said.alias("said"), said_sure.alias("said_sure"))
+    out = _scored(base, profile)
+    own = F.col("said").isNull() | (F.col("found").isNotNull() & (F.col("found") != F.col("said")) & (F.col("sure") >= SURE_GRAMS))
+    lang, sure = F.when(own, F.col("found")).otherwise(F.col("said")), F.when(own, F.col("sure")).otherwise(F.col("said_sure"))
+    out = out.withColumns({"lang": lang, "sure": sure})
+    short = F.col("size") < LEAST
+    none = F.col("lang").isNull() | (~F.col("lang").isin(*languages) if languages else F.lit(False))
+    by_script = F.col("script").isNotNull() & (short | F.col("lang").isNull() | (~none & ((F.col("share") >= 0.2) | (F.col("sure") < SURE))))
+    final = F.when(by_script, F.col("script")).when(short | none, fallback).otherwise(F.col("lang"))
+    return out.select("doc_id", final.alias("lang"), F.when(by_script, 0.95).when(short | none, 0.0).otherwise(F.col("sure")).alias("confidence"))
 
 
 # Words that mark a query as English.

@@ -432,17 +432,57 @@ def language_script(spark, sf_dir):
 _CLEANED = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)page\s*\d+', ' ', 'g'), '\b[A-Z]{2,}\d+\b', ' ', 'g'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\d+', ' ', 'g'), '_+', ' ', 'g'), '\s+', ' ', 'g')))"
 
 
-@query(f"""WITH c AS (SELECT doc_id, lang, {_CLEANED} AS t, length(trim(text)) AS size FROM documents),
-g AS (SELECT doc_id, substr(t, i, 3) AS gram, count(*) AS n FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM c) GROUP BY ALL),
-k AS (SELECT lang, gram, sum(n) AS n FROM g JOIN c USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
-p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM k) WHERE r <= {la.PROFILE}),
-t AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM p) AS v FROM p GROUP BY lang),
-s AS (SELECT g.doc_id, t.lang, sum(g.n * (CASE WHEN p.n IS NULL THEN ln(0.1 / (total + 0.1 * v)) ELSE ln((p.n + 0.1) / (total + 0.1 * v)) END)) AS score FROM g CROSS JOIN t LEFT JOIN p ON p.gram = g.gram AND p.lang = t.lang GROUP BY ALL),
-b AS (SELECT doc_id, arg_max(lang, score) AS lang FROM s GROUP BY doc_id)
-SELECT c.doc_id, CASE WHEN c.size < 10 OR b.lang IS NULL THEN 'en' ELSE b.lang END AS lang FROM c LEFT JOIN b USING (doc_id)""")
+_DETECTED = f"""
+WITH c AS (SELECT doc_id, lang, source, {_CLEANED} AS t, length(trim(text)) AS size FROM documents),
+g AS (
+  SELECT doc_id, substr(t, i, size) AS gram, count(*) AS n
+  FROM (SELECT doc_id, s.size, t, unnest(range(1, least(257, length(t) + 2 - s.size))) AS i
+        FROM (SELECT doc_id, substr(' ' || t || ' ', first_at, 260) AS t
+              FROM (SELECT doc_id, t, unnest(range(1, length(t) + 3, 256)) AS first_at FROM c WHERE t <> '')), (VALUES (2), (3), (4), (5)) s(size))
+  GROUP BY ALL),
+p AS (SELECT lang, gram, sum(n) AS n FROM g JOIN c USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
+l AS (SELECT lang, sum(n) + {la.ALPHA} * (SELECT count(DISTINCT gram) FROM p) AS total FROM p GROUP BY lang),
+d AS (SELECT doc_id, sum(n) AS grams FROM g GROUP BY doc_id),
+m AS (SELECT g.doc_id, p.lang, sum(g.n * ln(1 + p.n / {la.ALPHA}::DOUBLE)) AS gain FROM g JOIN p USING (gram) GROUP BY ALL),
+s AS (
+  SELECT d.doc_id, l.lang, coalesce(gain, 0) / grams + ln({la.ALPHA}::DOUBLE) - ln(total) AS score
+  FROM d CROSS JOIN l LEFT JOIN m USING (doc_id, lang)),
+r AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS ahead FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, lang)),
+b AS (SELECT doc_id, lang AS found, least(1.0::DOUBLE, coalesce(ahead, 0) / 2 + 0.5::DOUBLE) AS sure FROM r WHERE place = 1)"""
+
+
+@query(_DETECTED + """
+SELECT c.doc_id, CASE WHEN size < 10 OR found IS NULL THEN 'en' ELSE found END AS lang,
+  round(CASE WHEN size < 10 OR found IS NULL THEN 0 ELSE sure END, 4) AS confidence
+FROM c LEFT JOIN b USING (doc_id)""")
 def language_detect(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return la.detect(d, la.profiles(d)).select("doc_id", "lang")
+    return la.detect(d, la.profiles(d)).select("doc_id", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+@query(_DETECTED + f""",
+k AS (
+  SELECT *, sum(n) OVER (PARTITION BY source) AS total
+  FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY source, lang)),
+o AS (
+  SELECT source, lang AS said, n / total::DOUBLE AS said_sure
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS place FROM k) WHERE place = 1),
+e AS (
+  SELECT doc_id, size,
+    CASE WHEN said IS NULL OR (found <> said AND sure >= {la.SURE_GRAMS}) THEN found ELSE said END AS lang,
+    CASE WHEN said IS NULL OR (found <> said AND sure >= {la.SURE_GRAMS}) THEN sure ELSE said_sure END AS sure
+  FROM c LEFT JOIN b USING (doc_id) LEFT JOIN o USING (source))
+SELECT doc_id, CASE WHEN size < 10 OR lang IS NULL OR lang NOT IN ('de', 'en', 'fr') THEN 'en' ELSE lang END AS lang,
+  round(CASE WHEN size < 10 OR lang IS NULL OR lang NOT IN ('de', 'en', 'fr') THEN 0 ELSE sure END, 4) AS confidence
+FROM e""")
+def language_arbitrated(spark, sf_dir):
+    """The commonest language of a document's source is the outside result, its share the confidence."""
+    d = table(spark, sf_dir, "documents")
+    counts = d.filter("lang IS NOT NULL").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    told = counts.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("m"), F.sum("n").alias("total"))
+    rows = d.join(told.select("source", F.col("m.lang").alias("said"), (-F.col("m.n") / F.col("total")).alias("said_sure")), "source", "left")
+    found = la.detect(rows, la.profiles(d), outside="said", outside_sure="said_sure", languages=("de", "en", "fr"))
+    return found.select("doc_id", "lang", F.round("confidence", 4).alias("confidence"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'k is missing' WHEN event_id % 4 = 1 THEN 'not JSON' WHEN event_id % 4 = 2 THEN 'k is not integer' END AS problem FROM events")

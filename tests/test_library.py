@@ -390,6 +390,53 @@ def test_languages(spark):
     assert {r.doc_id: r.lang for r in language.query_language(said.drop("text"), said).collect()} == {1: "en", 2: "de", 3: "de"}
 
 
+def test_whole_profiles(spark, monkeypatch):
+    """Every n-gram of two to five characters counts, whether it is sent with the function or joined."""
+    from collections import Counter
+    from math import log
+
+    def grams(text):
+        text = f" {text} "
+        return Counter(text[i : i + n] for n in (2, 3, 4, 5) for i in range(len(text) - n + 1))
+
+    known = [("en", "the thing on the other side"), ("de", "die andere sache für und für"), ("de", "ein ding dort drüben"), ("pl", "łódź i żółw 漢字かな"), (None, "nothing of this")]
+    held = {}
+    for lang, text in known:
+        if lang:
+            held.setdefault(lang, Counter()).update(grams(text))
+    asked = ["the other sache", "żółw i die sache", "漢字かな and the rest of it", "the other sache", "qqqqqqqqqqq", "für die łódź there"]
+    kinds = len(set().union(*held.values()))
+
+    def judged(text):
+        g = grams(text)
+        scores = sorted(((sum(n * log((held[x][k] + 0.1) / (held[x].total() + 0.1 * kinds)) for k, n in g.items()) / g.total(), x) for x in held), key=lambda s: (-s[0], s[1]))
+        return scores[0][1], min(1.0, (scores[0][0] - scores[1][0]) / 2 + 0.5)
+
+    profile = language.profiles(spark.createDataFrame(known, "lang string, text string"), most=30)
+    assert {(r.lang, r.gram): r.n for r in profile.collect()} == {(x, g): n for x, c in held.items() for g, n in c.items()}
+    rows = spark.createDataFrame([(i // 2, t, t, "x", 1, 0.0) for i, t in enumerate([*asked, asked[0], ""])], "doc_id long, raw string, t string, script string, size int, share double")
+    for most in (300_000, 60, 1):
+        monkeypatch.setattr(language, "IN_ROW", most)
+        got = language._scored(rows, profile).collect()
+        assert len(got) == 8
+        for r in got:
+            lang, sure = judged(r.raw) if r.raw else (None, 0.0)
+            assert r.found == lang and abs(r.sure - sure) < 1e-9
+
+
+def test_arbitration(spark):
+    profile = language.profiles(spark.createDataFrame([("en", "the thing on the other side of it " * 3), ("de", "die andere sache und das ding " * 3)], "lang string, text string"))
+    rows = [(1, "the thing on the other side", "de", 0.9), (2, "the thing on the other side", "en", 0.9), (3, "the thing on the other side", None, None), (4, "sonne mond 123", "fr", 0.8), (5, "12345678901", "de", 0.4), (6, "the thing on the other side", "xx", None), (7, "한국어 문장입니다 정말로", "de", 0.99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, said string, p double")
+    got = {r.doc_id: (r.lang, r.confidence) for r in language.detect(df, profile, outside="said", outside_sure="p").collect()}
+    assert got[1][0] == "en" and got[1][1] >= language.SURE_GRAMS and got[2] == ("en", 0.9) and got[3] == got[1] == got[6]
+    assert got[5] == ("de", 0.4) and got[7] == ("ko", 0.95)
+    only = {r.doc_id: (r.lang, r.confidence) for r in language.detect(df, profile, outside="said", outside_sure="p", languages=("de",), fallback="zz").collect()}
+    assert only[1] == ("zz", 0.0) and only[5] == ("de", 0.4)
+    none = language.detect(df, profile.filter("false")).collect()
+    assert {(r.lang, r.confidence) for r in none} == {("en", 0.0), ("ko", 0.95)}
+
+
 def test_networks(spark):
     trusted = ("10.0.0.0/8", "192.168.1.7", "::1")
     cases = {("10.9.8.7", "1.2.3.4, 10.1.1.1"): "1.2.3.4", ("192.168.1.7", "5.6.7.8"): "5.6.7.8", ("192.168.1.8", "5.6.7.8"): "192.168.1.8", ("::1", "10.0.0.1, 10.255.255.255"): "::1", ("10.1.1.1", "9.9.9.9, junk"): "10.1.1.1", ("", None): "unknown", ("10.0.0.1", "999.1.1.1"): "999.1.1.1"}
