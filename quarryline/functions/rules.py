@@ -35,6 +35,19 @@ SENSITIVE_COLUMNS = (
 )
 
 # Units in metres and grams.
+# Words that call for a role that talks to customers, the role of last resort, and phrases that ask for a person.
+INTENT_KEYWORDS = {
+    "sales": ("price", "pricing", "buy", "purchase", "demo", "quote", "discount", "plan"),
+    "marketing": ("campaign", "promotion", "newsletter", "partnership", "collaborate"),
+}
+DEFAULT_ROLE = "support"
+ESCALATION_PHRASES = (
+    "talk to a human", "speak to a human", "speak to someone",
+    "talk to someone", "real person", "human agent", "human support",
+    "this isn't helping", "this is not helping", "not what i need",
+    "let me speak to a person", "connect me to a person",
+)
+
 METRES = {"mm": 0.001, "cm": 0.01, "m": 1.0, "km": 1000.0, "in": 0.0254, "ft": 0.3048, "yd": 0.9144, "mi": 1609.344}
 GRAMS = {"mg": 0.001, "g": 1.0, "kg": 1000.0, "oz": 28.349523125, "lb": 453.59237}
 
@@ -135,6 +148,16 @@ def keyword_role(text: Column, roles: dict[str, tuple[str, ...]], default: Colum
     return default if out is None else out.otherwise(default)
 
 
+def intent_role(message: Column) -> Column:
+    """The role that a message's words call for, null where none does."""
+    return keyword_role(message, INTENT_KEYWORDS, F.lit(None).cast("string"))
+
+
+def wants_human(message: Column) -> Column:
+    """Whether a message asks for a person in one of the fixed phrases."""
+    return any_of(message, ESCALATION_PHRASES)
+
+
 def _factor(unit: Column, table: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[unit]
 

@@ -61,6 +61,16 @@ def folder_plan(manifest: DataFrame, ingested: DataFrame, complete: bool = True)
     return m.join(i, "path", "full").join(F.broadcast(listed)).select("path", action.alias("action"))
 
 
+def grant_plan(listing: DataFrame, read: DataFrame, ingested: DataFrame) -> DataFrame:
+    """grant, path, action (add, update, keep, remove): files listed (grant, path, hash) against those ingested (the same columns), by grant.  ``read`` (grant, complete) are the listings that could be read: where a grant's was not, was not complete or is empty, nothing of it is removed."""
+    m, i = listing.select("grant", "path", F.col("hash").alias("new")), ingested.select("grant", "path", F.col("hash").alias("old"))
+    sound = listing.select("grant").distinct().join(read.filter("complete").select("grant").distinct(), "grant", "left_semi").withColumn("sound", F.lit(True))
+    both = m.join(i, ["grant", "path"], "full").join(sound, "grant", "left")
+    gone = F.when(F.col("sound"), "remove").otherwise("keep")
+    action = F.when(F.col("old").isNull(), "add").when(F.col("new").isNull(), gone).when(F.col("old") != F.col("new"), "update").otherwise("keep")
+    return both.select("grant", "path", action.alias("action"))
+
+
 def filename(docs: DataFrame, doc_id) -> DataFrame:
     return docs.filter(F.col("doc_id") == doc_id).select("filename")
 

@@ -20,6 +20,13 @@ SENTENCE_WORDS = (
     "Is", "Are", "Was", "Were", "Do", "Does", "Did",
     "Can", "Could", "Would", "Should", "Will", "May", "Might",
 )
+QUERY_STOP_WORDS = (
+    "the", "this", "that", "with", "from", "what", "when", "where",
+    "which", "about", "does", "tell", "built", "using", "uses", "used",
+    "platform", "into", "for", "and", "are", "was", "were", "has", "have",
+)
+QUOTED = r'"([^"\n]{3,120})"'
+TOKEN = r"\b[A-Za-z][A-Za-z0-9_-]{3,}\b"
 PER_CHUNK, PER_QUERY, TOP_ENTITIES, TOP_PAIRS = 12, 10, 80, 150
 DIRECT_BOOST, INDIRECT_BOOST = 0.15, 0.25
 
@@ -31,7 +38,11 @@ def candidates(text: Column, cap: int = PER_CHUNK, domain_terms: tuple[str, ...]
     if domain_terms:
         terms = F.array(*map(F.lit, domain_terms))
         found = F.concat(found, F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t))))
-    names = F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), tx.normalize_entity), lambda x: x != "")
+    return _firsts(F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), tx.normalize_entity), lambda x: x != ""), cap)
+
+
+def _firsts(names: Column, cap: int) -> Column:
+    """The first spelling of each name without case, at most ``cap``."""
     none = F.array().cast("array<string>")
 
     def take(held: Column, name: Column) -> Column:
@@ -45,6 +56,14 @@ def query_entities(text: Column, domain_terms: tuple[str, ...] = ()) -> Column:
     return candidates(text, PER_QUERY, domain_terms)
 
 
+def open_query_entities(text: Column, cap: int = PER_QUERY) -> Column:
+    """Names to start from in a query of any wording: quoted passages, acronyms, capitalised phrases, then every word of four signs or more that is no stop word; spaces collapsed, the first spelling of each without case, at most ``cap`` of up to 200 characters.  Null and blank queries have none."""
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(f"(?U){TOKEN}"), 0), lambda x: ~F.lower(x).isin(*QUERY_STOP_WORDS))
+    found = F.concat(F.regexp_extract_all(text, F.lit(QUOTED), 1), F.regexp_extract_all(text, F.lit(f"(?U){ACRONYM}"), 0), F.regexp_extract_all(text, F.lit(f"(?U){PHRASE}"), 0), tokens)
+    names = F.filter(F.transform(found, lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 200)), lambda x: x != "")
+    return F.coalesce(_firsts(names, cap), F.array().cast("array<string>"))
+
+
 def chunk_entities(chunks: DataFrame, domain_terms: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, chunk_index, names: the entities of each chunk that has any."""
     # Through an explode of one list, below which the filter is not pushed: else the names would be found twice.
@@ -193,16 +212,43 @@ def by_ontology(relation: DataFrame, types: DataFrame, ontology: DataFrame) -> D
     return rows.join(allowed, ["type", "st", "ot"], "left").filter("known IS NULL OR fine").select(*relation.columns)
 
 
-def parsed_relations(answers: DataFrame, most: int = 20) -> DataFrame:
-    """doc_id, subject, type, object from a model's JSON answer (doc_id, entities: list of names, answer): a list of objects with subject, relation and object.  Types in capitals; ends that are the same or no known entity are dropped."""
-    items = F.from_json(F.regexp_extract("answer", r"(?s)\[.*\]", 0), "array<struct<subject: string, relation: string, object: string>>")
-    rows = answers.select("doc_id", F.transform("entities", F.lower).alias("known"), F.explode(F.slice(items, 1, most)).alias("r"))
-    fine = F.array_contains("known", F.lower("r.subject")) & F.array_contains("known", F.lower("r.object")) & (F.lower("r.subject") != F.lower("r.object")) & (F.trim("r.relation") != "")
-    return rows.filter(fine).select("doc_id", "r.subject", F.upper(F.trim("r.relation")).alias("type"), "r.object").distinct()
+def _answered(answer: Column, name: str, fields: str) -> Column:
+    """The list ``name`` of a model's JSON answer, null where the answer has none."""
+    return F.from_json(answer, f"struct<{name}: array<struct<{fields}>>>")[name]
+
+
+def malformed(answers: DataFrame, name: str) -> DataFrame:
+    """doc_id of the answers (doc_id, answer) that are not JSON or have no list ``name``: these are to be asked again, the others are parsed."""
+    return answers.filter(_answered(F.col("answer"), name, "name: string").isNull()).select("doc_id")
+
+
+def parsed_entities(answers: DataFrame, types: tuple[str, ...] = (), most: int = 20) -> DataFrame:
+    """doc_id, place, name, type from a model's JSON answer (doc_id, answer): ``entities``, a list of objects with name and type.  Of the first ``most`` those with a name, the first of each without case; a type that is missing or not among ``types`` (empty: any) is UNKNOWN."""
+    items = F.slice(_answered(F.col("answer"), "entities", "name: string, type: string"), 1, most)
+    named = F.transform(items, lambda x: F.struct(F.trim(F.coalesce(x["name"], F.lit(""))).alias("name"), x["type"].alias("type")))
+
+    def once(list_: Column) -> Column:
+        low = F.transform(list_, lambda x: F.lower(x["name"]))
+        return F.filter(list_, lambda x, i: (x["name"] != "") & (F.array_position(low, F.lower(x["name"])) == i + 1))
+
+    # The list is bound once: in the filter itself the answer would be parsed anew for each of its items.
+    kept = F.transform(F.array(named), once)[0]
+    kind = F.coalesce("e.type", F.lit("UNKNOWN"))
+    rows = answers.select("doc_id", F.posexplode(kept).alias("place", "e"))
+    return rows.select("doc_id", "place", "e.name", (F.when(kind.isin(*types), kind).otherwise("UNKNOWN") if types else kind).alias("type"))
+
+
+def parsed_relations(answers: DataFrame) -> DataFrame:
+    """doc_id, subject, type, object from a model's JSON answer (doc_id, entities: list of names, answer): ``relations``, a list of objects with subject, relation_type and object.  Types in capitals; relations that lack a part, or whose ends are the same or no known entity, are dropped."""
+    items = _answered(F.col("answer"), "relations", "subject: string, relation_type: string, object: string")
+    rows = answers.select("doc_id", F.transform("entities", F.lower).alias("known"), F.explode(items).alias("r"))
+    rows = rows.select("doc_id", "known", F.trim("r.subject").alias("subject"), F.upper(F.trim("r.relation_type")).alias("type"), F.trim("r.object").alias("object"))
+    fine = F.array_contains("known", F.lower("subject")) & F.array_contains("known", F.lower("object")) & (F.lower("subject") != F.lower("object"))
+    return rows.filter(fine & (F.col("type") != "") & (F.col("subject") != "") & (F.col("object") != "")).drop("known")
 
 
 def deduplicated(names: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """doc_id, name, canonical of names (doc_id, place, name): each joins the first cluster of its document whose first name is alike, in order of place; the longest name stands for a cluster, the first of equal lengths.  A document has at most ``TOP_ENTITIES`` names, so a group is small; the rest of a longer list stands for itself."""
+    """doc_id, name, canonical of names (doc_id, place, name): each joins the first cluster of its document whose first name is alike, in order of place; the longest name stands for a cluster, the first of equal lengths.  The names of one document are one group; names that are alike but for case and signs are compared once, and lengths too different not at all."""
     import re
     from difflib import SequenceMatcher
 
@@ -216,20 +262,25 @@ def deduplicated(names: DataFrame, threshold: float = 0.92) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         clusters: list[tuple[str, list[str]]] = []
-        for name in frame.sort_values("place")["name"]:
+        homes: dict[str, int] = {}
+
+        def alike(key: str, first: str) -> bool:
+            both = len(key) + len(first)
+            if both and 2 * min(len(key), len(first)) / both < threshold:
+                return False  # the ratio is no larger than this
+            return SequenceMatcher(None, key, first).ratio() >= threshold
+
+        for name in frame.sort_values(["place", "name"])["name"]:
             key = plain(name)
-            home = next((c for first, c in clusters if SequenceMatcher(None, key, first).ratio() >= threshold), None)
-            if home is None:
-                clusters.append((key, [name]))
-            else:
-                home.append(name)
+            if key not in homes:
+                homes[key] = next((i for i, (first, _) in enumerate(clusters) if alike(key, first)), len(clusters))
+                if homes[key] == len(clusters):
+                    clusters.append((key, []))
+            clusters[homes[key]][1].append(name)
         rows = [(n, max(c, key=len)) for _, c in clusters for n in c]
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[0], "name": [r[0] for r in rows], "canonical": [r[1] for r in rows]})
 
-    order = Window.partitionBy("doc_id").orderBy("place", "name")
-    ranked = names.withColumn("r", F.row_number().over(order))
-    near = ranked.filter(F.col("r") <= TOP_ENTITIES).select("doc_id", "place", "name").groupBy("doc_id").applyInPandas(run, "doc_id long, name string, canonical string")
-    return near.union(ranked.filter(F.col("r") > TOP_ENTITIES).select("doc_id", "name", F.col("name").alias("canonical")))
+    return names.select("doc_id", "place", "name").groupBy("doc_id").applyInPandas(run, "doc_id long, name string, canonical string")
 
 
 def remapped(counts: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -285,3 +336,9 @@ def retrieve(contained: DataFrame, net: DataFrame, hits: DataFrame, query: str,
 def audit(user: str, namespace: str, action: str, rows: DataFrame, at) -> DataFrame:
     """One log row for a call: who, where, what, and how many rows it gave."""
     return rows.agg(F.count("*").alias("n")).select(F.lit(user).alias("user_id"), F.lit(namespace).alias("namespace"), F.lit(action).alias("action"), "n", F.lit(at).cast("timestamp").alias("at"))
+
+
+def audited(rows: DataFrame, namespace: str, user: Column, action: str, at) -> DataFrame:
+    """The log rows of one call for each namespace (a column), as ``audit`` gives them."""
+    counts = rows.groupBy(F.col(namespace).alias("namespace")).agg(F.count("*").alias("n"))
+    return counts.select(user.alias("user_id"), "namespace", F.lit(action).alias("action"), "n", F.lit(at).cast("timestamp").alias("at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions import text as tx
 
 GENESIS = "0" * 64
@@ -88,9 +89,24 @@ def chart(roles: DataFrame, departments: DataFrame, tasks: DataFrame) -> DataFra
     return rows.select("role", F.coalesce("department", F.lit("General")).alias("department"), F.coalesce("open_tasks", F.lit(0)).alias("open_tasks")).orderBy("department", "role")
 
 
-def capabilities(skills: DataFrame) -> DataFrame:
-    """One row: skills, active ones, those with importance 0.75 or more, and distinct sources."""
-    return skills.agg(F.count("*").alias("skills"), F.count_if("active").alias("active"), F.count_if(F.col("importance") >= 0.75).alias("strong"), F.countDistinct("source").alias("sources"))
+def routed(messages: DataFrame, channel_roles: DataFrame) -> DataFrame:
+    """Messages (channel, text, ...) with their ``role``: the one that the words call for, else that of the channel (channel, role; one row each), else the default; ``escalate`` where a person is asked for."""
+    own = channel_roles.select("channel", F.col("role").alias("channel_role"))
+    rows = messages.join(own, "channel", "left")
+    role = F.coalesce(rules.intent_role(F.col("text")), F.col("channel_role"), F.lit(rules.DEFAULT_ROLE))
+    return rows.withColumns({"role": role, "escalate": rules.wants_human(F.col("text"))}).drop("channel_role")
+
+
+def capabilities(documents: DataFrame, sources: DataFrame, memories: DataFrame, tag: str = "interaction") -> DataFrame:
+    """One row: documents, active integrations, memories with the tag, and a line that names those that are not 0 (empty if all are)."""
+    one = documents.agg(F.count("*").alias("documents")).join(sources.agg(F.count_if("active").alias("integrations")))
+    one = one.join(memories.agg(F.count_if(F.array_contains("tags", tag)).alias("patterns")))  # one row each
+
+    def part(n: str, what: str) -> Column:
+        return F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(f" {what}"), F.when(F.col(n) != 1, "s").otherwise("")))
+
+    parts = F.concat_ws(", ", part("documents", "knowledge document"), part("integrations", "active integration"), part("patterns", "learned interaction pattern"))
+    return one.withColumn("line", F.when(parts != "", F.concat(F.lit("[Capabilities: "), parts, F.lit("]"))).otherwise(""))
 
 
 def due(triggers: DataFrame, now) -> DataFrame:
@@ -108,10 +124,12 @@ def claimed(triggers: DataFrame, now) -> DataFrame:
     return triggers.withColumns({"claimed": is_due, "next_run_at": F.when(is_due, later).otherwise(F.col("next_run_at"))})
 
 
-def sync_due(sources: DataFrame, now) -> DataFrame:
-    """Active sources never synced, or not within their interval."""
-    gap = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_sync")) / 60e6
-    return sources.filter(F.col("active") & (F.col("last_sync").isNull() | (gap >= F.col("interval_min"))))
+def sync_due(sources: DataFrame, now, every_min: int = 360) -> DataFrame:
+    """Active sources never synced, or not within their interval; an interval that is null or 0 is ``every_min``."""
+    at = now if isinstance(now, Column) else F.lit(now)
+    gap = (F.unix_micros(at.cast("timestamp")) - F.unix_micros("last_sync")) / 60e6
+    interval = F.coalesce(F.nullif("interval_min", F.lit(0)), F.lit(every_min))
+    return sources.filter(F.col("active") & (F.col("last_sync").isNull() | (gap >= interval)))
 
 
 def narrow_gaps(fires: DataFrame, least_min: int = 5) -> DataFrame:

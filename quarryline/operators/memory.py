@@ -231,12 +231,17 @@ def with_fallback(semantic: DataFrame, tagged: DataFrame, query: str) -> DataFra
     return first.unionByName(rest).filter(~F.array_contains("tags", "source:owner"))
 
 
-def summary(chunks: DataFrame, sources: DataFrame, memories: DataFrame) -> DataFrame:
-    """One row: previews (200 characters) of the 8 newest chunks, the active sources, and up to 10 memories of importance 0.75 or more."""
-    newest = chunks.orderBy(F.desc("created_at"), "chunk_id").limit(15).orderBy(F.desc("created_at"), "chunk_id").limit(8)
-    text = newest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros("created_at")).alias("t"), "chunk_id", F.substring("text", 1, 200).alias("p")))), lambda x: x["p"]), "\n").alias("recent"))
+def summary(chunks: DataFrame, sources: DataFrame, memories: DataFrame, tags: list[str]) -> DataFrame:
+    """One row: the first 200 characters of chunks (of the 15 newest the first 8 that have a text), the active sources, and of the ten first memories with one of the tags those of importance 0.75 or more (their ``summary``, or 150 characters of their text); empty where there is nothing."""
+    newest = chunks.orderBy(F.desc("created_at"), "chunk_id").limit(15).filter("text <> ''").orderBy(F.desc("created_at"), "chunk_id").limit(8)
+    shown = F.struct((-F.unix_micros("created_at")).alias("t"), "chunk_id", F.substring("text", 1, 200).alias("p"))
+    text = newest.agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["p"]), "\n---\n").alias("recent"))
     names = sources.filter("active").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("sources"))
-    best = memories.filter("importance >= 0.75").orderBy(F.desc("importance"), F.desc("created_at"), "content_hash").limit(10).agg(F.array_sort(F.collect_list("text")).alias("learned"))
+    said = F.substring("text", 1, 150)
+    said = F.coalesce(F.nullif("summary", F.lit("")), said) if "summary" in memories.columns else said
+    order = F.struct((-F.col("importance")).alias("i"), (-F.unix_micros("created_at")).alias("t"), "content_hash", said.alias("p"))
+    best = by_tags(memories, tags, 10).filter("importance >= 0.75")
+    best = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["p"]), "\n").alias("learned"))
     return text.join(names).join(best)  # one row each
 
 

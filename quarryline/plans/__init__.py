@@ -1,3 +1,3 @@
 """Importing the package fills the register of queries."""
 
-from . import catalog, corpus, graphs, schedules, search  # noqa: F401
+from . import catalog, corpus, desk, graphs, schedules, search  # noqa: F401

@@ -248,11 +248,15 @@ def connector(spark: SparkSession, source: Source) -> Connector:
     return CONNECTORS[KINDS[source.kind]](spark, source)
 
 
-def described(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """table, column, type, sensitive of all tables whose name is not blacklisted."""
-    rows = [(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema.fields]
-    out = spark.createDataFrame(rows, "table string, column string, type string")
-    return out.filter(~rules.table_blacklisted(F.col("table"))).withColumn("sensitive", rules.column_sensitive(F.col("column")))
+def described(spark: SparkSession, tables: dict[str, DataFrame], keys: DataFrame | None = None) -> DataFrame:
+    """table, column, type, nullable, sensitive, is_key of all tables whose name is not blacklisted; ``keys`` (table, column) are the columns of primary keys, as a database's catalog lists them."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.nullable) for t, df in tables.items() for f in df.schema.fields]
+    out = spark.createDataFrame(rows, "table string, column string, type string, nullable boolean")
+    out = out.filter(~rules.table_blacklisted(F.col("table"))).withColumn("sensitive", rules.column_sensitive(F.col("column")))
+    if keys is None:
+        return out.withColumn("is_key", F.lit(False))
+    flagged = keys.select("table", "column").distinct().withColumn("is_key", F.lit(True))
+    return out.join(flagged, ["table", "column"], "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
 
 
 def required_tables(spark: SparkSession, dimensions: int, database: str = "default") -> None:

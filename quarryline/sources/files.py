@@ -255,6 +255,40 @@ def folder(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     return files.select("path", "content", F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
+#: Bounds of a manifest's entries: characters of a path, bytes of a file.
+LONGEST_PATH, LARGEST_FILE = 300, 25 * 1024 * 1024
+_MANIFEST = "struct<grant: string, generated_at: long, truncated: boolean, pending: long, files: array<struct<path: string, size: string, sha256: string>>>"
+
+
+def _entry_ok(e: Column) -> Column:
+    """A relative path without empty, ``.`` or ``..`` parts, a size within bounds, and a digest in small hex digits."""
+    path = e["path"]
+    parts = F.exists(F.split(path, "/", -1), lambda p: p.isin("", ".", ".."))
+    size = F.when(e["size"].rlike("^[0-9]{1,18}$"), e["size"].cast("long"))
+    fine = (F.length(path) <= LONGEST_PATH) & ~path.contains("\\") & ~path.contains("\0") & ~parts & (size <= LARGEST_FILE) & e["sha256"].rlike("^[0-9a-f]{64}$")
+    return F.coalesce(fine, F.lit(False))
+
+
+def manifests(listings: DataFrame) -> DataFrame:
+    """grant, files (path, size, hash), invalid, complete of listings (grant, body: JSON with grant, files, truncated, pending).
+
+    A listing is untrusted: one that is no JSON, has no list of files or names
+    another grant gives no row; entries that are not in order are left out and
+    counted.  ``complete`` is false for a listing that was cut or has files pending.
+    """
+    rows = listings.select("grant", F.from_json("body", _MANIFEST).alias("m")).filter((F.col("m.grant") == F.col("grant")) & F.col("m.files").isNotNull())
+    good = F.filter("m.files", _entry_ok)
+    files = F.transform(good, lambda e: F.struct(e["path"].alias("path"), e["size"].cast("long").alias("size"), e["sha256"].alias("hash")))
+    complete = ~F.coalesce("m.truncated", F.lit(False)) & (F.coalesce("m.pending", F.lit(0)) <= 0)
+    return rows.select("grant", files.alias("files"), (F.size("m.files") - F.size(good)).alias("invalid"), complete.alias("complete"))
+
+
+def listed(read: DataFrame) -> DataFrame:
+    """grant, path, size, hash: a row for each file of ``manifests``; of a path that a listing has twice the last entry holds."""
+    rows = read.select("grant", F.posexplode("files").alias("place", "f")).select("grant", "place", "f.*")
+    return rows.groupBy("grant", "path").agg(F.max_by(F.struct("size", "hash"), "place").alias("f")).select("grant", "path", "f.size", "f.hash")
+
+
 def decoded(content: Column) -> Column:
     """UTF-8, or Latin-1 where it is not valid."""
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
