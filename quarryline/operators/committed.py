@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,7 +109,7 @@ class Store:
             made = {"tables": {n: dict(b) for n, b in base["tables"].items()}, "schemas": dict(base["schemas"])}
             for name in sorted({*made["tables"], *changes}):
                 old, new = self._rows(base, name, touched), changes.get(name)
-                rows = new if old is None else old.join(ids, self.key, "left_anti")
+                rows = new if old is None else old.join(ids, self.key, "left_anti").select(*old.columns)
                 if old is not None and new is not None:
                     rows = rows.unionByName(new)
                 place = f"data/{name}-{uuid.uuid4().hex}"
@@ -121,6 +123,16 @@ class Store:
                 return version + 1
         raise Conflict(f"other writers were first in {self.folder}")
 
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows as a table in the store's folder that no version names, deleted at the end."""
+        place = f"staged/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.folder}/{place}")
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{place}")
+        finally:
+            self._files().delete(self._path(place), True)
+
     def expire(self, keep: int = 2) -> None:
         """Deletes older versions and the data that only they name; no writer may be at work, as what it has written is named by no version yet."""
         fs, newest = self._files(), self.version()

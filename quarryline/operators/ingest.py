@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from . import chunks as ck
+from . import graph as gr
+from . import language as la
+from .committed import Store
 
 #: A guardrail gives (text, reason): the text that goes on, or why it does not.
 Guard = Callable[[Column], tuple[Column, Column]]
@@ -76,10 +79,33 @@ def ingest(docs: DataFrame, guards: list[Guard] | None = None, embed: Callable[[
     """(outcomes, chunks): for each document doc_id, filename, success, chunks, error; a document of which no chunk could be embedded fails as a whole."""
     rows = prepared(docs, guards)
     parts = stored_chunks(rows, embed, language)
+    return _outcomes(rows, parts), parts
+
+
+def _outcomes(rows: DataFrame, parts: DataFrame) -> DataFrame:
     made = parts.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     found = rows.join(made, "doc_id", "left")
     error = F.coalesce("error", F.when(F.col("chunks").isNull(), "no chunk could be embedded"))
-    return found.select("doc_id", "filename", error.isNull().alias("success"), F.coalesce("chunks", F.lit(0)).alias("chunks"), error.alias("error")), parts
+    return found.select("doc_id", "filename", error.isNull().alias("success"), F.coalesce("chunks", F.lit(0)).alias("chunks"), error.alias("error"))
+
+
+def commit(store: Store, docs: DataFrame, guards: list[Guard] | None = None, embed: Callable[[Column], Column] = tx.hash_vector, profile: DataFrame | None = None) -> int:
+    """Ingest into a store in one commit, and its version: tables ``documents`` (outcomes), ``chunks`` with the language of each (by ``profile``, see ``language.profiles``, else where its script tells), and the graph's ``contains`` and ``pairs``.
+
+    Either all four change or none does, so no version has chunks without their
+    graph.  A document that is ingested again replaces what it gave before; one
+    that fails now keeps no chunks and no graph rows, only its outcome.  Chunks
+    are cut and embedded once, into a staged table that the four are made from.
+    """
+    rows = prepared(docs, guards)
+    parts = stored_chunks(rows, embed, language=profile is None)
+    if profile is not None:
+        found = la.detect(parts, profile, "chunk_id", carry=True)
+        parts = found.select("row.*", F.col("lang").alias("language"))
+    with store.staged(parts) as kept:
+        names = gr.chunk_entities(kept)
+        changes = {"documents": _outcomes(rows, kept), "chunks": kept, "contains": gr.contains(names), "pairs": gr.pairs(names)}
+        return store.commit(changes, docs.select(store.key))
 
 
 def write(docs: DataFrame, folder: str, batch: str, **options) -> DataFrame:

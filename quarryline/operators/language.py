@@ -208,8 +208,8 @@ def _scored(texts: DataFrame, profile: DataFrame) -> DataFrame:
     return best.select(*texts.columns, F.col("best")[0]["lang"].alias("found"), sure.alias("sure"))
 
 
-def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en", outside: str | None = None, outside_sure: str | None = None, languages: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, confidence of every row.
+def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en", outside: str | None = None, outside_sure: str | None = None, languages: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
+    """doc_id, lang, confidence of every row, and with ``carry`` the row itself as a struct ``row``.
 
     ``outside`` and ``outside_sure`` name columns with the result of another
     detector: where both agree, its confidence holds; where they don't, the
@@ -223,7 +223,8 @@ def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col
     share = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[぀-ヿ一-鿿가-힣]")), F.length(text)), F.lit(0.0))
     said = F.col(outside).cast("string") if outside else F.lit(None).cast("string")
     said_sure = F.coalesce(F.col(outside_sure).cast("double"), F.lit(0.0)) if outside_sure else F.lit(0.0)
-    base = rows.select(F.col(id_col).cast("long").alias("doc_id"), cleaned(text).alias("t"), rules.script_language(text).alias("script"), share.alias("share"), F.length(F.trim(text)).alias("size"), said.alias("said"), said_sure.alias("said_sure"))
+    whole = [F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")] if carry else []
+    base = rows.select(F.col(id_col).alias("doc_id"), *whole, cleaned(text).alias("t"), rules.script_language(text).alias("script"), share.alias("share"), F.length(F.trim(text)).alias("size"), said.alias("said"), said_sure.alias("said_sure"))
     out = _scored(base, profile)
     own = F.col("said").isNull() | (F.col("found").isNotNull() & (F.col("found") != F.col("said")) & (F.col("sure") >= SURE_GRAMS))
     lang, sure = F.when(own, F.col("found")).otherwise(F.col("said")), F.when(own, F.col("sure")).otherwise(F.col("said_sure"))
@@ -232,7 +233,7 @@ def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col
     none = F.col("lang").isNull() | (~F.col("lang").isin(*languages) if languages else F.lit(False))
     by_script = F.col("script").isNotNull() & (short | F.col("lang").isNull() | (~none & ((F.col("share") >= 0.2) | (F.col("sure") < SURE))))
     final = F.when(by_script, F.col("script")).when(short | none, fallback).otherwise(F.col("lang"))
-    return out.select("doc_id", final.alias("lang"), F.when(by_script, 0.95).when(short | none, 0.0).otherwise(F.col("sure")).alias("confidence"))
+    return out.select("doc_id", final.alias("lang"), F.when(by_script, 0.95).when(short | none, 0.0).otherwise(F.col("sure")).alias("confidence"), *(["row"] if carry else []))
 
 
 # Words that mark a query as English.

@@ -11,6 +11,7 @@ from ..operators import graph as gr
 from ..operators import graphsearch as gs
 from ..operators import textindex as ti
 from ..operators import vectors as ve
+from ..operators import ingest as ing
 from ..operators.committed import Store
 from ..session import shared_path, table
 from .corpus import _ENTITIES
@@ -126,3 +127,23 @@ def graph_boost_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = gs.nearest(gs.related(net, names, 2)).select("query_id", "entity")
     hits = _dense(spark, sf_dir, asked, 30).withColumn("doc_id", F.col("id"))
     return gr.boosted_dense(hits.select("query_id", "id", "doc_id", "score"), gs.documents(contained, names), gs.documents(contained, around), 10).select("query_id", "id", "score", "graph_boosted", "rank")
+
+
+@query(_ENTITIES + """,
+cn AS (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id),
+en AS (SELECT doc_id, count(*) AS entities FROM contained GROUP BY doc_id),
+pn AS (SELECT doc_id, count(*) AS pairs FROM pairs GROUP BY doc_id),
+dn AS (SELECT doc_id, coalesce(length(text) <= 50000, true) AND cn.doc_id IS NOT NULL AS success FROM documents LEFT JOIN cn USING (doc_id))
+SELECT doc_id, success, CASE WHEN success THEN chunks ELSE 0 END AS chunks,
+  CASE WHEN success THEN coalesce(entities, 0) ELSE 0 END AS entities, CASE WHEN success THEN coalesce(pairs, 0) ELSE 0 END AS pairs
+FROM dn LEFT JOIN cn USING (doc_id) LEFT JOIN en USING (doc_id) LEFT JOIN pn USING (doc_id)""")
+def committed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one commit, then half of them once more: outcome, chunks and graph rows of each, read from the store."""
+    store = Store(spark, shared_path(spark, "ingest"))
+    d = table(spark, sf_dir, "documents").withColumn("filename", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    ing.commit(store, d)
+    ing.commit(store, d.filter("doc_id % 2 = 0"))
+    out = store.read("documents").select("doc_id", "success")
+    for name, column in (("chunks", "chunks"), ("contains", "entities"), ("pairs", "pairs")):
+        out = out.join(store.read(name).groupBy("doc_id").agg(F.count("*").alias(column)), "doc_id", "left")
+    return out.fillna(0, ["chunks", "entities", "pairs"])

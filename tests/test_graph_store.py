@@ -41,6 +41,46 @@ def test_store(spark, tmp_path):
         store.read("nothing")
 
 
+def test_committed_ingest(spark, tmp_path, monkeypatch):
+    from quarryline.operators import ingest, language
+
+    store = Store(spark, f"file://{tmp_path}/s", buckets=4)
+    known = spark.createDataFrame([("en", "Acme Corp met the other side of the thing and left. " * 3), ("de", "Die andere Sache und das Ding in Berlin für Siemens. " * 3)], "lang string, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        @F.udf("array<double>")
+        def one(x):
+            calls.add(1)
+            return None if "unembeddable" in x else [1.0, float(len(x))]
+
+        return one(text)
+
+    rows = [(1, "a", "Acme Corp met the other side of Globex Industries."), (2, "b", "Die andere Sache für Siemens und das Ding."), (3, "c", " "), (4, "d", "unembeddable thing"), (5, "e", "x" * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, filename string, text string")
+    profile = language.profiles(known)
+    assert ingest.commit(store, docs, embed=embed, profile=profile) == 1
+    assert {r.doc_id: (r.success, r.chunks, r.error) for r in store.read("documents").collect()} == {1: (True, 1, None), 2: (True, 1, None), 3: (False, 0, "no text"), 4: (False, 0, "no chunk could be embedded"), 5: (False, 0, "longer than 50000 characters")}
+    assert {r.doc_id: r.language for r in store.read("chunks").collect()} == {1: "en", 2: "de"} and not store._names("staged")
+    assert {r.entity for r in store.read("contains").collect() if r.doc_id == 1} == {"acme corp", "globex industries"}
+    names = ("documents", "chunks", "contains", "pairs")
+    first = {n: held(store, n) for n in names}
+    ingest.commit(store, docs.filter("doc_id <= 2"), embed=embed, profile=profile)
+    assert {n: held(store, n) for n in names} == first
+    # A write that breaks changes none of the four and leaves nothing staged.
+    worse = spark.createDataFrame([(1, "a", "  "), (2, "b", "Hooli Group met IBM-360.")], docs.schema)
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            ingest.commit(store, worse, embed=embed, profile=profile)
+    assert {n: held(store, n) for n in names} == first and not store._names("staged")
+    # A document that fails now loses its chunks and its part of the graph at once.
+    ingest.commit(store, worse, embed=embed)
+    assert {r.doc_id for r in store.read("chunks").collect()} == {r.doc_id for r in store.read("contains").collect()} == {2}
+    assert {r.entity for r in store.read("contains").collect()} == {"hooli group", "ibm-360"} and store.read("documents").count() == 5
+    assert calls.value <= 2 * 8  # each chunk of a commit once or, where a filter asks for the vector too, twice
+
+
 def test_broken_write(spark, tmp_path, monkeypatch):
     store = Store(spark, f"file://{tmp_path}/s", buckets=4)
     store.commit({"a": table(spark, ROWS[:5]), "b": table(spark, ROWS[:2])}, table(spark, ROWS[:5]))
