@@ -47,7 +47,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece, with its ids."""
-    return packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), end=0)
+    return packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), end=0, keep=False)
 
 
 STAGES = [

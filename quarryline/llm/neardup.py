@@ -312,6 +312,7 @@ def _lists(settings: Settings):
     """Of a bucket: the counted pairs of short lists, pairs with hubs, the rows of long lists, and of each class its rows in short (c) and long (n) ones, its size (level) and the shingles that it lost to equal keys (key)."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.release()
         p = Packed(table)
         low, idx = p.column("low", np.uint32), p.owners("cls")
         cls, n, choice, usual = p.column("cls", np.int64), p.column("n", np.uint32).astype(np.int64), p.column("choice", np.uint8).astype(np.int64), p.column("usual", np.uint8)
@@ -458,22 +459,56 @@ def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
 _OPEN = "kind int, a long, b long, c long, level int"
 
 
-def _across(comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of items with different components."""
+#: Pairs that a task makes at once.
+PAIRS = 1_000_000
+
+
+def _across(comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of items with different components, about ``PAIRS`` at a time."""
     order = np.argsort(comp, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
     stops = np.append(first[1:], len(comp))
     later = len(comp) - np.repeat(stops, stops - first)  # of each item, the items of later components
-    one = np.repeat(np.arange(len(comp)), later)
-    stop = np.cumsum(later)
-    two = np.repeat(len(comp) - stop, later) + np.arange(stop[-1] if len(stop) else 0)
-    return order[one], order[two]
+    total = np.cumsum(later)
+    lo = 0
+    while lo < len(comp):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        some = later[lo:hi]
+        stop = np.cumsum(some)
+        yield order[np.repeat(np.arange(lo, hi), some)], order[np.repeat(len(comp) - stop, some) + np.arange(stop[-1])]
+        lo = hi
+
+
+class Codes:
+    """Counts of pair codes, added block by block; each code is held about once."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, 2 * PAIRS
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(np.unique(codes, return_counts=True))
+        self.held += len(self.parts[-1][0])
+        if self.held > self.most:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.parts) == 1:
+            return self.parts[0]
+        code, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([n for _, n in self.parts]), len(code)).astype(np.int64)
+        self.parts = [(code, count)]
+        self.held, self.most = len(code), max(2 * PAIRS, 2 * len(code))
+        return code, count
 
 
 def _uncovered(settings: Settings):
     """Of the long lists of a bucket: counted pairs of classes in different components that no mask covers (kind 0), and how many lists with several components each class is in (kind 1)."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.release()
         col = {c: table.column(c).to_numpy() for c in ("key", "cls", "n", "level", "comp")}
         least = table.column("least").fill_null(-1).to_numpy()
         order = np.argsort(col["key"], kind="stable")
@@ -482,15 +517,9 @@ def _uncovered(settings: Settings):
         masked = least >= 0
         _, of, number = np.unique(cls, return_index=True, return_inverse=True)
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        met, ones, twos, codes = np.zeros(len(of), np.int64), [], [], []
+        met, found, codes = np.zeros(len(of), np.int64), [], Codes()
         held = 0
 
-        def settle() -> None:
-            code, count = np.unique(np.concatenate(ones) * len(of) + np.concatenate(twos), return_counts=True)
-            codes.append((code, count))
-            ones.clear()
-            twos.clear()
-
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
             c = comp[a:b]
             if (c == c[0]).all():
@@ -498,21 +527,21 @@ def _uncovered(settings: Settings):
             met[number[a:b]] += 1
             # A masked class has a pair here only with partners below the mask's least size.
             able = a + np.flatnonzero(~masked[a:b] | (100 * least[a:b] > settings.percent * n[a:b]))
-            i, j = _across(comp[able])
-            i, j = able[i], able[j]
-            good = _fits(n[i], n[j], settings.percent) & (~masked[i] | (n[j] < least[i])) & (~masked[j] | (n[i] < least[j]))
-            one, two = np.minimum(number[i[good]], number[j[good]]), np.maximum(number[i[good]], number[j[good]])
-            ones.append(one)
-            twos.append(two)
-            held += len(one)
-            if held > 4_000_000:
-                settle()
-                held = 0
-        if ones:
-            settle()
+            for i, j in _across(comp[able]):
+                i, j = able[i], able[j]
+                good = _fits(n[i], n[j], settings.percent) & (~masked[i] | (n[j] < least[i])) & (~masked[j] | (n[i] < least[j]))
+                i, j = number[i[good]], number[j[good]]
+                found.append(np.minimum(i, j) * len(of) + np.maximum(i, j))
+                held += len(i)
+                if held > PAIRS:
+                    codes.add(np.concatenate(found))
+                    found, held = [], 0
+        if found:
+            codes.add(np.concatenate(found))
         some = np.flatnonzero(met)
         out = [pa.table([pa.array(np.ones(len(some), np.int32)), pa.array(cls[of[some]]), pa.array(cls[of[some]]), pa.array(met[some]), pa.array(np.zeros(len(some), np.int32))], names=["kind", "a", "b", "c", "level"])]
-        for code, count in codes:
+        code, count = codes.merged()
+        if len(code):
             x, y = of[code // len(of)], of[code % len(of)]
             out.append(pa.table([pa.array(np.zeros(len(x), np.int32)), pa.array(cls[x]), pa.array(cls[y]), pa.array(count.astype(np.int64)), pa.array(np.minimum(level[x], level[y]).astype(np.int32))], names=["kind", "a", "b", "c", "level"]))
         return pa.concat_tables(out)
@@ -562,6 +591,7 @@ def _asked(settings: Settings):
     """Of a bucket: counted pairs of a masked class with the classes that have what it looks up; ``level`` is the count that the pair needs in all."""
 
     def run(table: pa.Table) -> pa.Table:
+        ts.release()
         p = Packed(table)
         low, flag, idx = p.column("low", np.uint32), p.column("flag", np.uint8) > 0, p.owners("cls")
         cls, n, comp, least, bound = (p.column(c, np.int64) for c in ("cls", "n", "comp", "least", "bound"))
@@ -574,8 +604,8 @@ def _asked(settings: Settings):
         first, length = np.unique(low, return_index=True, return_counts=True)[1:]
         ask = np.flatnonzero(flag)
         in_list = np.searchsorted(first, ask, "right") - 1
-        codes = []
-        step = max(1, 4_000_000 // max(1, int(length.max()) if len(length) else 1))
+        codes = Codes()
+        step = max(1, PAIRS // max(1, int(length.max()) if len(length) else 1))
         for at in range(0, len(ask), step):  # blocks, for memory
             mine = ask[at : at + step]
             size = length[in_list[at : at + step]]
@@ -583,8 +613,8 @@ def _asked(settings: Settings):
             other = np.repeat(first[in_list[at : at + step]] - stop + size, size) + np.arange(stop[-1])
             a, b = np.repeat(idx[mine], size), idx[other]
             good = (comp[a] != comp[b]) & (n[b] >= least[a]) & _fits(n[a], n[b], settings.percent)
-            codes.append(np.unique(a[good] * len(cls) + b[good], return_counts=True))
-        code, count = (np.concatenate(x) for x in zip(*codes, strict=True)) if codes else (np.zeros(0, np.int64),) * 2
+            codes.add(a[good] * len(cls) + b[good])
+        code, count = codes.merged()
         a, b = code // max(1, len(cls)), code % max(1, len(cls))
         # The shared shingles in all must be percent / (100 + percent) of both sizes; ``bound`` of them may lie elsewhere.
         need = -(-(n[a] + n[b]) * settings.percent // (100 + settings.percent)) - bound[a]

@@ -171,15 +171,21 @@ def _rows(sequences: Iterator[list[tuple]], size: int = 2048) -> Iterator[pa.Rec
         yield batch()
 
 
-def _packer(items: Callable[[pa.RecordBatch], Iterator[tuple]], limits: Limits):
+def _packer(items: Callable[[pa.RecordBatch], Iterator[tuple]], limits: Limits, done: Callable[[], None] = lambda: None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(pack_items((x for b in batches for x in items(b)), limits))
+        try:
+            yield from _rows(pack_items((x for b in batches for x in items(b)), limits))
+        finally:
+            done()
 
     return run
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 0, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize whole texts, close each with the end id, and pack.  Every token bears loss.  Returns a row for each piece with its ids."""
+def pack_documents(docs: DataFrame, path: str, end: int = 0, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Tokenize whole texts, close each with the end id, and pack.  Every token bears loss.  Returns a row for each piece with its ids.
+
+    ``keep``: a worker keeps the encoder with its pieces for its next task, which is faster; without, its memory is free for what runs after.
+    """
 
     def items(batch: pa.RecordBatch) -> Iterator[tuple]:
         for lo, hi, flat, sizes in tokens.id_arrays(batch, path, end):
@@ -188,7 +194,7 @@ def pack_documents(docs: DataFrame, path: str, end: int = 0, limits: Limits = Li
             for key, a, b in zip(keys, (stops - sizes).tolist(), stops.tolist(), strict=True):
                 yield key, 0, flat[a:b], None, b - a
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_packer(items, limits), SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_packer(items, limits, (lambda: None) if keep else (lambda: tokens.forget(path))), SCHEMA)
 
 
 def pack_ids(examples: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", ids_col: str = "ids", loss_col: str | None = None) -> DataFrame:

@@ -62,21 +62,26 @@ def slabs(column: pa.Array | pa.ChunkedArray, limit: int = SLAB_BYTES) -> Iterat
     """(first row, row after the last, bytes, offsets) of runs of whole texts of about ``limit`` bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    stops = _offsets(column)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(stops, stops[lo] + limit, "right")) - 1)
         hi = min(hi, len(column))
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        part = column.slice(lo, hi - lo).fill_null("")  # run by run: the whole column is not copied
+        offsets, raw = _offsets(part), part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        yield lo, hi, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         lo = hi
     release()
 
 
+def _offsets(column: pa.LargeStringArray) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+
+
 def release() -> None:
     """Give freed memory back to the system: workers are kept for later stages, beside which others run."""
     pa.default_memory_pool().release_unused()

@@ -26,6 +26,8 @@ from . import textscan as ts
 
 #: Pieces that a worker remembers; beyond it the table starts afresh.
 MEMORY = 700_000
+#: New pieces that the library encodes at a time.
+LEARNED = 4096
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
@@ -121,7 +123,9 @@ class Encoder:
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         raw = data.tobytes()
         texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for at in range(0, len(texts), LEARNED):  # the library's own results are far larger than the ids
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + LEARNED], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         self.add(keys, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
@@ -172,6 +176,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Let this worker's encoder go, and give its memory back."""
+    _encoders.pop(path, None)
+    ts.release()
+
+
 def with_end(flat: np.ndarray, sizes: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The end id after each text."""
     if end is None:

@@ -1,10 +1,13 @@
 """The training-data operators against brute force on small tables."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarryline.llm import hamming, language, mixing, neardup, packing, quality, queries, repetition, rollups, tokenfiles, tokens, toxicity
@@ -310,6 +313,27 @@ def test_near_duplicates_around_the_threshold(spark):
     assert 2 < len({c for _, c in got.values()}) < len(texts)
 
 
+def test_pairs_of_a_large_group_in_blocks():
+    """3000 classes that meet in two lists: millions of candidates in bounded memory, and each pair once with its whole count."""
+    n = 3000
+    comp = np.arange(n) // 2
+    sizes = np.full(n, 100)
+    asks = np.arange(n) < 700  # masked classes that look the two shingles up
+    low, flag = np.repeat(np.array([5, 9], np.uint32), n), np.tile(asks, 2).astype(np.uint8)
+    packed = neardup._packed(np.zeros(2 * n, np.int64), [low, flag], np.tile(np.arange(n), 2), [np.arange(n), sizes, comp, np.where(asks, 0, -1), np.zeros(n, np.int64)], neardup._OUTSIDE_NAMES)
+    lists = pa.table({"key": np.repeat([1, 2], n), "cls": np.tile(np.arange(n), 2), "n": np.tile(100 * 2 ** (comp % 20), 2), "level": np.ones(2 * n, np.int64), "comp": np.tile(comp, 2), "least": pa.nulls(2 * n, pa.int64())})
+    for run, table, pairs in ((neardup._asked(neardup.Settings()), pa.Table.from_batches([packed]), 700 * (n - 2)), (neardup._uncovered(neardup.Settings()), lists, 20 * 75 * 74 // 2 * 4)):
+        tracemalloc.start()
+        out = run(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        if "kind" in out.column_names:
+            out = out.filter(pc.equal(out["kind"], 0))
+        a, b, c = (out[k].to_numpy() for k in "abc")
+        assert len(a) == pairs == len(np.unique(a * n + b)) and (c == 2).all() and (comp[a] != comp[b]).all()
+        assert peak < 50 * pairs + 170e6, peak
+
+
 def test_classes_that_share_a_number(spark):
     """With class numbers of 6 bits nearly all sets clash, and the result is the same."""
     rng = np.random.default_rng(3)

@@ -1,14 +1,16 @@
 """The corpus pipeline, stage by stage, on a small table with every odd row."""
 
 import re
+import shutil
 from collections import Counter
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm import queries
+from quarryline.llm import queries, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +78,16 @@ def test_no_rows(spark, folder, tmp_path):
 
 def test_names():
     assert [re.sub(r"\W+", "", n) for n, _ in cp.STAGES] == ["qualityrules", "toxicity", "ngramJaccardjoin", "mixingsourcestotargetweights", "packing"]
+
+
+def test_workers_keep_no_tokenizer(spark, folder, tmp_path, monkeypatch):
+    """The packing stage leaves no encoder in the Python workers, which other stages use after it."""
+    path = shutil.copy(queries.tokenizer("byte_bpe_50k.json"), tmp_path / "own.json")
+    monkeypatch.setattr(cp.queries, "tokenizer", lambda name: str(path))
+    assert cp.packed(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count() > 60
+
+    def kept(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([str(path) in tokens._encoders] * b.num_rows)], ["kept"])
+
+    assert {r.kept for r in spark.range(0, 400, 1, 8).mapInArrow(kept, "kept boolean").collect()} == {False}
