@@ -3,6 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of ``documents``; further columns of the input end in the first stage.
+The stages set the session's Arrow batches to 4 MB, for the memory of executors.
 
 Defined cases: null, empty and very short texts fail the quality rules; of equal
 rows, whether their ids are equal, differ or are null, deduplication keeps one;
@@ -25,17 +26,20 @@ TOXIC = 0.7
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the repetition rules reject; the rows pass through the scan, nothing is joined or shuffled."""
+    common.short_batches(spark)
     return repetition.repetition(docs, carry=True).filter("kept").select("row.*").select(*COLUMNS)
 
 
 def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxic passages give a score of at least ``TOXIC``, likewise."""
+    common.short_batches(spark)
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, carry=True).filter(F.col("score") < TOXIC).select("row.*").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near duplicates, the document with the least id."""
+    common.short_batches(spark)
     return neardup.deduplicated(docs).select(*COLUMNS)
 
 
@@ -47,6 +51,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row for each piece, with its ids."""
+    common.short_batches(spark)
     return packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), end=0, keep=False)
 
 

@@ -292,10 +292,10 @@ PAIR, STAR, LIST, CLASS = 0, 1, 2, 3
 _MET = "kind int, key long, a long, b long, c long, n int, level int"
 
 
-def _counted(kind: int, one: np.ndarray, two: np.ndarray, of: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray) -> pa.Table:
-    """Pairs of class numbers, each once with its count; ``n`` is the sum of sizes and ``level`` what both ask for."""
+def _counted(kind: int, codes: Codes, of: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray) -> pa.Table:
+    """Pairs of class numbers (first times the number of classes, plus second), each once with its count; ``n`` is the sum of sizes and ``level`` what both ask for."""
     size = max(1, len(of))
-    code, count = np.unique(one * size + two, return_counts=True)
+    code, count = codes.merged()
     one, two = of[code // size], of[code % size]
     return _met(kind, np.zeros(len(code), np.int64), cls[one], cls[two], count, n[one] + n[two], np.minimum(level[one], level[two]))
 
@@ -337,18 +337,17 @@ def _lists(settings: Settings):
         out.append(_met(CLASS, lost[of[some]], cls[of[some]], cls[of[some]], own[0][some], own[1][some], n[of[some]]))
 
         q, m = low[~is_long], me[~is_long]
-        ones, twos = [], []
-        for gap in range(1, settings.short):
+        codes = Codes()
+        for gap in range(1, settings.short):  # counted gap by gap, for memory
             at = np.flatnonzero(q[gap:] == q[:-gap]) if len(q) > gap else np.zeros(0, np.int64)
             at = at[_fits(n[of[m[at]]], n[of[m[at + gap]]], settings.percent)]
-            ones.append(m[at])
-            twos.append(m[at + gap])
-        out.append(_counted(PAIR, np.concatenate(ones), np.concatenate(twos), of, cls, n, level))
+            codes.add(m[at] * len(of) + m[at + gap])
+        out.append(_counted(PAIR, codes, of, cls, n, level))
 
         q, m = low[is_long], me[is_long]
         out.append(_met(LIST, p.bucket << 32 | q.astype(np.int64), cls[of[m]], cls[of[m]], np.ones(len(m)), n[of[m]], level[of[m]]))
         if len(m):
-            ones, twos = [], []
+            codes = Codes()
             rank = np.empty(len(of), np.int64)
             rank[np.lexsort((cls[of], n[of], usual[of]))] = np.arange(len(of))
             for shift in (0.0, 0.5):  # bands of sizes, and the same half a band on
@@ -358,9 +357,8 @@ def _lists(settings: Settings):
                 last[:-1] = (q[by][1:] != q[by][:-1]) | (band[by][1:] != band[by][:-1])
                 hub = m[by][last][np.cumsum(last) - last]
                 good = (hub != m[by]) & _fits(n[of[hub]], n[of[m[by]]], settings.percent)
-                ones.append(hub[good])
-                twos.append(m[by][good])
-            out.append(_counted(STAR, np.concatenate(ones), np.concatenate(twos), of, cls, n, level))
+                codes.add(hub[good] * len(of) + m[by][good])
+            out.append(_counted(STAR, codes, of, cls, n, level))
         return pa.concat_tables(out)
 
     return run

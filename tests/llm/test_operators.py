@@ -334,6 +334,24 @@ def test_pairs_of_a_large_group_in_blocks():
         assert peak < 50 * pairs + 170e6, peak
 
 
+def test_pairs_of_short_lists_in_blocks():
+    """100,000 lists of 8 classes: 2.8 million candidates in bounded memory, and each pair once with its whole count."""
+    groups, lists = 500, 200
+    n = 8 * groups
+    low = np.repeat(np.arange(groups * lists, dtype=np.uint32), 8)
+    idx = (np.repeat(np.arange(groups), 8 * lists) * 8 + np.tile(np.arange(8), groups * lists)).astype(np.int64)
+    packed = neardup._packed(np.zeros(len(low), np.int64), [low], idx, [np.arange(n), np.full(n, 1000, np.uint32), np.zeros(n, np.uint8), np.zeros(n, np.uint8)], neardup._POSTING_NAMES)
+    table = pa.Table.from_batches([packed])
+    tracemalloc.start()
+    out = neardup._lists(neardup.Settings())(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    out = out.filter(pc.equal(out["kind"], neardup.PAIR))
+    a, b, c = (out[k].to_numpy() for k in "abc")
+    assert len(a) == groups * 28 == len(np.unique(a * n + b)) and (c == lists).all() and (a // 8 == b // 8).all() and (a < b).all()
+    assert peak < 110e6, peak
+
+
 def test_classes_that_share_a_number(spark):
     """With class numbers of 6 bits nearly all sets clash, and the result is the same."""
     rng = np.random.default_rng(3)

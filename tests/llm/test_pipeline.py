@@ -91,3 +91,26 @@ def test_workers_keep_no_tokenizer(spark, folder, tmp_path, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([str(path) in tokens._encoders] * b.num_rows)], ["kept"])
 
     assert {r.kept for r in spark.range(0, 400, 1, 8).mapInArrow(kept, "kept boolean").collect()} == {False}
+
+
+def test_short_batches(spark, folder):
+    """What a stage returns is computed later, and then too no Python worker gets a batch of tens of MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    try:
+        for _, stage in [x for x in cp.STAGES if x[1] is not cp.mixed_sources]:
+            spark.conf.set(key, before)
+            stage(spark, docs.select(*cp.COLUMNS), folder)
+            got = spark.range(0, 1000, 1, 1).selectExpr("repeat(md5(CAST(id AS STRING)), 1000) AS text").mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 1000 and max(r.size for r in got) < 5e6
+        spark.conf.set(key, "1m")
+        cp.quality_rules(spark, docs, folder)
+        assert spark.conf.get(key) == "1m"  # shorter ones stay
+    finally:
+        spark.conf.set(key, before)
