@@ -52,3 +52,14 @@ def test_names_are_found_once(spark, tmp_path, monkeypatch):
     gs.write(store, spark.createDataFrame([(1, "Acme Corp met Hooli Group in Berlin.")], "doc_id long, text string"))
     assert len(seen) == 2 and not any("regexp_extract_all" in plan for plan in seen)
     assert store.read("contains").count() == 3 == store.read("pairs").count() and store.read("chunks").count() == 1
+
+
+def test_documents_need_no_walk(spark, monkeypatch):
+    """Documents of a passage's entities are found without a step through the network."""
+
+    def walked(*a, **b):
+        raise AssertionError("a walk")
+
+    monkeypatch.setattr(gs, "related", walked)
+    rows = graphs.graph_retrieve(spark, DATA).collect()
+    assert rows and {r.mode for r in rows} == {"hybrid_vector_graph"}
