@@ -4,8 +4,8 @@ A profile is whole: every n-gram of two to five characters that a language's
 rows hold, with its count.  A text's n-grams are counted inside its row.  Of the
 profiles the commonest n-grams (``IN_ROW`` rows at most, which bounds what is
 sent with the function) are looked up there too; if there are more, a row's
-other n-grams are joined with the rest of the profiles, so that no n-gram is cut
-off and those that nearly every text holds are never a key of a join.
+other n-grams meet the rest of the profiles bucket by bucket, so that no n-gram is
+cut off and those that nearly every text holds are never dealt out.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ SURE, SURE_GRAMS = 0.7, 0.55
 LEAST = 10
 #: Most rows (n-gram, language) of the profiles that are sent with the function: some 30 MB.
 IN_ROW = 300_000
+#: Rows of the other profiles that a task holds, some.
+BUCKET = 1_000_000
 
 
 BITS = 12
@@ -150,15 +153,101 @@ class _Table:
                 out[i] += times * gain
         return out
 
-    def lacking(self, codes: np.ndarray, counts: np.ndarray, wide: Counter) -> list[dict]:
-        """The n-grams of a text that the table has not."""
+    def lacking(self, codes: np.ndarray, counts: np.ndarray, wide: Counter) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+        """The n-grams of a text that the table has not: numbers, their counts, and the others by themselves."""
         away = ~self.known(codes)[1]
-        rest = [(g, n) for g, n in wide.items() if g not in self.wide]
-        return [{"gram": g, "n": n} for g, n in [*zip(_spelled(codes[away]), counts[away].tolist(), strict=True), *rest]]
+        return codes[away], counts[away], [{"gram": g, "n": n} for g, n in wide.items() if g not in self.wide]
+
+
+def _numbers(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each n-gram, and which of them have one."""
+    most = max(SIZES)
+    points = np.array(grams, f"<U{most}").view(np.uint32).reshape(-1, most).astype(np.uint64)
+    codes = np.zeros(len(points), np.uint64)
+    for j in range(most):
+        codes = np.where(points[:, j] > 0, (codes << np.uint64(BITS)) | points[:, j], codes)
+    return codes, (points < 1 << BITS).all(1)
+
+
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def _pieces(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """The rows of each bucket, compressed."""
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    for b, lo, hi in zip(there.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        part = pa.RecordBatch.from_arrays([pa.array(c[order[lo:hi]]) for c in columns.values()], [*columns])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(part)
+        yield int(b), sink.getvalue().to_pybytes()
+
+
+def _gained(rows: DataFrame, rest: DataFrame, langs: list[str], size: int) -> DataFrame:
+    """rid, place (of the language), more: what the n-grams of rows (rid, codes, counts) gain from the rest of the profiles.
+
+    Both are dealt over buckets of numbers, each row's n-grams as compressed runs; a bucket's
+    profiles meet the runs of a slice of rows in one task, and only sums go on.
+    """
+    spark = rows.sparkSession
+    buckets, slices = 1 + size // BUCKET, spark.sparkContext.defaultParallelism
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                rid, lists, counts = (batch.slice(lo, 1000).column(i) for i in range(3))
+                codes = lists.flatten().to_numpy().view(np.uint64)
+                if not len(codes):
+                    continue
+                order = np.argsort(codes, kind="stable")
+                codes, row = codes[order], rid.to_numpy()[pc.list_parent_indices(lists).to_numpy()][order]
+                part = int(rid[0].as_py() >> 33) + int(rid[0].as_py() & 0x1FFFFFFFF) // 1000
+                found = [*_pieces(_bucket(codes, buckets), {"code": codes, "rid": row, "n": counts.flatten().to_numpy()[order]})]
+                yield pa.RecordBatch.from_arrays([pa.array([b * slices + part % slices for b, _ in found], pa.int32()), pa.array([1] * len(found), pa.int32()), pa.array([d for _, d in found], pa.binary())], ["deal", "kind", "data"])
+
+    def profiles_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, own = _numbers(batch.column(0).to_pylist())
+            place = np.array([langs.index(x) for x in batch.column(1).to_pylist()], np.int64)
+            found = [*_pieces(_bucket(codes[own], buckets), {"code": codes[own], "place": place[own], "gain": np.log1p(batch.column(2).to_numpy()[own] / ALPHA)})]
+            for b, data in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(b * slices, (b + 1) * slices), pa.int32()), pa.array([0] * slices, pa.int32()), pa.array([data] * slices, pa.binary())], ["deal", "kind", "data"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, table = None, [], None
+        for batch in batches:
+            for deal, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if deal != now:
+                    now, held, table = deal, [], None
+                part = pa.ipc.open_stream(data.as_py()).read_all()
+                code, at, n = (part.column(i).to_numpy() for i in range(3))
+                if kind == 0:
+                    held.append((code, at, n))
+                    continue
+                if not held:
+                    continue  # no profile in this bucket
+                if table is None:
+                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    order = np.argsort(whole[0], kind="stable")
+                    table = [x[order] for x in whole]
+                lo, hi = np.searchsorted(table[0], code), np.searchsorted(table[0], code, "right")
+                size = hi - lo
+                stop = np.cumsum(size)
+                flat = np.repeat(lo - stop + size, size) + np.arange(stop[-1])
+                rid, back = np.unique(at, return_inverse=True)
+                more = np.bincount(np.repeat(back, size) * len(langs) + table[1][flat], table[2][flat] * np.repeat(n, size), minlength=len(rid) * len(langs))
+                some = np.flatnonzero(more)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[some // len(langs)]), pa.array(some % len(langs), pa.int32()), pa.array(more[some])], ["rid", "place", "more"])
+
+    dealt = "deal int, kind int, data binary"
+    both = rest.select("gram", "lang", "n").mapInArrow(profiles_, dealt).unionByName(rows.select("rid", "codes", "counts").mapInArrow(runs, dealt))
+    return both.repartition(buckets * slices, "deal").sortWithinPartitions("deal", "kind").mapInArrow(met, "rid long, place int, more double")
 
 
 def _scored(texts: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, t, found, sure and the other columns of (doc_id, t, ...): the language of the greatest mean log probability and half its lead over the next plus a half, from 0 to 1; null and 0 for a text without n-grams or where there is no profile."""
+    """doc_id, found, sure and the other columns of (doc_id, t, ...) but t: the language of the greatest mean log probability and half its lead over the next plus a half, from 0 to 1; null and 0 for a text without n-grams or where there is no profile."""
     spark = texts.sparkSession
     path = shared_path(spark, "profiles")
     profile.select("lang", "gram", F.col("n").cast("long").alias("n")).write.parquet(path)
@@ -180,32 +269,37 @@ def _scored(texts: DataFrame, profile: DataFrame) -> DataFrame:
             found = [_grams(x) for x in batch.column("t").to_pylist()]
             out = [pa.array([int(n.sum()) + odd.total() for _, n, odd in found], pa.int64()), pa.array([table.scores(*x, len(langs)).tolist() for x in found], pa.list_(pa.float64()))]
             if others:
-                out.append(pa.array([table.lacking(*x) for x in found], pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "grams", "gains", "others"][: batch.num_columns + len(out)])
+                away = [table.lacking(*x) for x in found]
+                ends = pa.array(np.r_[0, np.cumsum([len(c) for c, _, _ in away])].astype(np.int32))
+                out += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([a[i] for a in away]).view(np.int64))) for i in (0, 1)] if away else [pa.array([], pa.list_(pa.int64()))] * 2
+                out.append(pa.array([a[2] for a in away], pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "grams", "gains", "codes", "counts", "others"][: batch.num_columns + len(out)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields)
-    rows = texts.mapInArrow(run, f"{schema}, grams long, gains array<double>" + (", others array<struct<gram: string, n: long>>" if others else ""))
+    rows = texts.mapInArrow(run, f"{schema}, grams long, gains array<double>" + (", codes array<long>, counts array<long>, others array<struct<gram: string, n: long>>" if others else "")).drop("t")
     if others:
-        # By document and digest: rows alike in both share their sums, each of them as often as there are such rows.
-        keyed = rows.withColumn("key", F.sha2(F.col("t"), 256))
-        lone = keyed.select("doc_id", "key", F.explode("others").alias("o")).select("doc_id", "key", "o.gram", "o.n")
-        gains = rest.select("gram", "lang", F.log1p(F.col("n") / ALPHA).alias("gain"))
-        sums = lone.join(gains, "gram").groupBy("doc_id", "key", "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("more"))
-        times = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
-        more = sums.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "more"))).alias("more"))  # a row a language
-        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "key")]
-        extra = more.alias("a").join(times.alias("b"), same).select("b.doc_id", "b.key", "more", "times")
-        rows = keyed.alias("a").join(extra.alias("b"), same, "left").select("a.*", "b.more", "b.times")
-        added = F.transform(F.array(*map(F.lit, langs)), lambda x: F.coalesce(F.col("more")[x] / F.col("times"), F.lit(0.0)))
+        # The n-grams of a text are made once: written down with a number for the row, and read again.
+        path = shared_path(spark, "grams")
+        rows.withColumn("rid", F.monotonically_increasing_id()).write.parquet(path)
+        rows = spark.read.parquet(path)
+        wide = rest.filter(F.col("gram").rlike("[^\\u0000-\\u0FFF]")).select("gram", "lang", F.log1p(F.col("n") / ALPHA).alias("gain"))
+        lone = rows.select("rid", F.explode("others").alias("o")).join(wide, F.col("o.gram") == F.col("gram"))
+        places = F.create_map(*(x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))))
+        sums = _gained(rows, rest, langs, size.rows).unionByName(lone.select("rid", places[F.col("lang")].alias("place"), (F.col("o.n") * F.col("gain")).alias("more")))
+        sums = sums.groupBy("rid", "place").agg(F.sum("more").alias("more"))
+        more = sums.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("place", "more"))).alias("more"))  # a row a language
+        rows = rows.drop("codes", "counts", "others").join(more, "rid", "left")
+        added = F.transform(F.array(*(F.lit(i) for i in range(len(langs)))), lambda i: F.coalesce(F.col("more")[i], F.lit(0.0)))
         rows = rows.withColumn("gains", F.zip_with("gains", added, lambda x, y: x + y))
+    columns = [c for c in texts.columns if c != "t"]
     if not langs:
-        return rows.select(*texts.columns, F.lit(None).cast("string").alias("found"), F.lit(0.0).alias("sure"))
+        return rows.select(*columns, F.lit(None).cast("string").alias("found"), F.lit(0.0).alias("sure"))
     # Of equal scores the first language in order.
     scores = F.transform(F.array(*map(F.lit, range(len(langs)))), lambda i: F.struct((-(F.col("gains")[i] / F.col("grams")) - F.element_at(F.array(*map(F.lit, base.tolist())), i + 1)).alias("cost"), F.element_at(F.array(*map(F.lit, langs)), i + 1).alias("lang")))
     best = rows.withColumn("best", F.when(F.col("grams") > 0, F.slice(F.array_sort(scores), 1, 2)))
     lead = F.when(F.size("best") > 1, F.get("best", F.lit(1))["cost"] - F.col("best")[0]["cost"]).otherwise(0.0)
     sure = F.when(F.col("best").isNull(), 0.0).otherwise(F.least(F.lit(1.0), lead / 2 + 0.5))
-    return best.select(*texts.columns, F.col("best")[0]["lang"].alias("found"), sure.alias("sure"))
+    return best.select(*columns, F.col("best")[0]["lang"].alias("found"), sure.alias("sure"))
 
 
 def detect(rows: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "en", outside: str | None = None, outside_sure: str | None = None, languages: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
