@@ -147,7 +147,7 @@ class _Table:
         size = self.begin[at + 1] - self.begin[at]
         stop = np.cumsum(size)
         flat = np.repeat(self.begin[at] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
-        out = np.bincount(self.lang[flat], self.gain[flat] * np.repeat(n, size), minlength=langs)
+        out = np.bincount(self.lang[flat], self.gain[flat] * np.repeat(n, size), minlength=langs).astype(float)  # of nothing, numpy counts in integers
         for g, times in wide.items():
             for i, gain in self.wide.get(g, ()):
                 out[i] += times * gain
@@ -237,7 +237,7 @@ def _gained(rows: DataFrame, rest: DataFrame, langs: list[str], size: int) -> Da
                 stop = np.cumsum(size)
                 flat = np.repeat(lo - stop + size, size) + np.arange(stop[-1])
                 rid, back = np.unique(at, return_inverse=True)
-                more = np.bincount(np.repeat(back, size) * len(langs) + table[1][flat], table[2][flat] * np.repeat(n, size), minlength=len(rid) * len(langs))
+                more = np.bincount(np.repeat(back, size) * len(langs) + table[1][flat], table[2][flat] * np.repeat(n, size), minlength=len(rid) * len(langs)).astype(float)  # of nothing, numpy counts in integers
                 some = np.flatnonzero(more)
                 yield pa.RecordBatch.from_arrays([pa.array(rid[some // len(langs)]), pa.array(some % len(langs), pa.int32()), pa.array(more[some])], ["rid", "place", "more"])
 

@@ -39,3 +39,11 @@ def test_buckets_give_the_same(spark, profile, monkeypatch):
     for size in (1_000_000, 7):
         monkeypatch.setattr(language, "BUCKET", size)
         assert found() == want
+
+
+def test_wide_n_grams_alone(spark):
+    """Gains of a text whose n-grams all lie beyond 2^12 are not cut to whole numbers."""
+    known = [("ja", "漢字かな漢字"), ("zh", "漢字漢文")]
+    table = language.profiles(spark.createDataFrame(known, "lang string, text string"))
+    (row,) = language._scored(spark.createDataFrame([(1, "漢字")], "doc_id long, t string"), table).collect()
+    assert row.found == "ja" and 0.5 < row.sure < 1 and row.sure != round(row.sure, 2)
